@@ -12,7 +12,7 @@ import numpy as np
 
 from hushjoin.llm.common import WORD
 
-BUCKETS = 1 << 18
+BITS = 0x7FFFFFFF
 MEMO = 300_000
 STYLE = ("log_words", "upper_words", "bang_words", "bar_words", "symbol_chars", "mark_words", "digit_chars", "distinct_words", "top_word", "same_next", "dup_lines", "repeat_windows", "mean_word", "long_words", "one_char", "line_words", "letters", "non_ascii", "commas", "stops", "upper_chars")
 SYMBOLS = "#*$%&|<>"
@@ -29,10 +29,10 @@ class _Marks(dict):
         marks = []
         if core:
             raw = core.encode("utf-8", "surrogatepass")
-            marks.append(zlib.crc32(b"w" + raw) % BUCKETS)
-            for n in (4, 5):
+            marks.append(zlib.crc32(b"w" + raw) & BITS)
+            for n in (4, 5, 6, 7):
                 if len(core) > n:
-                    marks.append(zlib.crc32(b"p%d" % n + core[:n].encode("utf-8", "surrogatepass")) % BUCKETS)
+                    marks.append(zlib.crc32(b"p%d" % n + core[:n].encode("utf-8", "surrogatepass")) & BITS)
         tail = word[len(word.rstrip("*#%&$|<>")) :] if word else ""
         flags = (word.isupper() and len(word) > 1, "!" in word, word == "|", bool(tail), len(word) > 14, len(word) == 1)
         found = self[word] = (tuple(marks), flags)
@@ -42,15 +42,28 @@ class _Marks(dict):
 _marks = _Marks()
 
 
-def marks_of(text: str | None) -> np.ndarray:
-    """Sorted distinct hashed marks of a text: its words, without outer punctuation, and their first letters."""
-    if not text:
-        return np.empty(0, np.int32)
+def _often(counts: Counter, n: int) -> set[int]:
+    """All marks, and further ones for marks that come twice, three times, or as one word in sixty of n words."""
+    found: dict[int, int] = {}
     get = _marks.__getitem__
-    seen: set[int] = set()
-    for w in set(WORD.findall(text)):
-        seen.update(get(w)[0])
-    return np.array(sorted(seen), np.int32)
+    for w, c in counts.items():
+        for m in get(w)[0]:
+            found[m] = found.get(m, 0) + c
+    out = set(found)
+    for m, c in found.items():
+        if c > 1:
+            out.add((m * 31 + 2) & BITS)
+            if c > 2:
+                out.add((m * 31 + 3) & BITS)
+            if c * 60 >= n:
+                out.add((m * 31 + 5) & BITS)
+    return out
+
+
+def marks_of(text: str | None) -> np.ndarray:
+    """Sorted distinct hashed marks of a text: its words, without outer punctuation, their first letters, and how often they come."""
+    words = WORD.findall(text) if text else []
+    return np.array(sorted(_often(Counter(words), len(words))), np.int32)
 
 
 def style_and_marks(text: str | None) -> tuple[list[float], set[int]]:
@@ -60,11 +73,9 @@ def style_and_marks(text: str | None) -> tuple[list[float], set[int]]:
         return [0.0] * len(STYLE), set()
     counts = Counter(words)
     upper = bang = bar = tail = long = one = 0
-    seen: set[int] = set()
     get = _marks.__getitem__
     for w, c in counts.items():
-        marks, (u, b, p, t, big, single) = get(w)
-        seen.update(marks)
+        u, b, p, t, big, single = get(w)[1]
         upper += c * u
         bang += c * b
         bar += c * p
@@ -88,7 +99,7 @@ def style_and_marks(text: str | None) -> tuple[list[float], set[int]]:
         float(np.log1p(n)), upper / n, bang / n, bar / n, symbols / size, tail / n, digits / size, len(counts) / n ** 0.85,
         max(counts.values()) / n, same / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - distinct / windows if windows > 0 else 0.0,
         chars / n, long / n, one / n, n / max(1, len(lines)), 1 - marks_n / chars, (raw - size) / size, text.count(",") / n, stops / n, caps / size,
-    ], seen
+    ], _often(counts, n)
 
 
 def matrix(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
@@ -109,12 +120,13 @@ def informative(rows: list[np.ndarray], target: np.ndarray, least: int, most: in
         return np.empty(0, np.int32)
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if sizes.sum() else np.empty(0, np.int32)
+    marks, place = np.unique(flat, return_inverse=True)
     weight = np.repeat(target, sizes)
-    c1 = np.bincount(flat, weight, BUCKETS)
-    c0 = np.bincount(flat, 1 - weight, BUCKETS)
+    c1 = np.bincount(place, weight, len(marks))
+    c0 = np.bincount(place, 1 - weight, len(marks))
     both = c1 + c0
     p = (c1 + c0) / (n1 + n0)
     score = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     score[both < least] = 0
     top = np.argsort(-score, kind="stable")[:most]
-    return np.sort(top[score[top] >= z]).astype(np.int32)
+    return np.sort(marks[top[score[top] >= z]]).astype(np.int32)

@@ -26,7 +26,8 @@ from hushjoin.llm.training import SAMPLE_ROWS, labelled_sample
 CUT = 0.3
 PARTS, HELD_OUT = 4, 2
 VOTERS = 120
-MARKS = 1500
+MARKS = 1000
+SEED = 5
 PATTERNS = (("bang_words", 0.2), ("upper_words", 0.3), ("digit_chars", 0.05), ("symbol_chars", 0.05), ("same_next", 0.2))
 
 
@@ -39,36 +40,58 @@ def votes(style: np.ndarray, marks: list[np.ndarray], lexicon: np.ndarray) -> np
     return np.hstack([hits, none, pattern]).astype(np.float32)
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of label 1 for each row and the weight of each voter.
+@dataclass
+class LabelModel:
+    """told: log odds a vote adds, by vote (1, -1, 0) and voter; group: of voters that move together."""
+
+    told: np.ndarray
+    group: np.ndarray
+    prior: float
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """Chance of label 1. A group of correlated voters speaks once, with its strongest vote."""
+        said = np.where(v == 1, self.told[0], np.where(v == -1, self.told[1], self.told[2]))
+        z = np.full(len(v), np.log(self.prior / (1 - self.prior)))
+        for g in np.unique(self.group):
+            part = said[:, self.group == g]
+            z += part[np.arange(len(v)), np.abs(part).argmax(axis=1)]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
 
-    EM over P(vote | label). After each round, voters' residuals (vote less what the posterior explains) are
-    correlated; a voter's weight is one over the number of voters it moves with, itself counted.
-    """
+def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
+    """EM over P(vote | label). Every ten rounds, voters' residuals (the vote less what the posterior explains) are
+    correlated, and voters that stay correlated over 0.2 form a group."""
     n, k = v.shape
-    weight = np.ones(k)
-    present = np.stack([v == 1, v == -1, v == 0])  # 3, n, k
-    lean = (v == 1).sum(1) - 2 * (v == -1).sum(1)
-    post = np.where(lean > 0, 0.9, 0.02)
+    present = [(v == j).astype(np.float32) for j in (1, -1, 0)]
+    base = np.stack([p.mean(axis=0) for p in present])
+    lean = (v == 1).sum(axis=1) - 2 * (v == -1).sum(axis=1)
+    post = np.where(lean > 0, 0.95, 0.02)
+    model = LabelModel(np.zeros((3, k)), np.arange(k), prior)
     for r in range(rounds):
         rate = np.empty((2, 3, k))
         for y, p in enumerate((1 - post, post)):
-            rate[y] = (np.einsum("vnk,n->vk", present, p) + 0.5 * present.mean(axis=1)) / (p.sum() + 0.5)
+            for j in range(3):
+                rate[y, j] = (p @ present[j] + 0.5 * base[j]) / (p.sum() + 0.5)
         rate = np.clip(rate, 1e-4, 1)
-        told = np.log(rate[1]) - np.log(rate[0])
-        z = np.log(prior / (1 - prior)) + sum(present[j] @ (weight * told[j]) for j in range(3))
-        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if r % 10 == 5:
-            mean = np.outer(new, rate[1, 0] - rate[1, 1]) + np.outer(1 - new, rate[0, 0] - rate[0, 1])
+        model.told = np.log(rate[1]) - np.log(rate[0])
+        if r % 10 == 0:
+            mean = np.outer(post, rate[1, 0] - rate[1, 1]) + np.outer(1 - post, rate[0, 0] - rate[0, 1])
             left = v - mean
             norm = np.sqrt((left**2).sum(axis=0)) + 1e-9
-            corr = np.abs((left.T @ left) / np.outer(norm, norm))
-            weight = 1 / np.maximum(1, (corr * (corr > 0.2)).sum(axis=0))
-        if np.abs(new - post).max() < 1e-6:
-            post = new
+            near = np.abs((left.T @ left) / np.outer(norm, norm)) > 0.2
+            group = np.arange(k)
+            for _ in range(k):  # the least number spreads through what is correlated
+                low = np.where(near, group[None, :], k).min(axis=1)
+                low = np.minimum(low, group)
+                if (low == group).all():
+                    break
+                group = low
+            model.group = group
+        new = model.posterior(v)
+        if r % 10 and np.abs(new - post).max() < 1e-6:
             break
         post = new
-    return post, weight
+    return model
 
 
 def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -102,14 +125,20 @@ def fit(style: np.ndarray, marks: list[np.ndarray], y: np.ndarray) -> Toxicity:
     empty = Toxicity(np.empty(0, np.int32), np.empty(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     if not 0 < share < 1:
         return empty
-    strong = informative(marks, y, least=5, most=4 * VOTERS, z=5.0)
+    strong = informative(marks, y, least=5, most=4 * VOTERS, z=7.2)
     hits = matrix(marks, strong)
     n1, n0 = (hits * y[:, None]).sum(axis=0), (hits * (1 - y)[:, None]).sum(axis=0)
-    sure = n1 / (n1 + 0.5) * (n1 / (n1 + n0 + 0.1) > 0.8) * n1  # lexicon: marks that nearly only toxic texts have
-    lexicon = np.sort(strong[np.argsort(-sure, kind="stable")[:VOTERS]][: int((sure > 0).sum())])
-    post, _ = label_model(votes(style, marks, lexicon), share)
-    columns = np.union1d(informative(marks, post, least=5, most=MARKS, z=5.0), lexicon).astype(np.int32)
-    weights, bias = logistic(matrix(marks, columns), post)
+    sure = np.where(n1 / (n1 + n0 + 0.1) > 0.9, n1, 0)  # lexicon: marks that nearly only toxic texts have
+    lexicon = np.sort(strong[np.argsort(-sure, kind="stable")[: min(VOTERS, int((sure > 0).sum()))]])
+    model = label_model(votes(style, marks, lexicon), share)
+    post = model.posterior(votes(style, marks, lexicon))
+    columns = np.union1d(informative(marks, post, least=5, most=MARKS, z=6.0), lexicon).astype(np.int32)
+    # texts with some of their marks taken out, judged anew by the label model: few marks must be enough
+    rng = np.random.RandomState(SEED)
+    thin = [[m[rng.rand(len(m)) < keep] for m in marks] for keep in (1.0, 0.3, 0.1)]
+    rows = [m for part in thin for m in part]
+    target = np.concatenate([model.posterior(votes(style, part, lexicon)) for part in thin])
+    weights, bias = logistic(matrix(rows, columns), target)
     return Toxicity(columns, weights, bias)
 
 
