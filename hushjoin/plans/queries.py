@@ -1,9 +1,365 @@
-"""Registered linkage queries and their SQL."""
+"""Registered linkage queries and their SQL. Both engines build the same persons from the keys of customer."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from hushjoin.functions import crypto
+from hushjoin.functions.expressions import compile_expression
+from hushjoin.operators import metadata, tokens
+from hushjoin.operators.attributes import TYPES
+from hushjoin.operators.overlap import Overlap, look_back, matches_by_count
+from hushjoin.operators.rules import DEFAULT, RuleBuilder, RuleSet
+from hushjoin.plans import oracle, people
+from hushjoin.sources import config
+
+SECRET = b"query-secret"
+KEY = b"0123456789abcdef0123456789ABCDEF"
+RING = "ring-1"
+#: The second table of the overlap queries: every third person, under a new id.
+THIRD, OTHER = "c_custkey % 3 = 0", 1_000_000
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def persons(spark: SparkSession, sf_dir: str, where: str = "1 = 1", prefix: str = "C", shift: int = 0) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").createOrReplaceTempView("customer")
+    return spark.sql(people.view(where, prefix, shift))
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+_ONE = oracle.people_sql()
+_BASE = _with(_ONE, oracle.signatures_sql())
+_HMAC = oracle.token_sql(SECRET)
+_TOKENS = _BASE + f"SELECT RecordId, RuleId, {_HMAC} AS Token FROM s"
+
+
+# ---- attributes: normalized value where valid
+
+
+def _attribute(name: str, column: str, short: str) -> None:
+    def run(spark, sf_dir):
+        p = persons(spark, sf_dir)
+        kind = TYPES[name]
+        ok = kind.valid(F.col(column))
+        return p.select("RecordId", ok.alias("valid"), F.when(ok, kind.normalize(F.col(column))).alias("value"))
+
+    run.__name__ = f"attr_{short}"
+    code = {"first_name": "fn", "last_name": "ln", "birth_date": "bd", "sex": "sx", "postal_code": "pc", "ssn": "sn"}[short]
+    query(_with(_ONE) + f"SELECT RecordId, ok_{code} AS valid, CASE WHEN ok_{code} THEN {code} END AS value FROM n")(run)
+
+
+for _n, _c, _s in (("FirstName", "FirstName", "first_name"), ("LastName", "LastName", "last_name"), ("BirthDate", "BirthDate", "birth_date"), ("Sex", "Sex", "sex"), ("PostalCode", "PostalCode", "postal_code"), ("SocialSecurityNumber", "SocialSecurityNumber", "ssn")):
+    _attribute(_n, _c, _s)
+
+#: Texts for the general types, by customer key.
+_GENERAL = {
+    "Integer": ["7", "+007", "-0", "-00450", " 12 ", "99999999999999999999999999", "1.5", "abc", "", None],
+    "Decimal": ["1", "+1.50", "-0.0", "1e10", "1.5e16", "12345678.9", ".5", "2.", "0.0001", "0.00001234", "1e400", "x", None],
+    "Year": ["1999", " 2005 ", "0099", "12345", "19", None],
+    "Age": ["0", "120", "121", "-1", " 42 ", "54.2", None],
+    "BirthYear": ["1910", "1909", "2001", "2999", "abcd", None],
+    "Date": ["2001-02-03", "2001/02/03", "02/03/2001", "02-03-2001", "03.02.2001", "2001-02-03T10:11:12Z", "2001-13-45", "2001-02-03T10:11:12", "20010203", None],
+    "String": [" a b ", "x", "", "   ", None],
+    "USPostalCode": ["951", "1234", "12346-7890", "987654321", "00012", " 54320 ", "ABC", None],
+    "CanadianPostalCode": ["k1a0b1", "K1A 0A6", "J1X", "J1X1", "J1X1A", "m5v 2t6", "12345", None],
+}
+_EXPECTED = {
+    "Integer": ["7", "7", "0", "-450", "12", "99999999999999999999999999", None, None, None, None],
+    "Decimal": ["1.0", "1.5", "-0.0", "10000000000.0", "1.5e+16", "12345678.9", "0.5", "2.0", "0.0001", "1.234e-05", "inf", None, None],
+    "Year": ["1999", "2005", "99", None, None, None],
+    "Age": ["0", "120", None, None, "42", None, None],
+    "BirthYear": ["1910", None, "2001", None, None, None],
+    "Date": ["2001-02-03", "2001-02-03", "2001-02-03", "2001-02-03", "2001-02-03", "2001-02-03", None, None, None, None],
+    "String": ["a b", "x", None, None, None],
+    "USPostalCode": ["951", "1234", "12346", None, None, "54320", None, None],
+    "CanadianPostalCode": ["K1A 0B1", None, "J1X", "J1X1", "J1X1A", "M5V 2T6", None, None],
+}
+
+
+def _general(name: str) -> None:
+    pick = people._pick("c_custkey", _GENERAL[name])
+    want = people._pick("c_custkey", _EXPECTED[name])
+    fails = " OR ".join(f"c_custkey % {len(_GENERAL['Date'])} = {i}" for i in (6, 7)) if name == "Date" else "false"
+
+    def run(spark, sf_dir):
+        spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").createOrReplaceTempView("customer")
+        kind, raw = TYPES[name], F.col("raw")
+        rows = spark.sql(f"SELECT c_custkey, {pick} AS raw FROM customer")
+        ok = kind.valid(raw)
+        return rows.select("c_custkey", F.when(ok & ~kind.fails(raw), kind.normalize(raw)).alias("value"), (ok & kind.fails(raw)).alias("fails"))
+
+    run.__name__ = f"attr_{name.lower()}"
+    query(f"SELECT c_custkey, {want} AS value, ({fails}) AS fails FROM customer")(run)
+
+
+for _n in _GENERAL:
+    _general(_n)
+
+
+@query(
+    """SELECT s_suppkey, trim(v) AS e_t, upper(v) AS e_u, trim(v)[1:3] AS e_s, v[1:length(v) - 2] AS e_s_neg, replace(v, 'pp', 'x') AS e_r,
+    regexp_replace(v, '[^0-9]', '', 'g') AS e_m, upper(trim(v)[1:3]) AS e_chain
+    FROM (SELECT s_suppkey, '  Supplier-' || CAST(s_suppkey AS STRING) || '-ab12 ' AS v FROM supplier)"""
+)
+def expressions(spark, sf_dir):
+    """Each step of the expression language."""
+    v = F.concat(F.lit("  Supplier-"), F.col("s_suppkey").cast("string"), F.lit("-ab12 "))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", v.alias("v"))
+    steps = {"e_t": "T", "e_u": "U", "e_s": "T|S(0,3)", "e_s_neg": "S(0,-2)", "e_r": "R('pp','x')", "e_m": r"M(\d+)", "e_chain": "T|S(0,3)|U"}
+    return rows.select("s_suppkey", *(compile_expression(e)(F.col("v")).alias(k) for k, e in steps.items()))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
+def expression_date(spark, sf_dir):
+    """D on dates, written without leading zeros where they have any."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_format("o_orderdate", "yyyy-M-d").alias("v"))
+    return rows.select("o_orderkey", compile_expression("T|D")(F.col("v")).alias("d"))
+
+
+# ---- rules and tokens
+
+
+@query(_BASE + "SELECT RecordId, RuleId, Signature FROM s")
+def signatures(spark, sf_dir):
+    return tokens.signatures(persons(spark, sf_dir))
+
+
+@query(_BASE + f"SELECT RecordId, RuleId, {oracle.token_sql(None)} AS Token FROM s WHERE RuleId = 'T3'")
+def t3_sha256(spark, sf_dir):
+    return tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.hash_only(), DEFAULT.only("T3"))
+
+
+@query(_BASE + f"SELECT RecordId, RuleId, {oracle.token_sql(None)} AS Token FROM s")
+def tokens_hash_only(spark, sf_dir):
+    return tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.hash_only())
+
+
+@query(_BASE + f"SELECT RecordId, RuleId, CASE WHEN coalesce(Signature, '') = '' THEN '{crypto.BLANK}' ELSE Signature END AS Token FROM s")
+def tokens_plain(spark, sf_dir):
+    return tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.plain())
+
+
+@query(_TOKENS)
+def tokens_hmac(spark, sf_dir):
+    return tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.keyed(SECRET))
+
+
+@query(_TOKENS)
+def tokens_sealed(spark, sf_dir):
+    """Keyed hash, AES and envelope, decrypted again. Blank tokens come back blank."""
+    sealed = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.sealed(SECRET, KEY, RING))
+    return sealed.select("RecordId", "RuleId", crypto.decrypt(F.col("Token"), KEY).alias("Token"))
+
+
+@query(_TOKENS)
+def tokens_aes(spark, sf_dir):
+    """Bare AES, as helper generators make it, decrypted again."""
+    sealed = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.sealed(SECRET, KEY, RING, envelope=False))
+    return sealed.select("RecordId", "RuleId", crypto.decrypt(F.col("Token"), KEY).alias("Token"))
+
+
+@query(_TOKENS)
+def tokens_encrypt_decrypt(spark, sf_dir):
+    """A keyed token table that is encrypted afterwards, where blank tokens stay, and decrypted again."""
+    table = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.keyed(SECRET))
+    return tokens.decrypt_tokens(tokens.encrypt_tokens(table, KEY, RING), KEY)
+
+
+@query(_BASE + f"SELECT count(*) AS total, count(*) FILTER (Token <> '{crypto.BLANK}') AS transformed, 0::BIGINT AS failed FROM (SELECT {_HMAC} AS Token FROM s)")
+def decrypt_summary(spark, sf_dir):
+    table = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.keyed(SECRET))
+    return tokens.transform_summary(tokens.encrypt_tokens(table, KEY, RING), KEY)
+
+
+@query(_with(_ONE) + "SELECT sha256(RecordId) AS RecordId, Sex FROM p")
+def record_id_hashes(spark, sf_dir):
+    return tokens.record_id_hashes(persons(spark, sf_dir).select("RecordId", "Sex"))
+
+
+@query(_with(_ONE, oracle.signatures_sql(rules={"T6": (("ln", "upper(ln)"), ("pc", "pc[1:3]"), ("sn", "replace(sn, '-', '')"))})) + "SELECT RecordId, RuleId, Signature FROM s")
+def custom_rule_builder(spark, sf_dir):
+    rule = RuleBuilder("T6").add("last_name", "T|U").add("postal_code", "T|S(0,3)").add("ssn", r"T|M(\d+)").build()
+    return tokens.signatures(persons(spark, sf_dir), RuleSet().add(rule))
+
+
+@query(_with(_ONE, oracle.signatures_sql(rules={"X1": (("fn", "upper(fn)"), ("sx", "sx[1:1]")), "X2": (("bd", "bd"), ("pc", "pc"))})) + "SELECT RecordId, RuleId, Signature FROM s")
+def custom_rule_settings(spark, sf_dir):
+    settings = config.parse(
+        {
+            "column_mappings": {
+                "RecordId": {"column_name": "RecordId", "type": "RecordId"}, "Given": {"column_name": "FirstName", "type": "FirstName"},
+                "Gender": {"column_name": "Sex", "type": "Gender"}, "Born": {"column_name": "BirthDate", "type": "BirthDate"}, "Zip": {"column_name": "PostalCode", "type": "PostalCode"},
+            },
+            "token_rules": {"X1": [{"field": "Given", "expression": "T|U"}, {"field": "Gender", "expression": "S(0,1)"}], "X2": [{"field": "Born", "expression": "D"}, {"field": "Zip", "expression": "T"}]},
+        }
+    )
+    from hushjoin.sources.persons import canonical
+
+    return tokens.signatures(canonical(persons(spark, sf_dir), settings.registry, settings.columns), settings.rules, settings.registry)
+
+
+# ---- counts
+
+
+@query(_with(_ONE, oracle.invalid_sql()) + "SELECT attribute, count(*) AS records FROM i GROUP BY attribute")
+def invalid_by_type(spark, sf_dir):
+    return metadata.invalid_by_type(persons(spark, sf_dir))
+
+
+@query(_BASE + "SELECT RuleId, count(*) AS records FROM s WHERE coalesce(Signature, '') = '' GROUP BY RuleId")
+def blank_by_rule(spark, sf_dir):
+    return metadata.blank_by_rule(persons(spark, sf_dir))
+
+
+@query(
+    _with(_ONE, oracle.signatures_sql(), oracle.invalid_sql())
+    + "SELECT (SELECT count(*) FROM p) AS total, "
+    + ", ".join(f"(SELECT count(*) FROM i WHERE attribute = '{t}') AS invalid_{t}" for t in sorted(oracle.TYPES.values()))
+    + ", "
+    + ", ".join(f"(SELECT count(*) FROM s WHERE RuleId = '{r}' AND coalesce(Signature, '') = '') AS blank_{r}" for r in DEFAULT.ids)
+)
+def run_counters(spark, sf_dir):
+    return metadata.counters(persons(spark, sf_dir))
+
+
+@query(_with(_ONE) + "SELECT RecordId, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN NOT ok_{c} THEN '{t}' END" for c, t in oracle.TYPES.items()) + "], lambda x: x IS NOT NULL)), ',') AS invalid FROM n")
+def invalid_attributes(spark, sf_dir):
+    rows = tokens.invalid_attributes(persons(spark, sf_dir), list(oracle.TYPES.values()))
+    return rows.withColumn("invalid", F.concat_ws(",", "invalid"))
+
+
+@query(_BASE + "SELECT RuleId, count(*) AS tokens FROM s GROUP BY RuleId")
+def tokens_by_rule(spark, sf_dir):
+    return metadata.tokens_by_rule(tokens_hmac(spark, sf_dir))
+
+
+@query(_BASE + "SELECT tokens, count(*) AS records FROM (SELECT RecordId, count(*) AS tokens FROM s GROUP BY RecordId) GROUP BY tokens")
+def tokens_per_record(spark, sf_dir):
+    return metadata.tokens_per_record(tokens_hmac(spark, sf_dir))
+
+
+# ---- overlap of all persons with every third one under a new id; blank tokens left out but where said otherwise
+
+
+def _overlap(spark, sf_dir, include_blank: bool = False) -> Overlap:
+    pipe = tokens.Pipeline.keyed(SECRET)
+    left = tokens.tokenize(persons(spark, sf_dir), pipe)
+    right = tokens.tokenize(persons(spark, sf_dir, THIRD, "D", OTHER), pipe)
+    return Overlap(left, right, KEY, "A", "B", include_blank)
+
+
+_TWO = _with(_ONE, oracle.signatures_sql(), oracle.people_sql(THIRD, "D", OTHER, "2"), oracle.signatures_sql("2"), "m AS (SELECT s.RecordId AS A_RecordId, s2.RecordId AS B_RecordId, RuleId FROM s JOIN s2 USING (RuleId, Signature) WHERE Signature <> '')")
+_PAIRS = "SELECT A_RecordId, B_RecordId, count(*) AS n, string_agg(RuleId, '|' ORDER BY RuleId) AS rules FROM m GROUP BY ALL"
+
+
+@query(_TWO + "SELECT A_RecordId, B_RecordId FROM m WHERE RuleId IN ('T1', 'T2') GROUP BY ALL HAVING count(*) = 2")
+def overlap_all_rules(spark, sf_dir):
+    return _overlap(spark, sf_dir).matches(["T1", "T2"])
+
+
+@query(_TWO + "SELECT A_RecordId, B_RecordId FROM m WHERE RuleId = 'T4' GROUP BY ALL")
+def overlap_one_rule(spark, sf_dir):
+    return _overlap(spark, sf_dir).matches(["T4"])
+
+
+@query(_TWO + f"SELECT A_RecordId, B_RecordId, rules AS MatchingTokens, n::INTEGER AS TokenCount FROM ({_PAIRS}) WHERE n >= 3")
+def overlap_k_of_n(spark, sf_dir):
+    return _overlap(spark, sf_dir).at_least(3)
+
+
+@query(_TWO + f"SELECT A_RecordId, B_RecordId, string_agg(RuleId, '|' ORDER BY RuleId) AS MatchingTokens, count(*)::INTEGER AS TokenCount FROM m WHERE RuleId IN ('T2', 'T4') GROUP BY ALL")
+def overlap_any_rule(spark, sf_dir):
+    return _overlap(spark, sf_dir).any_of(["T2", "T4"])
+
+
+@query(_TWO + "SELECT DISTINCT RecordId FROM s WHERE RecordId NOT IN (SELECT A_RecordId FROM m WHERE RuleId IN ('T1', 'T3') GROUP BY A_RecordId, B_RecordId HAVING count(*) = 2)")
+def overlap_only_left(spark, sf_dir):
+    return _overlap(spark, sf_dir).only_left(["T1", "T3"])
+
+
+@query(
+    _TWO
+    + """, t AS (SELECT A_RecordId, B_RecordId, CASE WHEN list_has_all(list(RuleId), ['T3', 'T4']) THEN 1 WHEN list_contains(list(RuleId), 'T2') THEN 2 WHEN list_contains(list(RuleId), 'T5') THEN 3 END AS tier
+    FROM m GROUP BY ALL) SELECT A_RecordId, B_RecordId, tier FROM (SELECT *, min(tier) OVER (PARTITION BY A_RecordId) AS best FROM t WHERE tier IS NOT NULL) WHERE tier = best"""
+)
+def overlap_tiered(spark, sf_dir):
+    return _overlap(spark, sf_dir).tiered([["T3", "T4"], ["T2"], ["T5"]])
+
+
+_SETS = [["T1"], ["T1", "T2"], ["T3", "T4", "T5"]]
+
+
+def _summary_sql() -> str:
+    rows = []
+    for s in _SETS:
+        inside = "(" + ", ".join(f"'{r}'" for r in s) + ")"
+        hit = f"(SELECT A_RecordId, B_RecordId FROM m WHERE RuleId IN {inside} GROUP BY ALL HAVING count(*) = {len(s)})"
+        rows.append(
+            f"SELECT '{','.join(s)}' AS rules, (SELECT count(DISTINCT RecordId) FROM s) AS t1, (SELECT count(DISTINCT RecordId) FROM s2) AS t2, "
+            f"(SELECT count(DISTINCT A_RecordId) FROM {hit}) AS m1, (SELECT count(DISTINCT B_RecordId) FROM {hit}) AS m2"
+        )
+    return (
+        "SELECT rules, t1 AS total_records_dataset1, t2 AS total_records_dataset2, m1 AS matching_records_dataset1, m2 AS matching_records_dataset2, t1 - m1 AS unique_to_dataset1, "
+        f"t2 - m2 AS unique_to_dataset2, least(m1, m2) / least(t1, t2) * 100 AS overlap_percentage FROM ({' UNION ALL '.join(rows)})"
+    )
+
+
+@query(_TWO + _summary_sql())
+def overlap_summary(spark, sf_dir):
+    return _overlap(spark, sf_dir).summary(_SETS)
+
+
+@query(_TWO + "SELECT RuleId, count(*) AS pairs FROM m GROUP BY RuleId")
+def overlap_pairs_by_rule(spark, sf_dir):
+    return _overlap(spark, sf_dir).rule_matches().groupBy("RuleId").agg(F.count("*").alias("pairs"))
+
+
+@query(
+    _with(oracle.people_sql("c_custkey <= 200"), oracle.signatures_sql(), oracle.people_sql("c_custkey <= 200 AND " + THIRD, "D", OTHER, "2"), oracle.signatures_sql("2"))
+    + "SELECT s.RecordId AS A_RecordId, s2.RecordId AS B_RecordId FROM s JOIN s2 ON s.RuleId = s2.RuleId AND coalesce(s.Signature, '') = coalesce(s2.Signature, '') WHERE s.RuleId IN ('T1', 'T4') GROUP BY ALL HAVING count(*) = 2"
+)
+def overlap_with_blank(spark, sf_dir):
+    """As in the default analysis: blank tokens match each other, so the persons are those of the first 200 keys."""
+    pipe = tokens.Pipeline.sealed(SECRET, KEY, RING)
+    left = tokens.tokenize(persons(spark, sf_dir, "c_custkey <= 200"), pipe)
+    right = tokens.tokenize(persons(spark, sf_dir, "c_custkey <= 200 AND " + THIRD, "D", OTHER), pipe)
+    return Overlap(left, right, KEY, "A", "B").matches(["T1", "T4"])
+
+
+@query(_TWO + f'SELECT n::INTEGER AS "TokenCount", count(*) AS pairs FROM ({_PAIRS}) GROUP BY n')
+def overlap_by_count(spark, sf_dir):
+    return matches_by_count(_overlap(spark, sf_dir).at_least(1))
+
+
+@query(_TWO + "SELECT A_RecordId, B_RecordId, p.LastName AS left_LastName, p2.LastName AS right_LastName FROM m JOIN p ON p.RecordId = A_RecordId JOIN p2 ON p2.RecordId = B_RecordId WHERE RuleId = 'T3'")
+def overlap_look_back(spark, sf_dir):
+    over = _overlap(spark, sf_dir)
+    left = persons(spark, sf_dir).select("RecordId", "LastName")
+    right = persons(spark, sf_dir, THIRD, "D", OTHER).select("RecordId", "LastName")
+    return look_back(over.matches(["T3"]), left, right, over.ids)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
