@@ -73,8 +73,19 @@ def _curve_params(curve: str):
     return p.getParameterSpec(j.java.lang.Class.forName("java.security.spec.ECParameterSpec"))
 
 
+def _spec(key, name: str):
+    """A key as a public specification class: the providers' own key classes are closed to calls from outside."""
+    j = _jvm()
+    return j.java.security.KeyFactory.getInstance("EC").getKeySpec(key, j.java.lang.Class.forName(f"java.security.spec.{name}"))
+
+
+def _field_size(key) -> int:
+    name = "ECPrivateKeySpec" if key.getClass().getName().endswith("ECPrivateKeyImpl") else "ECPublicKeySpec"
+    return _spec(key, name).getParams().getCurve().getField().getFieldSize()
+
+
 def _curve_of(key) -> str:
-    return {256: "P-256", 384: "P-384", 521: "P-521"}[key.getParams().getCurve().getField().getFieldSize()]
+    return {256: "P-256", 384: "P-384", 521: "P-521"}[_field_size(key)]
 
 
 def generate_key_pair(curve: str = "P-256") -> tuple[bytes, bytes]:
@@ -82,7 +93,7 @@ def generate_key_pair(curve: str = "P-256") -> tuple[bytes, bytes]:
     if curve not in CURVES:
         raise ValueError(f"Unsupported curve: {curve}. Supported: {', '.join(CURVES)}")
     private, public = _generate(curve)
-    return _pem("PRIVATE", bytes(private.getEncoded())), _pem("PUBLIC", bytes(public.getEncoded()))
+    return _pem("PRIVATE", bytes(_spec(private, "PKCS8EncodedKeySpec").getEncoded())), _pem("PUBLIC", bytes(_spec(public, "X509EncodedKeySpec").getEncoded()))
 
 
 def _generate(curve: str):
@@ -169,8 +180,8 @@ def _recipient(public_pem: bytes, content_key: bytes) -> dict:
     public = _public(public_pem)
     curve = _curve_of(public)
     one, shown = _generate(curve)
-    size = (public.getParams().getCurve().getField().getFieldSize() + 7) // 8
-    point = shown.getW()
+    size = (_field_size(public) + 7) // 8
+    point = _spec(shown, "ECPublicKeySpec").getW()
     number = lambda n: _b64(int(n.toString()).to_bytes(size, "big"))
     epk = {"kty": "EC", "crv": curve, "x": number(point.getAffineX()), "y": number(point.getAffineY())}
     header = {"alg": ALGORITHM, "kid": kid_of(fingerprint(public_pem)), "epk": epk}
