@@ -102,7 +102,8 @@ class Overlap:
         sets = F.array(*[F.when(F.col(f"n{i}") == len(s), F.lit(i)) for i, s in enumerate(rule_sets)])
         hits = counts.select(a, b, F.explode(F.array_compact(sets)).alias("set"))
         found = hits.groupBy("set").agg(F.count_distinct(a).alias("m1"), F.count_distinct(b).alias("m2"))
-        total = self.left.agg(F.count_distinct("RecordId").alias("t1")).crossJoin(self.right.agg(F.count_distinct("RecordId").alias("t2")))  # one row each
+        both = self.left.select("RecordId", F.lit(1).alias("side")).union(self.right.select("RecordId", F.lit(2).alias("side"))).distinct()
+        total = both.agg(F.count_if(F.col("side") == 1).alias("t1"), F.count_if(F.col("side") == 2).alias("t2"))
         names = total.select("t1", "t2", F.posexplode(F.array(*[F.lit(",".join(s)) for s in rule_sets])).alias("set", "rules"))
         m1, m2 = F.coalesce("m1", F.lit(0)), F.coalesce("m2", F.lit(0))
         small = F.least("t1", "t2")
