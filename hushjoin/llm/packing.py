@@ -8,6 +8,7 @@ Repeated rows are packed once each. An empty table gives an empty result. Extra
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -18,39 +19,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushjoin.llm.common import WORD, Scratch, map_columns, worker_threads
+from hushjoin.llm.token_counts import byte_alphabet
 
 CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 PIECES_PER_TASK = 1 << 17
 MIN_TASKS = 4
-MEMO = 300_000
+MEMO = 500_000
 
 _encoders: dict = {}
 
 
-class WordIds:
-    """Token ids of whole texts. No merge of this vocabulary crosses a blank, so ids are kept by word."""
+#: Words that are one run of Latin-1 letters and ASCII marks after it: each part is one unit of the tokenizer.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{}~|]*)")
+
+
+class _Units(dict):
+    """Unit (letters or marks) to its ids, by the merges alone."""
+
+    def __init__(self, merge):
+        super().__init__({"": b""})
+        self.merge = merge
+        back = {b: c for c, b in byte_alphabet().items()}
+        self.spelled = {i: "".join(back[b] for b in chr(i).encode()) for i in range(0x80, 0x100)}
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+            self[""] = b""
+        ids = self[unit] = array("I", [t.id for t in self.merge(unit.translate(self.spelled))]).tobytes()
+        return ids
+
+
+class WordIds(dict):
+    """Word to its token ids, little-endian unsigned 32-bit. No merge of this vocabulary crosses a blank.
+
+    Most words are a run of letters with marks after it, which are two units of the tokenizer; any other word goes
+    to the tokenizer as it is. What is kept is bounded: it is emptied at a fixed size.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         worker_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [WORD.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        self.units = _Units(self.tokenizer.model.tokenize)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+        m = _PLAIN.fullmatch(word.lower())
+        if m and "<|" not in word:
+            ids = self.units[m[1]] + self.units[m[2]]
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, WORD.findall(text)))
 
 
 def encoder(path: str) -> WordIds:
@@ -64,29 +93,22 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, w
     width = 4 * capacity
 
     def start():
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
         end = array("I", [END_ID]).tobytes()
 
         def mapper(cols):
             out = {k: [] for k in (id_col, "piece", "start", "length", "ids_crc32", "ids")}
             texts = [t or "" for t in cols["text"]]
-            at = 0
-            while at < len(texts):  # few texts at a time: ids of long texts are many
-                stop, room = at, 4 << 20
-                while stop < len(texts) and (stop == at or len(texts[stop]) <= room):
-                    room -= len(texts[stop])
-                    stop += 1
-                for doc, ids in zip(cols[id_col][at:stop], encode(texts[at:stop])):
-                    ids += end
-                    for n, low in enumerate(range(0, len(ids), width)):
-                        part = ids[low : low + width]
-                        out[id_col].append(doc)
-                        out["piece"].append(n)
-                        out["start"].append(low // 4)
-                        out["length"].append(len(part) // 4)
-                        out["ids_crc32"].append(zlib.crc32(part))
-                        out["ids"].append(part if with_ids else None)
-                at = stop
+            for doc, text in zip(cols[id_col], texts):
+                ids = encode(text) + end
+                for n, low in enumerate(range(0, len(ids), width)):
+                    part = ids[low : low + width]
+                    out[id_col].append(doc)
+                    out["piece"].append(n)
+                    out["start"].append(low // 4)
+                    out["length"].append(len(part) // 4)
+                    out["ids_crc32"].append(zlib.crc32(part))
+                    out["ids"].append(part if with_ids else None)
             return out
 
         return mapper
