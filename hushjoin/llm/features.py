@@ -5,6 +5,7 @@ Null and empty texts have figures of zero and no marks. Whole texts are read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -14,92 +15,104 @@ from hushjoin.llm.common import WORD
 
 BITS = 0x7FFFFFFF
 MEMO = 300_000
-STYLE = ("log_words", "upper_words", "bang_words", "bar_words", "symbol_chars", "mark_words", "digit_chars", "distinct_words", "top_word", "same_next", "dup_lines", "repeat_windows", "mean_word", "long_words", "one_char", "line_words", "letters", "non_ascii", "commas", "stops", "upper_chars")
-SYMBOLS = "#*$%&|<>"
+STYLE = ("log_words", "upper_words", "bang_words", "bar_words", "symbol_chars", "mark_words", "digit_chars", "distinct_words", "top_word", "same_next", "dup_lines", "repeat_pairs", "mean_word", "long_words", "one_char", "line_words", "letters", "non_ascii", "commas", "stops", "upper_chars")
+UPPER, BANG, BAR, TAIL, LONG, ONE = 1, 2, 4, 8, 16, 32
+_OUTER = ".,;:!?\"'()[]{}*#%&$|<>"
+_SYMBOLS, _DIGITS, _CAPS, _BLANKS = b"#*$%&|<>", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" \t\n\x0b\x0c\r"
 
 
-class _Marks(dict):
-    """Word to what features need of it: hashed marks and a few flags."""
+def word_marks(word: str) -> tuple[int, ...]:
+    """Hashed marks of a word, in lower case and without outer punctuation: itself, and its first four to seven letters."""
+    core = word.lower().strip(_OUTER)
+    if not core:
+        return ()
+    out = [zlib.crc32(b"w" + core.encode("utf-8", "surrogatepass")) & BITS]
+    for n in (4, 5, 6, 7):
+        if len(core) > n:
+            out.append(zlib.crc32(b"p%d" % n + core[:n].encode("utf-8", "surrogatepass")) & BITS)
+    return tuple(out)
 
-    def __missing__(self, word: str):
+
+def frequent(mark: int) -> tuple[int, int, int]:
+    """Further marks of a mark that comes twice, three times, or as one word in sixty."""
+    return (mark * 31 + 2) & BITS, (mark * 31 + 3) & BITS, (mark * 31 + 5) & BITS
+
+
+class Marks(dict):
+    """Word to its marks; with `only` to those that the chosen marks need, which most words have none of."""
+
+    def __init__(self, only: np.ndarray | None = None):
+        super().__init__()
+        self.only = None if only is None else set(only.tolist())
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > MEMO:
             self.clear()
-        low = word.lower()
-        core = low.strip(".,;:!?\"'()[]{}*#%&$|<>")
-        marks = []
-        if core:
-            raw = core.encode("utf-8", "surrogatepass")
-            marks.append(zlib.crc32(b"w" + raw) & BITS)
-            for n in (4, 5, 6, 7):
-                if len(core) > n:
-                    marks.append(zlib.crc32(b"p%d" % n + core[:n].encode("utf-8", "surrogatepass")) & BITS)
-        tail = word[len(word.rstrip("*#%&$|<>")) :] if word else ""
-        flags = (word.isupper() and len(word) > 1, "!" in word, word == "|", bool(tail), len(word) > 14, len(word) == 1)
-        found = self[word] = (tuple(marks), flags)
-        return found
-
-
-_marks = _Marks()
-
-
-def _often(counts: Counter, n: int) -> set[int]:
-    """All marks, and further ones for marks that come twice, three times, or as one word in sixty of n words."""
-    found: dict[int, int] = {}
-    get = _marks.__getitem__
-    for w, c in counts.items():
-        for m in get(w)[0]:
-            found[m] = found.get(m, 0) + c
-    out = set(found)
-    for m, c in found.items():
-        if c > 1:
-            out.add((m * 31 + 2) & BITS)
-            if c > 2:
-                out.add((m * 31 + 3) & BITS)
-            if c * 60 >= n:
-                out.add((m * 31 + 5) & BITS)
-    return out
+        marks = word_marks(word)
+        if self.only is not None:
+            marks = tuple(m for m in marks if m in self.only or not self.only.isdisjoint(frequent(m)))
+        self[word] = marks
+        return marks
+
+    def of(self, counts: Counter, n: int) -> np.ndarray:
+        """Sorted distinct marks of a text of n words."""
+        found: dict[int, int] = {}
+        for w, c in counts.items():
+            for m in self[w]:
+                found[m] = found.get(m, 0) + c
+        out = set(found)
+        for m, c in found.items():
+            if c > 1:
+                twice, thrice, dense = frequent(m)
+                out.add(twice)
+                if c > 2:
+                    out.add(thrice)
+                if c * 60 >= n:
+                    out.add(dense)
+        return np.array(sorted(out), np.int32)
+
+
+class _Kinds(dict):
+    """Word to the bits of what is odd about it; 0 for most words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        tail = word[-1] in "*#%&$|<>"
+        kind = UPPER * (word.isupper() and len(word) > 1) | BANG * ("!" in word) | BAR * (word == "|") | TAIL * tail | LONG * (len(word) > 14) | ONE * (len(word) == 1)
+        self[word] = kind
+        return kind
 
 
-def marks_of(text: str | None) -> np.ndarray:
-    """Sorted distinct hashed marks of a text: its words, without outer punctuation, their first letters, and how often they come."""
-    words = WORD.findall(text) if text else []
-    return np.array(sorted(_often(Counter(words), len(words))), np.int32)
+_kinds = _Kinds()
 
 
-def style_and_marks(text: str | None) -> tuple[list[float], set[int]]:
+def words_of(text: str | None) -> tuple[list[str], Counter]:
     words = WORD.findall(text) if text else []
+    return words, Counter(words)
+
+
+def style_of(text: str | None, words: list[str], counts: Counter) -> list[float]:
     n = len(words)
     if not n:
-        return [0.0] * len(STYLE), set()
-    counts = Counter(words)
-    upper = bang = bar = tail = long = one = 0
-    get = _marks.__getitem__
+        return [0.0] * len(STYLE)
+    odd: Counter = Counter()
+    get = _kinds.__getitem__
     for w, c in counts.items():
-        u, b, p, t, big, single = get(w)[1]
-        upper += c * u
-        bang += c * b
-        bar += c * p
-        tail += c * t
-        long += c * big
-        one += c * single
-    size = len(text)
+        if kind := get(w):
+            odd[kind] += c
+    upper, bang, bar, tail, long, one = (sum(c for k, c in odd.items() if k & bit) for bit in (UPPER, BANG, BAR, TAIL, LONG, ONE))
+    size, raw = len(text), text.encode("utf-8", "surrogatepass")
+    without = lambda chars: len(raw) - len(raw.translate(None, chars))
+    symbols, digits, caps, chars = without(_SYMBOLS), without(_DIGITS), without(_CAPS), size - without(_BLANKS)
+    commas, stops = text.count(","), text.count(".")
     lines = [x for x in text.split("\n") if x and not x.isspace()]
-    windows = n - 2
-    distinct = len(set(zip(words, words[1:], words[2:]))) if windows > 0 else 0
-    same = sum(map(str.__eq__, words, words[1:]))
-    symbols = sum(map(text.count, SYMBOLS))
-    digits = sum(map(text.count, "0123456789"))
-    stops = text.count(".")
-    raw = len(text.encode("utf-8", "surrogatepass"))
-    marks_n = symbols + digits + stops + text.count(",") + text.count("!")
-    lower = text.lower()
-    caps = sum(map(str.__ne__, text, lower)) if len(lower) == size else 0
-    chars = sum(len(w) * c for w, c in counts.items())
     return [
-        float(np.log1p(n)), upper / n, bang / n, bar / n, symbols / size, tail / n, digits / size, len(counts) / n ** 0.85,
-        max(counts.values()) / n, same / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - distinct / windows if windows > 0 else 0.0,
-        chars / n, long / n, one / n, n / max(1, len(lines)), 1 - marks_n / chars, (raw - size) / size, text.count(",") / n, stops / n, caps / size,
-    ], _often(counts, n)
+        math.log1p(n), upper / n, bang / n, bar / n, symbols / size, tail / n, digits / size, len(counts) / n**0.85,
+        max(counts.values()) / n, sum(map(str.__eq__, words, words[1:])) / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(zip(words, words[1:]))) / max(1, n - 1),
+        chars / n, long / n, one / n, n / max(1, len(lines)), 1 - (symbols + digits + stops + commas + text.count("!")) / chars,
+        (len(raw) - size) / size, commas / n, stops / n, caps / size,
+    ]
 
 
 def matrix(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
@@ -125,7 +138,7 @@ def informative(rows: list[np.ndarray], target: np.ndarray, least: int, most: in
     c1 = np.bincount(place, weight, len(marks))
     c0 = np.bincount(place, 1 - weight, len(marks))
     both = c1 + c0
-    p = (c1 + c0) / (n1 + n0)
+    p = both / (n1 + n0)
     score = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     score[both < least] = 0
     top = np.argsort(-score, kind="stable")[:most]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hushjoin.llm.common import crc_mod, map_columns
-from hushjoin.llm.features import informative, matrix, style_and_marks
+from hushjoin.llm.features import Marks, informative, matrix, style_of, words_of
 from hushjoin.llm.training import SAMPLE_ROWS, binned, edges_of, labelled_sample
 
 CUT = 0.3
@@ -51,17 +51,17 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float =
     """Weights w that make w.(x_better - x_worse) large: Adam on the logistic loss over seeded pairs."""
     rng = np.random.RandomState(seed)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     if not len(good) or not len(bad):
         return w
     first, second = rng.choice(good, pairs), rng.choice(bad, pairs)
     for t in range(1, steps + 1):
         part = rng.randint(0, pairs, 4096)
         d = x[first[part]] - x[second[part]]
-        miss = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+        miss = (1 / (1 + np.exp(np.clip(d @ w, -30, 30)))).astype(np.float32)
         g = l2 * w - d.T @ miss / len(part)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = w - np.float32(0.05) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(v / np.float32(1 - 0.999**t)) + np.float32(1e-8))
     return w
 
 
@@ -103,11 +103,15 @@ def scored(docs: DataFrame, model: Ranker, column: str = "score") -> DataFrame:
     schema = StructType([*docs.schema.fields]).add(column, "double")
 
     def start():
+        chosen = Marks(model.columns)
+
         def mapper(cols):
-            both = [style_and_marks(t) for t in cols["text"]]
-            style = np.array([s for s, _ in both])
-            marks = [np.array(sorted(m), np.int32) for _, m in both]
-            return cols | {column: model.score(model.raw(style, marks)).tolist()}
+            style, marks = [], []
+            for text in cols["text"]:
+                words, counts = words_of(text)
+                style.append(style_of(text, words, counts))
+                marks.append(chosen.of(counts, len(words)))
+            return cols | {column: model.score(model.raw(np.array(style), marks)).tolist()}
 
         return mapper
 

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushjoin.llm.common import crc_mod, map_columns
-from hushjoin.llm.features import STYLE, style_and_marks
+from hushjoin.llm.features import STYLE, Marks, style_of, words_of
 
 #: The most labelled rows a model is fitted on: those with the least hash of their id.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, parts: int, held_out: int, most: int = SAMPLE_ROWS):
@@ -21,9 +21,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, parts: int,
     picked = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(rows), "id")  # at most `most` rows
 
     def start():
+        marks = Marks()
+
         def mapper(cols):
-            both = [style_and_marks(t) for t in cols["text"]]
-            return {"id": cols["id"], "y": cols["y"], "style": [np.array(s).tobytes() for s, _ in both], "marks": [np.array(sorted(m), np.int32).tobytes() for _, m in both]}
+            out = {"id": cols["id"], "y": cols["y"], "style": [], "marks": []}
+            for text in cols["text"]:
+                words, counts = words_of(text)
+                out["style"].append(np.array(style_of(text, words, counts)).tobytes())
+                out["marks"].append(marks.of(counts, len(words)).tobytes())
+            return out
 
         return mapper
 
