@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushjoin.llm.common import crc_mod, map_columns
-from hushjoin.llm.features import STYLE, informative, marks_of, matrix
+from hushjoin.llm.features import STYLE, Marks, informative, matrix, words_of
 from hushjoin.llm.training import SAMPLE_ROWS, labelled_sample
 
 CUT = 0.3
 PARTS, HELD_OUT = 4, 2
 VOTERS = 120
-MARKS = 1000
+MARKS = 500
 SEED = 5
 PATTERNS = (("bang_words", 0.2), ("upper_words", 0.3), ("digit_chars", 0.05), ("symbol_chars", 0.05), ("same_next", 0.2))
 
@@ -94,19 +94,20 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
     return model
 
 
-def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:
     """Linear classifier on soft targets: Adam on the full logistic loss, l2 in units of one row."""
     n, k = x.shape
-    w, b = np.zeros(k + 1), 0.0
-    m, s = np.zeros(k + 1), np.zeros(k + 1)
-    x1 = np.hstack([x, np.ones((n, 1), x.dtype)])
+    w, m, s = (np.zeros(k + 1, np.float32) for _ in range(3))
+    x1 = np.ones((n, k + 1), np.float32)
+    x1[:, :-1] = x
+    target = target.astype(np.float32)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        g = x1.T @ (p - target) / n
-        g[:-1] += l2 * w[:-1] / n
+        g = (p - target) @ x1 / np.float32(n)
+        g[:-1] += np.float32(l2 / n) * w[:-1]
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+        w = w - np.float32(0.15) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(s / np.float32(1 - 0.999**t)) + np.float32(1e-8))
+    return w[:-1].astype(float), float(w[-1])
 
 
 @dataclass
@@ -135,7 +136,7 @@ def fit(style: np.ndarray, marks: list[np.ndarray], y: np.ndarray) -> Toxicity:
     columns = np.union1d(informative(marks, post, least=5, most=MARKS, z=6.0), lexicon).astype(np.int32)
     # texts with some of their marks taken out, judged anew by the label model: few marks must be enough
     rng = np.random.RandomState(SEED)
-    thin = [[m[rng.rand(len(m)) < keep] for m in marks] for keep in (1.0, 0.3, 0.1)]
+    thin = [[m[rng.rand(len(m)) < keep] for m in marks] for keep in (1.0, 0.2)]
     rows = [m for part in thin for m in part]
     target = np.concatenate([model.posterior(votes(style, part, lexicon)) for part in thin])
     weights, bias = logistic(matrix(rows, columns), target)
@@ -153,7 +154,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     def start():
-        return lambda cols: {"doc_id": cols["doc_id"], "score": model.score([marks_of(t) for t in cols["text"]]).tolist()}
+        chosen = Marks(model.columns)
+
+        def mapper(cols):
+            marks = [chosen.of(counts, len(words)) for words, counts in map(words_of, cols["text"])]
+            return {"doc_id": cols["doc_id"], "score": model.score(marks).tolist()}
+
+        return mapper
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = map_columns(docs, start, f"doc_id {kind}, score double")
