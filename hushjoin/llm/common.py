@@ -65,7 +65,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_columns(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict]], ddl: str | StructType) -> DataFrame:
-    """Map batches of df, as a dict of Python lists, to a dict of columns. fn() runs once a task and returns the mapper."""
+    """Map batches of df, as a dict of Python lists, to a dict of columns. fn() runs once a task and returns
+    the mapper, whose attribute `last`, if it has one, gives the columns that follow the last batch."""
     bounded_batches(df.sparkSession)
     schema = _parse_datatype_string(ddl) if isinstance(ddl, str) else ddl
     arrow = to_arrow_schema(schema)
@@ -76,6 +77,9 @@ def map_columns(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict
             if batch.num_rows:
                 out = mapper(batch.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        if last := getattr(mapper, "last", None):
+            out = last()
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, component (least node reachable) for every node on an edge. edges: u, v (long) in any direction; loops are ignored."""
+    """node, component (least node reachable) for every node that can reach a smaller one. edges: u, v (long) in any direction; loops are ignored."""
     now = scratch.write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _mark(now)
     while seen[0]:

@@ -3,10 +3,12 @@
 1. Each text becomes its set of word shingles (64-bit hashes). Texts with equal sets are one class, led by the
    smallest id, so that copies cost nothing further.
 2. Leaders get minima of N_HASHES universal hashes, cut into bands; equal bands put leaders into a bucket.
-3. Links are looked for in rounds, and components that are known cut the work: first every leader is held
-   against the least leader it meets in any bucket; then, while a bucket holds leaders of different components,
-   small buckets compare those of different components, and large ones hold one member at a time against the
-   others. A pair is first judged by its minima (far pairs go), then confirmed on the full sets.
+3. Links are looked for in rounds, and components that are known cut the work. First every leader is held against the
+   least leader it meets in any bucket. Then, in buckets that hold leaders of different components, the leaders outside
+   the bucket's largest component are held, in blocks of fixed size, and the bucket's members stream past them: while
+   that finds enough, each held leader proposes the few members of other components whose minima agree most; the last
+   round takes every pair of different components whose minima allow a link. Pairs are confirmed on the full sets;
+   leaders that very many others resemble are compared on full sets where they are held.
 4. Components of the confirmed links come from alternating large-star and small-star.
 
 With 26 bands of 5, a pair at the threshold of 0.8 meets in no bucket with a chance of 3e-5, and nearer pairs
@@ -16,6 +18,8 @@ are one document and give one result each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,14 +33,19 @@ N_HASHES = BANDS * ROWS
 SEED = 20240607
 #: A pair at the threshold has fewer equal minima than this with a chance under 1e-6.
 LEAST_EQUAL = 80
-SMALL_BUCKET = 24
+#: Held leaders and streaming members of one task and bucket.
+HELD_ROWS, STREAM_ROWS = 2048, 16_384
+#: Proposals of a held leader in a task, and the share of them that must be links for another such round.
+PROPOSALS, WORTH = 3, 0.05
+HELD_SHINGLES = 1 << 21
+#: A held leader with more possible partners than this in a task is compared on full sets, without writing pairs.
+CROWD = 64
 PAIRS_PER_CENTRE = 256
 MAX_BROADCAST_IDS = 200_000
 MEMO = 400_000
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_params = np.random.RandomState(SEED).randint(1, 1 << 62, size=(2, N_HASHES, 1)).astype(np.uint64)
-_A, _B = _params[0] * np.uint64(2) + np.uint64(1), _params[1]
+_A = np.random.RandomState(SEED).randint(0, 1 << 31, size=(N_HASHES, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 class _WordHash(dict):
@@ -66,12 +75,11 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def minima(shingles: np.ndarray) -> bytes:
-    """N_HASHES minima of multiply-add-shift hashes, 32 bits each."""
-    low = np.full(N_HASHES, 0xFFFFFFFF, np.uint64)
-    x = (shingles >> np.uint64(32))[None, :]
-    with np.errstate(over="ignore"):
-        for at in range(0, x.shape[1], 1024):
-            low = np.minimum(low, ((x[:, at : at + 1024] * _A + _B) >> np.uint64(32)).min(axis=1))
+    """N_HASHES minima of multiplicative universal hashes (odd factors, modulo 2**32) of the shingles' upper halves."""
+    low = np.full(N_HASHES, 0xFFFFFFFF, np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
+    for at in range(0, x.shape[1], 2048):
+        low = np.minimum(low, (x[:, at : at + 2048] * _A).min(axis=1))
     return low.astype("<u4").tobytes()
 
 
@@ -117,24 +125,147 @@ def _close(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
     return map_columns(both.select("a", "b", "ma", "mb"), start, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs whose full sets overlap enough. Only documents of pairs are read again.
+class _Stream:
+    """Held leaders of one (bucket, block, chunk), and members that stream past them. Modes:
 
-    Rows are sorted by centre, the centre's set first, and stream through a task that holds one set at a time.
-    A centre with many partners is copied to a number of groups that follows from their count.
+    propose: a held leader's few best members of other components.
+    all: every member whose minima allow a link; a held leader with more than CROWD of them is only named (b null).
+    exact: full sets are compared here; pairs that join two components not yet joined in this task.
+    """
+
+    def __init__(self, mode: str, percent: int):
+        self.mode, self.percent, self.key = mode, percent, None
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.comps, self.sizes, self.minima, self.sets, self.best = [], [], [], [], [], []
+        self.table, self.root = None, {}
+
+    def find(self, c: int) -> int:
+        while (up := self.root.get(c, c)) != c:
+            c = up
+        return c
+
+    def close(self, out: dict) -> None:
+        for a, found in zip(self.ids, self.best):
+            if self.mode == "all" and len(found) > CROWD:
+                found = [(0, None)]
+            for _, b in found:
+                out["a"].append(a if b is None else min(a, b))
+                out["b"].append(None if b is None else max(a, b))
+                out["bucket"].append(self.key[0])
+
+    def take(self, key, role, i, c, n, raw, out: dict) -> None:
+        if key != self.key:
+            self.close(out)
+            self.clear()
+            self.key = key
+        m = np.frombuffer(raw, "<u4", N_HASHES)
+        if role == 0:
+            self.ids.append(i)
+            self.comps.append(c)
+            self.sizes.append(n)
+            self.minima.append(m)
+            self.best.append([])
+            if self.mode == "exact":
+                self.sets.append(np.frombuffer(raw, np.uint64, offset=4 * N_HASHES))
+            return
+        if self.table is None:
+            self.table = (np.array(self.comps), np.array(self.sizes), np.array(self.minima))
+        comps, sizes, minima = self.table
+        other = np.flatnonzero((comps != c) & (100 * np.minimum(sizes, n) >= self.percent * np.maximum(sizes, n)))
+        if not len(other):
+            return
+        equal = (minima[other] == m).sum(axis=1)
+        near = equal >= LEAST_EQUAL
+        for k, e in zip(other[near].tolist(), equal[near].tolist()):
+            best = self.best[k]
+            if self.mode == "all":
+                if len(best) <= CROWD:
+                    best.append((e, i))
+            elif self.mode == "propose":
+                (heapq.heappush if len(best) < PROPOSALS else heapq.heappushpop)(best, (e, i))
+            elif (one := self.find(self.comps[k])) != (two := self.find(c)):
+                own, theirs = self.sets[k], np.frombuffer(raw, np.uint64, offset=4 * N_HASHES)
+                both = len(np.intersect1d(own, theirs, assume_unique=True))
+                if 100 * both >= self.percent * (len(own) + len(theirs) - both):
+                    self.root[max(one, two)] = min(one, two)
+                    best.append((e, i))
+
+
+def _streamed(held: DataFrame, rows: DataFrame, mode: str, percent: int) -> DataFrame:
+    """Distinct a, b, bucket of held leaders against the rows of their buckets: columns bucket, id, c, n_shingles, payload.
+
+    Blocks bound the held rows and shingles of a task, chunks the rows that stream through it.
     """
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    n = wanted.count()
-    ids = F.broadcast(wanted) if n <= MAX_BROADCAST_IDS else wanted
-    src = docs.join(ids, "id", "left_semi")
+    size = F.greatest(F.ceil(F.count("*") / HELD_ROWS), F.ceil(F.sum("n_shingles") / HELD_SHINGLES)).cast("int")
+    blocks = held.groupBy("bucket").agg(size.alias("blocks"))
+    chunks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("chunks"))
+    deal = blocks.join(chunks, "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    kept = held.join(deal, "bucket").withColumn("block", own("blocks")).withColumn("chunk", every("chunks")).withColumn("role", F.lit(0))
+    passing = rows.join(deal, "bucket").withColumn("chunk", own("chunks")).withColumn("block", every("blocks")).withColumn("role", F.lit(1))
+    cols = ["bucket", "block", "chunk", "role", "id", "c", "n_shingles", "payload"]
+    dealt = kept.select(*cols).union(passing.select(*cols)).repartition("bucket", "block", "chunk").sortWithinPartitions(*cols[:5])
+
+    def start():
+        stream = _Stream(mode, percent)
 
-    def start_sets():
         def mapper(cols):
-            return {"id": cols["id"], "shingles": [shingle_set(t, size).tobytes() for t in cols["text"]]}
+            out = {"a": [], "b": [], "bucket": []}
+            for bucket, block, chunk, role, i, c, n, raw in zip(*(cols[k] for k in ("bucket", "block", "chunk", "role", "id", "c", "n_shingles", "payload"))):
+                stream.take((bucket, block, chunk), role, i, c, n, raw, out)
+            return out
 
+        def last():
+            out = {"a": [], "b": [], "bucket": []}
+            stream.close(out)
+            return out
+
+        mapper.last = last
         return mapper
 
-    sets = scratch.write(map_columns(src, start_sets, "id long, shingles binary").dropDuplicates(["id"]))
+    return map_columns(dealt, start, "a long, b long, bucket long")
+
+
+def _open_rows(buckets: DataFrame, label: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Rows of buckets that span components: bucket, id, c (component), main (the bucket's largest), n_shingles, minima."""
+    marked = buckets.join(label, buckets.id == label.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    parts = marked.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    state = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    state = state.select("bucket", F.col("top.c").alias("main"))
+    return marked.join(state, "bucket").join(leaders, "id").select("bucket", "id", "c", "main", "n_shingles", "minima")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """id and shingles (binary) of the documents whose id is wanted; only those texts are read into sets."""
+    ids = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+
+    def start():
+        return lambda cols: {"id": cols["id"], "shingles": [shingle_set(t, size).tobytes() for t in cols["text"]]}
+
+    return map_columns(docs.join(ids, "id", "left_semi"), start, "id long, shingles binary").dropDuplicates(["id"])
+
+
+def _links_in_crowds(crowded: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links of leaders that very many members of a bucket resemble, found on full sets without writing pairs."""
+    there = rows.join(crowded.select("bucket").distinct(), "bucket", "left_semi")
+    sets = scratch.write(_sets(docs, there.select("id").distinct(), size))
+    full = scratch.write(there.join(sets, "id").select("bucket", "id", "c", "n_shingles", F.concat("minima", "shingles").alias("payload")))
+    held = full.join(crowded, ["bucket", "id"], "left_semi")
+    out = scratch.write(_streamed(held, full, "exact", percent).select("a", "b").distinct())
+    scratch.drop(sets, full)
+    return out
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs whose full sets overlap enough. Only documents of pairs are read again.
+
+    Rows are sorted by centre, the centre's set first, and stream through a task that holds one set at a time.
+    A centre with many partners is copied to a number of groups that follows from their count.
+    """
+    sets = scratch.write(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), size))
     spread = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {PAIRS_PER_CENTRE}) as int)").alias("groups"))
     members = pairs.join(spread, "a").withColumn("g", F.expr("pmod(xxhash64(b), groups)").cast("int"))
     members = members.join(sets, members.b == sets.id).select("a", "g", "b", "shingles")
@@ -175,32 +306,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     shared = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     buckets = scratch.write(rows.join(shared, "bucket").select("bucket", "id", "first"))
 
-    def search(pairs: DataFrame) -> DataFrame:
-        near = scratch.write(_close(pairs, leaders))
-        found, sets = _confirmed(near, texts, size, scratch, percent)
-        scratch.drop(near, sets)
-        return found
-
     # every leader against the least leader it meets in any bucket
-    found = search(buckets.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).filter("a < b"))
+    near = scratch.write(_close(buckets.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).filter("a < b"), leaders))
+    found, sets = _confirmed(near, texts, size, scratch, percent)
+    scratch.drop(near, sets)
     links = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = components(links, scratch)
     buckets = buckets.select("bucket", "id")
+    mode = "propose"
     while True:
-        marked = buckets.join(label, buckets.id == label.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        state = marked.groupBy("bucket").agg(F.min("c").alias("c0"), F.max(F.struct("c", "id")).alias("top"), F.count("*").alias("n")).filter("c0 < top.c")
-        open_rows = scratch.write(marked.join(state, "bucket").select("bucket", "id", "c", "n", F.col("top.c").alias("tc"), F.col("top.id").alias("tid")))
-        if open_rows.isEmpty():
+        rows = scratch.write(_open_rows(buckets, label, leaders))
+        if rows.isEmpty():
             break
-        small = open_rows.filter(F.col("n") <= SMALL_BUCKET)
-        other = small.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"))
-        in_small = small.join(other, "bucket").filter("a < id and ca <> c").select("a", F.col("id").alias("b"))
-        in_large = open_rows.filter((F.col("n") > SMALL_BUCKET) & (F.col("c") != F.col("tc"))).select(F.col("tid").alias("a"), F.col("id").alias("b"))
-        found = search(in_small.union(in_large).distinct())
-        buckets = open_rows.filter((F.col("n") > SMALL_BUCKET) & (F.col("id") != F.col("tid"))).select("bucket", "id")
-        if not found.isEmpty():
+        plain = rows.withColumnRenamed("minima", "payload")
+        seen = scratch.write(_streamed(plain.filter("c <> main"), plain, mode, percent).distinct())
+        pairs = scratch.write(seen.filter("b is not null").select("a", "b").distinct())
+        found, sets = _confirmed(pairs, texts, size, scratch, percent)
+        tried, linked = pairs.count(), found.count()
+        scratch.drop(pairs, sets)
+        crowded = seen.filter("b is null").select("bucket", F.col("a").alias("id"))
+        if mode == "all" and not crowded.isEmpty():
+            found = found.union(_links_in_crowds(crowded, rows, texts, size, percent, scratch))
+        scratch.drop(rows)
+        if linked or mode == "all":
             links = label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
             label = components(links, scratch)
+        if mode == "all":
+            break  # every pair of a bucket is now in one component or tried
+        mode = "propose" if linked > WORTH * tried else "all"
     member = sig.select("id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     joined = member.join(label, member.leader == label.node, "left")
     out = joined.select("id", "n_shingles", F.coalesce("component", "leader", "id").alias("component_id"))
