@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hushjoin.llm.common import WORD, Scratch, map_columns, worker_threads
 from hushjoin.llm.token_counts import byte_alphabet
@@ -25,7 +26,6 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 PIECES_PER_TASK = 1 << 17
-MIN_TASKS = 4
 MEMO = 500_000
 
 _encoders: dict = {}
@@ -165,8 +165,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     an executor is lost gives the same sequences. Each task leaves at most open_bins unfilled sequences.
     """
     if tasks is None:
-        tasks = max(MIN_TASKS, -(-pieces.count() // PIECES_PER_TASK))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+        tasks = max(1, -(-pieces.count() // PIECES_PER_TASK))
+    schema = StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long")
 
     def run(batches):
         bins = OpenBins(capacity, open_bins)
