@@ -94,12 +94,11 @@ def rejected_hosts(verdicts: DataFrame, host: str, failed: str, max_rate: float
     spread between hosts, or none beyond what the mean allows, it weighs as much as one document.
     """
     hosts = verdicts.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
-    rates = hosts.withColumn("r", F.col("n_failed") / F.col("n"))
-    prior = rates.agg(F.avg("r").alias("m"), F.var_pop("r").alias("v"))
-    strength = F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("v")), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(1.0))
-    prior = prior.select("m", strength.alias("s"))
-    shrunk = hosts.join(F.broadcast(prior))  # one row
-    shrunk = shrunk.withColumn("rate", (F.col("n_failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s")))
+    rate = F.col("n_failed") / F.col("n")
+    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # one row
+    m, v = m or 0.0, v or 0.0
+    s = m * (1 - m) / v - 1 if v > 0 and m * (1 - m) > v else 1.0
+    shrunk = hosts.withColumn("rate", (F.col("n_failed") + F.lit(m) * F.lit(s)) / (F.col("n") + F.lit(s)))
     return shrunk.filter(F.col("rate") > max_rate).select("host", "n", "n_failed", "rate")
 
 
