@@ -28,6 +28,7 @@ TEXT_BYTES = 2_000
 PIECE_BYTES = 2_048
 LEVEL = 9
 NARROW = 0.01
+MAX_BROADCAST_LANGS = 10_000
 RECHECK = 0.03
 UND = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -44,7 +45,9 @@ def sample_texts(docs: DataFrame) -> dict[str, bytes]:
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.expr(f"pmod(xxhash64(id, 7), 1000000) < 1000000 * {SAMPLE_TEXTS} / n")
     part = F.substring("text", 1, TEXT_BYTES)
-    got = rows.join(F.broadcast(sizes), "lang").filter(share).select("lang", "id", part.alias("part")).toPandas()
+    if sizes.count() <= MAX_BROADCAST_LANGS:
+        sizes = F.broadcast(sizes)
+    got = rows.join(sizes, "lang").filter(share).select("lang", "id", part.alias("part")).toPandas()
     out = {}
     for lang, rows in got.sort_values(["lang", "id", "part"]).groupby("lang"):
         text = b"\n".join(t.lower().encode("utf-8", "surrogatepass") for t in rows["part"])
