@@ -54,6 +54,14 @@ class Pipeline:
         raw = crypto.secret_bytes(secret) if secret is not None else None
         return cls(raw is not None, raw, crypto.key_bytes(key), envelope, envelope, (ring or "").strip() or str(uuid.uuid4()))
 
+    @classmethod
+    def from_exchange(cls, ring: str | None = None, **inputs) -> Pipeline:
+        """Secret and transport key of exchange settings. inputs: those of exchange.resolve()."""
+        from hushjoin.sources import exchange
+
+        found = exchange.resolve(**inputs)
+        return cls.sealed(found.hashing_secret, exchange.transport_key(found), ring)
+
     def token(self, signature: Column, rule: str) -> Column:
         blank = is_blank(signature)
         out = crypto.sha256_hex(signature) if self.hashed else signature

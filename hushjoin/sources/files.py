@@ -47,8 +47,9 @@ def write_tokens(tokens: DataFrame, path: str, kind: str | None = None) -> None:
         out.option("compression", "snappy").parquet(path)
 
 
-def write_matches(pairs: DataFrame, path: str) -> None:
-    pairs.write.mode("overwrite").option("header", True).csv(path)
+def write_matches(pairs: DataFrame, path: str, names: dict[str, str] | None = None) -> None:
+    """Pairs as CSV, with columns renamed where names says so, such as {"A_RecordId": "HospitalRecordId"}."""
+    pairs.withColumnsRenamed(names or {}).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_single_csv(df: DataFrame, path: str) -> str:

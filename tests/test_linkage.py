@@ -297,6 +297,9 @@ def test_exchange(spark, tmp_path):
     assert [s.role for s in sides] == ["sender", "recipient"] and sides[0].hashing_secret == b"s" * 32
     keys = [exchange.transport_key(s) for s in sides]
     assert keys[0] == keys[1] and len(keys[0]) == 32
+    pipe = Pipeline.from_exchange("ring", value=doc, private_key_value=pairs[0][0])
+    assert (pipe.secret, pipe.key, pipe.ring) == (b"s" * 32, keys[0], "ring")
+    assert OverlapAnalyzer.from_exchange(value=doc, private_key_value=pairs[1][0]).key == keys[0]
     exchange.save_key_pair(tmp_path, "me", *pairs[1])
     assert exchange.resolve(value=doc, folder=tmp_path).role == "recipient"
     stranger = exchange.generate_key_pair("P-384")[0]
