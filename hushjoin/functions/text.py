@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache, reduce
@@ -22,12 +23,18 @@ TRANSLITERATION = {
 }
 
 
+def _spelled(pattern: str) -> str:
+    """The pattern with \\s standing for all white space: four separators are missing from the engine's own class."""
+    kept = {r"[^\s]": r"[^\s\x1c-\x1f]", BLANK: BLANK, r"\s": BLANK}
+    return re.sub("|".join(map(re.escape, kept)), lambda m: kept[m[0]], pattern)
+
+
 def matches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return c.rlike((FLAGS_I if ignore_case else FLAGS) + pattern)
+    return c.rlike((FLAGS_I if ignore_case else FLAGS) + _spelled(pattern))
 
 
 def swap(c: Column, pattern: str, to: str, ignore_case: bool = False) -> Column:
-    return F.regexp_replace(c, (FLAGS_I if ignore_case else FLAGS) + pattern, to)
+    return F.regexp_replace(c, (FLAGS_I if ignore_case else FLAGS) + _spelled(pattern), to)
 
 
 def strip(c: Column) -> Column:

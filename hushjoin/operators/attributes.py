@@ -101,7 +101,7 @@ def integer(c: Column) -> Column:
 
 def decimal(c: Column) -> Column:
     """Shortest digits that give the same double: plain from 1e-4 up to 1e16, else with an exponent of two digits at least."""
-    d = strip(c).cast("double")
+    d = strip(c).try_cast("double")
     text = d.cast("string")  # 1.0E10, 1.234E-5, 12.5
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     body = F.regexp_replace(text, "^-", "")
