@@ -42,8 +42,6 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths = getattr(self, "_paths", {})
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 

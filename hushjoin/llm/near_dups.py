@@ -13,7 +13,8 @@
 
 With 26 bands of 5, a pair at the threshold of 0.8 meets in no bucket with a chance of 3e-5, and nearer pairs
 less. Null texts and texts without words have an empty set and are linked with nothing. Repeated rows of one id
-are one document and give one result each. An empty table gives an empty result. Null ids are kept, unlinked.
+are one document and give one result each. An empty table gives an empty result. Null ids are kept, unlinked
+and with a null component.
 """
 
 from __future__ import annotations
@@ -336,7 +337,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         mode = "propose" if linked > WORTH * tried else "all"
     member = sig.select("id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     joined = member.join(label, member.leader == label.node, "left")
-    out = joined.select("id", "n_shingles", F.coalesce("component", "leader", "id").alias("component_id"))
+    out = joined.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "leader", "id")).alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return out.withColumn("kept", kept).withColumnRenamed("id", id_col)
 
