@@ -25,7 +25,7 @@ def _left(new: str, old: str) -> str:
     return f"CASE WHEN {new} <> '' THEN {new} ELSE {old} END"
 
 
-def people_sql(where: str = "1 = 1", prefix: str = "C", shift: int = 0, name: str = "") -> str:
+def people_sql(prefix: str = "C", keys: str = "c_custkey", name: str = "") -> str:
     """CTEs p<name> (raw), ... n<name>: normalized columns fn ln bd sx pc sn, and whether each is valid: ok_fn ..."""
     n = name
     plain = lambda c: f"replace(translate({_strip(c)}, 'ÉéíóëüøŁł', 'EeioeuoLl'), 'ß', 'ss')"
@@ -42,7 +42,7 @@ def people_sql(where: str = "1 = 1", prefix: str = "C", shift: int = 0, name: st
     digits = f"regexp_replace({sn}, '\\..*$', '')"
     ca = "upper(regexp_replace(PostalCode, '\\s+', '', 'g'))"
     return f"""p{n} AS (
-  {people.view(where, prefix, shift)}
+  {people.view(prefix, keys)}
 ), a{n} AS (
   SELECT *, {plain('FirstName')} AS f0, {plain('LastName')} AS l0, try_cast({day} AS DATE) AS d0, regexp_replace(PostalCode, '\\s+', '', 'g') AS z0,
     regexp_matches(PostalCode, '^\\s*(\\d{{3}}|\\d{{4}}|\\d{{5}}(-\\d{{4}})?|\\d{{9}})\\s*$') AND NOT ({starts}) AS us FROM p{n}

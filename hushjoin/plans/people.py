@@ -16,9 +16,13 @@ LAST = ["Smith", "Garcia", "Müller", "O'Brien", "Smith-Jones", "Nguyen III", "L
 SEX = ["M", "F", "m", "f", "Male", "Female", "male", "female", " M ", "MALE", "U", None, ""]
 
 
-def view(where: str = "1 = 1", prefix: str = "C", shift: int = 0) -> str:
-    """SELECT of the seven person columns. shift moves the ids only: the person stays that of c_custkey."""
-    k = "c_custkey"
+#: A second table over the same keys: every third one is the same person, the others are persons of other keys.
+OTHER_KEYS = "CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 7000003 END"
+
+
+def view(prefix: str = "C", keys: str = "c_custkey") -> str:
+    """SELECT of the seven person columns for every customer. keys: the number that a person is made from."""
+    k = "k"
     day = f"CAST(DATE '1930-01-01' + CAST(({k} * 37) % 25000 AS INT) AS STRING)"
     y, m, d = (f"substr({day}, {a}, {n})" for a, n in ((1, 4), (6, 2), (9, 2)))
     birth = (
@@ -37,6 +41,6 @@ def view(where: str = "1 = 1", prefix: str = "C", shift: int = 0) -> str:
         f"WHEN 3 THEN '123-45-6789' WHEN 4 THEN '666-12-3456' WHEN 5 THEN NULL WHEN 6 THEN {area} || {group} ELSE {area} || '-' || {group} || '-' || {serial} END"
     )
     return (
-        f"SELECT '{prefix}' || CAST({k} + {shift} AS STRING) AS RecordId, {birth} AS BirthDate, {_pick(k, FIRST)} AS FirstName, "
-        f"{_pick(f'({k} * 7)', LAST)} AS LastName, {postal} AS PostalCode, {_pick(f'({k} * 5)', SEX)} AS Sex, {ssn} AS SocialSecurityNumber FROM customer WHERE {where}"
+        f"SELECT '{prefix}' || CAST(c_custkey AS STRING) AS RecordId, {birth} AS BirthDate, {_pick(k, FIRST)} AS FirstName, "
+        f"{_pick(f'({k} * 7)', LAST)} AS LastName, {postal} AS PostalCode, {_pick(f'({k} * 5)', SEX)} AS Sex, {ssn} AS SocialSecurityNumber FROM (SELECT c_custkey, {keys} AS k FROM customer)"
     )

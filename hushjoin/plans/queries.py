@@ -19,8 +19,6 @@ from hushjoin.sources import config
 SECRET = b"query-secret"
 KEY = b"0123456789abcdef0123456789ABCDEF"
 RING = "ring-1"
-#: The second table of the overlap queries: every third person, under a new id.
-THIRD, OTHER = "c_custkey % 3 = 0", 1_000_000
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -36,9 +34,9 @@ def query(sql: str | None = None):
     return add
 
 
-def persons(spark: SparkSession, sf_dir: str, where: str = "1 = 1", prefix: str = "C", shift: int = 0) -> DataFrame:
+def persons(spark: SparkSession, sf_dir: str, prefix: str = "C", keys: str = "c_custkey") -> DataFrame:
     spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").createOrReplaceTempView("customer")
-    return spark.sql(people.view(where, prefix, shift))
+    return spark.sql(people.view(prefix, keys))
 
 
 def _with(*parts: str) -> str:
@@ -256,17 +254,17 @@ def tokens_per_record(spark, sf_dir):
     return metadata.tokens_per_record(tokens_hmac(spark, sf_dir))
 
 
-# ---- overlap of all persons with every third one under a new id; blank tokens left out but where said otherwise
+# ---- overlap of two tables over all keys, a third of which are the same persons under other ids; blank tokens are left out
 
 
-def _overlap(spark, sf_dir, include_blank: bool = False) -> Overlap:
+def _overlap(spark, sf_dir) -> Overlap:
     pipe = tokens.Pipeline.keyed(SECRET)
     left = tokens.tokenize(persons(spark, sf_dir), pipe)
-    right = tokens.tokenize(persons(spark, sf_dir, THIRD, "D", OTHER), pipe)
-    return Overlap(left, right, KEY, "A", "B", include_blank)
+    right = tokens.tokenize(persons(spark, sf_dir, "D", people.OTHER_KEYS), pipe)
+    return Overlap(left, right, KEY, "A", "B", include_blank=False)
 
 
-_TWO = _with(_ONE, oracle.signatures_sql(), oracle.people_sql(THIRD, "D", OTHER, "2"), oracle.signatures_sql("2"), "m AS (SELECT s.RecordId AS A_RecordId, s2.RecordId AS B_RecordId, RuleId FROM s JOIN s2 USING (RuleId, Signature) WHERE Signature <> '')")
+_TWO = _with(_ONE, oracle.signatures_sql(), oracle.people_sql("D", people.OTHER_KEYS, "2"), oracle.signatures_sql("2"), "m AS (SELECT s.RecordId AS A_RecordId, s2.RecordId AS B_RecordId, RuleId FROM s JOIN s2 USING (RuleId, Signature) WHERE Signature <> '')")
 _PAIRS = "SELECT A_RecordId, B_RecordId, count(*) AS n, string_agg(RuleId, '|' ORDER BY RuleId) AS rules FROM m GROUP BY ALL"
 
 
@@ -332,18 +330,6 @@ def overlap_pairs_by_rule(spark, sf_dir):
     return _overlap(spark, sf_dir).rule_matches().groupBy("RuleId").agg(F.count("*").alias("pairs"))
 
 
-@query(
-    _with(oracle.people_sql("c_custkey <= 200"), oracle.signatures_sql(), oracle.people_sql("c_custkey <= 200 AND " + THIRD, "D", OTHER, "2"), oracle.signatures_sql("2"))
-    + "SELECT s.RecordId AS A_RecordId, s2.RecordId AS B_RecordId FROM s JOIN s2 ON s.RuleId = s2.RuleId AND coalesce(s.Signature, '') = coalesce(s2.Signature, '') WHERE s.RuleId IN ('T1', 'T4') GROUP BY ALL HAVING count(*) = 2"
-)
-def overlap_with_blank(spark, sf_dir):
-    """As in the default analysis: blank tokens match each other, so the persons are those of the first 200 keys."""
-    pipe = tokens.Pipeline.sealed(SECRET, KEY, RING)
-    left = tokens.tokenize(persons(spark, sf_dir, "c_custkey <= 200"), pipe)
-    right = tokens.tokenize(persons(spark, sf_dir, "c_custkey <= 200 AND " + THIRD, "D", OTHER), pipe)
-    return Overlap(left, right, KEY, "A", "B").matches(["T1", "T4"])
-
-
 @query(_TWO + f'SELECT n::INTEGER AS "TokenCount", count(*) AS pairs FROM ({_PAIRS}) GROUP BY n')
 def overlap_by_count(spark, sf_dir):
     return matches_by_count(_overlap(spark, sf_dir).at_least(1))
@@ -353,7 +339,7 @@ def overlap_by_count(spark, sf_dir):
 def overlap_look_back(spark, sf_dir):
     over = _overlap(spark, sf_dir)
     left = persons(spark, sf_dir).select("RecordId", "LastName")
-    right = persons(spark, sf_dir, THIRD, "D", OTHER).select("RecordId", "LastName")
+    right = persons(spark, sf_dir, "D", people.OTHER_KEYS).select("RecordId", "LastName")
     return look_back(over.matches(["T3"]), left, right, over.ids)
 
 
