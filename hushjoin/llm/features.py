@@ -14,28 +14,41 @@ import numpy as np
 from hushjoin.llm.common import WORD
 
 BITS = 0x7FFFFFFF
-MEMO = 300_000
+MEMO = 500_000
 STYLE = ("log_words", "upper_words", "bang_words", "bar_words", "symbol_chars", "mark_words", "digit_chars", "distinct_words", "top_word", "same_next", "dup_lines", "repeat_pairs", "mean_word", "long_words", "one_char", "line_words", "letters", "non_ascii", "commas", "stops", "upper_chars")
 UPPER, BANG, BAR, TAIL, LONG, ONE = 1, 2, 4, 8, 16, 32
 _OUTER = ".,;:!?\"'()[]{}*#%&$|<>"
 _SYMBOLS, _DIGITS, _CAPS, _BLANKS = b"#*$%&|<>", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" \t\n\x0b\x0c\r"
 
 
-def word_marks(word: str) -> tuple[int, ...]:
+_WORD, _FIRST = zlib.crc32(b"w"), [(n, zlib.crc32(b"p%d" % n)) for n in (4, 5, 6, 7)]
+_TWICE, _THRICE, _DENSE = 2, 3, 5
+
+
+def word_marks(word: str) -> list[int]:
     """Hashed marks of a word, in lower case and without outer punctuation: itself, and its first four to seven letters."""
     core = word.lower().strip(_OUTER)
     if not core:
-        return ()
-    out = [zlib.crc32(b"w" + core.encode("utf-8", "surrogatepass")) & BITS]
-    for n in (4, 5, 6, 7):
-        if len(core) > n:
-            out.append(zlib.crc32(b"p%d" % n + core[:n].encode("utf-8", "surrogatepass")) & BITS)
-    return tuple(out)
+        return []
+    raw, crc = core.encode("utf-8", "surrogatepass"), zlib.crc32
+    out, size = [crc(raw, _WORD) & BITS], len(core)
+    plain = len(raw) == size
+    for n, seed in _FIRST:
+        if size <= n:
+            break
+        out.append(crc(raw[:n] if plain else core[:n].encode("utf-8", "surrogatepass"), seed) & BITS)
+    return out
 
 
 def frequent(mark: int) -> tuple[int, int, int]:
     """Further marks of a mark that comes twice, three times, or as one word in sixty."""
-    return (mark * 31 + 2) & BITS, (mark * 31 + 3) & BITS, (mark * 31 + 5) & BITS
+    return (mark * 31 + _TWICE) & BITS, (mark * 31 + _THRICE) & BITS, (mark * 31 + _DENSE) & BITS
+
+
+def needed_for(chosen: np.ndarray) -> set[int]:
+    """The marks that are chosen or from which a chosen mark is made: frequent() turned round."""
+    back = pow(31, -1, BITS + 1)
+    return {m for c in chosen.tolist() for m in (c, *((c - k) * back & BITS for k in (_TWICE, _THRICE, _DENSE)))}
 
 
 class Marks(dict):
@@ -43,16 +56,17 @@ class Marks(dict):
 
     def __init__(self, only: np.ndarray | None = None):
         super().__init__()
-        self.only = None if only is None else set(only.tolist())
+        self.only = None if only is None else needed_for(only)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > MEMO:
             self.clear()
         marks = word_marks(word)
         if self.only is not None:
-            marks = tuple(m for m in marks if m in self.only or not self.only.isdisjoint(frequent(m)))
-        self[word] = marks
-        return marks
+            only = self.only
+            marks = [m for m in marks if m in only]
+        out = self[word] = tuple(marks)
+        return out
 
     def of(self, counts: Counter, n: int) -> np.ndarray:
         """Sorted distinct marks of a text of n words."""
