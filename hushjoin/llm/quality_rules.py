@@ -118,8 +118,9 @@ def keep_quality(docs: DataFrame, text_col: str = "text", host_col: str = "sourc
     """The documents that the base rules and the host verdicts keep, with their own columns."""
     scratch = Scratch(docs.sparkSession)
     marked = docs.withColumn("__failed", base_failed(_let(figures(F.col(text_col)), lambda f: f)))
-    counts = scratch.write(marked.select(F.col(host_col).alias("host"), "__failed"))
-    bad = scratch.write(rejected_hosts(counts, "host", "__failed", max_rate).select(F.col("host").alias("__host")))
+    # one pass over the texts: rows are written once, those that fail without their text
+    marked = scratch.write(marked.withColumn(text_col, F.when(~F.col("__failed"), F.col(text_col))))
+    bad = scratch.write(rejected_hosts(marked, host_col, "__failed", max_rate).select(F.col("host").alias("__host")))
     n = bad.count()
     passed = marked.filter(~F.col("__failed")).drop("__failed")
     if n == 0:
