@@ -14,7 +14,7 @@ import numpy as np
 from hushjoin.llm.common import WORD
 
 BITS = 0x7FFFFFFF
-MEMO = 500_000
+MEMO = 250_000
 STYLE = ("log_words", "upper_words", "bang_words", "bar_words", "symbol_chars", "mark_words", "digit_chars", "distinct_words", "top_word", "same_next", "dup_lines", "repeat_pairs", "mean_word", "long_words", "one_char", "line_words", "letters", "non_ascii", "commas", "stops", "upper_chars")
 UPPER, BANG, BAR, TAIL, LONG, ONE = 1, 2, 4, 8, 16, 32
 _OUTER = ".,;:!?\"'()[]{}*#%&$|<>"

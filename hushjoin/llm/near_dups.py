@@ -43,7 +43,7 @@ HELD_SHINGLES = 1 << 21
 CROWD = 64
 PAIRS_PER_CENTRE = 256
 MAX_BROADCAST_IDS = 200_000
-MEMO = 400_000
+MEMO = 250_000
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _A = np.random.RandomState(SEED).randint(0, 1 << 31, size=(N_HASHES, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
