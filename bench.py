@@ -6,6 +6,7 @@ import json
 import os
 import time
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +36,7 @@ def rowwise(persons: DataFrame, secret: bytes) -> DataFrame:
     import hashlib
     import hmac
 
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<string>")
+    @F.pandas_udf("array<string>")
     def tokens(last: pd.Series, first: pd.Series, sex: pd.Series, birth: pd.Series) -> pd.Series:
         out = []
         for x, y, s, b in zip(last, first, sex, birth):
