@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -62,6 +65,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MAX_BATCH_BYTES))
 
 
+#: Word memos of this Python worker. They are emptied after each task, since idle workers stay beside the JVM.
+CACHES: list[dict] = []
+
+
+def release() -> None:
+    for c in CACHES:
+        c.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_columns(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict]], ddl: str | StructType) -> DataFrame:
     """Map batches of df, as a dict of Python lists, to a dict of columns. fn() runs once a task and returns
     the mapper, whose attribute `last`, if it has one, gives the columns that follow the last batch."""
@@ -78,6 +93,8 @@ def map_columns(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict
         if last := getattr(mapper, "last", None):
             out = last()
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        del mapper
+        release()
 
     return df.mapInArrow(run, schema)
 

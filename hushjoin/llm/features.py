@@ -11,10 +11,10 @@ from collections import Counter
 
 import numpy as np
 
-from hushjoin.llm.common import WORD
+from hushjoin.llm.common import CACHES, WORD
 
 BITS = 0x7FFFFFFF
-MEMO = 250_000
+MEMO = 150_000
 STYLE = ("log_words", "upper_words", "bang_words", "bar_words", "symbol_chars", "mark_words", "digit_chars", "distinct_words", "top_word", "same_next", "dup_lines", "repeat_pairs", "mean_word", "long_words", "one_char", "line_words", "letters", "non_ascii", "commas", "stops", "upper_chars")
 UPPER, BANG, BAR, TAIL, LONG, ONE = 1, 2, 4, 8, 16, 32
 _OUTER = ".,;:!?\"'()[]{}*#%&$|<>"
@@ -99,6 +99,7 @@ class _Kinds(dict):
 
 
 _kinds = _Kinds()
+CACHES.append(_kinds)
 
 
 def words_of(text: str | None) -> tuple[list[str], Counter]:

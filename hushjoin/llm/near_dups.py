@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushjoin.llm.common import WORD, Scratch, map_columns
+from hushjoin.llm.common import CACHES, WORD, Scratch, map_columns
 from hushjoin.llm.components import components
 
 BANDS, ROWS = 26, 5
@@ -43,7 +43,7 @@ HELD_SHINGLES = 1 << 21
 CROWD = 64
 PAIRS_PER_CENTRE = 256
 MAX_BROADCAST_IDS = 200_000
-MEMO = 250_000
+MEMO = 150_000
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _A = np.random.RandomState(SEED).randint(0, 1 << 31, size=(N_HASHES, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -58,6 +58,7 @@ class _WordHash(dict):
 
 
 _words = _WordHash()
+CACHES.append(_words)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hushjoin.llm.common import WORD, Scratch, map_columns, worker_threads
+from hushjoin.llm.common import CACHES, WORD, Scratch, map_columns, worker_threads
 from hushjoin.llm.token_counts import byte_alphabet
 
 CAPACITY = 4096
@@ -39,15 +39,16 @@ class _Units(dict):
     """Unit (letters or marks) to its ids, by the merges alone."""
 
     def __init__(self, merge):
-        super().__init__({"": b""})
+        super().__init__()
         self.merge = merge
         back = {b: c for c, b in byte_alphabet().items()}
         self.spelled = {i: "".join(back[b] for b in chr(i).encode()) for i in range(0x80, 0x100)}
 
     def __missing__(self, unit: str) -> bytes:
+        if not unit:
+            return b""
         if len(self) > MEMO:
             self.clear()
-            self[""] = b""
         ids = self[unit] = array("I", [t.id for t in self.merge(unit.translate(self.spelled))]).tobytes()
         return ids
 
@@ -84,7 +85,8 @@ class WordIds(dict):
 
 def encoder(path: str) -> WordIds:
     if path not in _encoders:
-        _encoders[path] = WordIds(path)
+        made = _encoders[path] = WordIds(path)
+        CACHES.extend((made, made.units))
     return _encoders[path]
 
 
