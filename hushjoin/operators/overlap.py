@@ -1,8 +1,9 @@
 """Overlap of two token tables (RecordId, RuleId, Token): equi-join on rule and comparable token, then pair counts.
 
-The pair counts by rule are computed once and serve any number of rule sets. The blank token equals itself, so that
-records that are blank for the same rule match on it; include_blank=False leaves blank tokens out, which also avoids
-the largest possible join key.
+The blank token equals itself, so that records that are blank for the same rule match on it; include_blank=False
+leaves blank tokens out, which also avoids the largest possible join key. Counts (summary, only_left, pairs_by_rule,
+by_count) make no pairs: records with the same tokens form a class, and classes are counted. Only records with several
+tokens for one rule are paired with the other side row by row.
 """
 
 from __future__ import annotations
@@ -82,26 +83,95 @@ class Overlap:
         ranked = p.withColumn("tier", tier).filter("tier is not null").withColumn("best", F.min("tier").over(Window.partitionBy(a)))
         return ranked.filter("tier = best").select(*self.ids, "tier")
 
+    def _records(self, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """A row a record, left and right: RecordId, have (sorted rule ids and tokens) and once (no rule has two)."""
+        out = []
+        for side in (self.left, self.right):
+            rows = comparable(side, self.key, rules, self.include_blank).filter("RuleId is not null and token is not null")
+            got = rows.groupBy("RecordId").agg(F.sort_array(F.collect_list(F.struct("RuleId", "token"))).alias("have"))
+            out.append(got.withColumn("once", F.size("have") == F.size(F.array_distinct("have.RuleId"))))
+        return out[0], out[1]
+
+    def _odd_matches(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """The rows of rule_matches where either record has several tokens for one rule."""
+        a, b = self.ids
+        rows = lambda side, name: side.select(F.col("RecordId").alias(name), F.inline("have"))
+        parts = ((left.filter(~F.col("once")), right), (left.filter("once"), right.filter(~F.col("once"))))
+        first, second = (rows(l, a).join(rows(r, b), ["RuleId", "token"]).select(a, b, "RuleId") for l, r in parts)
+        return first.union(second)
+
+    @staticmethod
+    def _key(rules: list[str]) -> Column:
+        """What a record must share with another to match on every rule; null where no record of one token a rule can."""
+        part = F.filter("have", lambda x: x["RuleId"].isin(*rules))
+        return F.when(F.col("once") & (F.size(part) == len(rules)), part)
+
     def only_left(self, rules: list[str]) -> DataFrame:
         """Left records without a match on all rules."""
-        a, _ = self.ids
-        hit = self.matches(rules).select(F.col(a).alias("RecordId")).distinct()
+        if not rules:
+            raise ValueError("matching_rules cannot be empty")
+        a, b = self.ids
+        left, right = self._records(sorted(set(rules)))
+        keys = right.select(self._key(rules).alias("key")).distinct()
+        hit = left.select("RecordId", self._key(rules).alias("key")).join(keys, "key", "left_semi").select("RecordId")
+        odd = self._odd_matches(left, right).groupBy(a, b).agg(F.count("*").alias("n")).filter(F.col("n") == len(rules))
+        hit = hit.union(odd.select(a)).distinct()
         return self.left.select("RecordId").distinct().join(hit, "RecordId", "left_anti")
 
+    def pairs_by_rule(self) -> DataFrame:
+        """RuleId and pairs: how many pairs of rows match on it."""
+        sides = [comparable(t, self.key, None, self.include_blank).select("RuleId", "token", F.lit(n).alias("side")) for n, t in ((1, self.left), (2, self.right))]
+        counts = sides[0].union(sides[1]).filter("RuleId is not null and token is not null").groupBy("RuleId", "token")
+        counts = counts.agg((F.count_if(F.col("side") == 1) * F.count_if(F.col("side") == 2)).alias("n")).filter("n > 0")
+        return counts.groupBy("RuleId").agg(F.sum("n").alias("pairs"))
+
+    def by_count(self) -> DataFrame:
+        """TokenCount and pairs: how many pairs of records match on exactly so many rules (one or more).
+
+        Pairs that share a subset of their tokens are counted by subset, and inclusion-exclusion over the sizes of subsets gives
+        those that share no more. A record with k tokens has 2^k - 1 subsets.
+        """
+        left, right = self._records()
+        both = left.withColumn("side", F.lit(1)).union(right.withColumn("side", F.lit(2))).filter("once")
+        counts = [F.count_if(F.col("side") == n).alias(f"n{n}") for n in (1, 2)]
+        classes = both.groupBy("have").agg(*counts)
+        masks = classes.select("have", "n1", "n2", F.explode(F.expr("sequence(1L, shiftleft(1L, size(have)) - 1)")).alias("mask"))
+        part = F.expr("filter(have, (x, i) -> (shiftright(mask, i) & 1) = 1)")
+        shared = masks.select(part.alias("part"), "n1", "n2").groupBy("part").agg((F.sum("n1") * F.sum("n2")).alias("n")).filter("n > 0")
+        sizes = shared.groupBy(F.size("part").alias("k")).agg(F.sum("n").alias("n"))
+        terms = sizes.select("k", "n", F.explode(F.sequence(F.lit(1), "k")).alias("TokenCount"))
+        term = "n * (factorial(k) div factorial(TokenCount) div factorial(k - TokenCount)) * if((k - TokenCount) % 2 = 0, 1, -1)"
+        odd = self._odd_matches(left, right).groupBy(*self.ids).agg(F.count_distinct("RuleId").cast("int").alias("TokenCount"))
+        every = terms.select("TokenCount", F.expr(term).alias("n")).union(odd.select("TokenCount", F.lit(1).cast("long")))
+        return every.groupBy("TokenCount").agg(F.sum("n").alias("pairs")).filter("pairs > 0")
+
     def summary(self, rule_sets: list[list[str]]) -> DataFrame:
         """A row a rule set: rules, totals, matching and unique records of both sides, overlap_percentage.
 
-        One join and one count by pair and rule for all sets.
+        One pass over both tables for all sets. A class is the records that have the same tokens for a set's rules; all of
+        its records match if both sides have some.
         """
         if not rule_sets or not all(rule_sets):
             raise ValueError("matching_rules cannot be empty")
         a, b = self.ids
-        wanted = sorted({r for s in rule_sets for r in s})
-        by_rule = self.rule_matches(wanted).groupBy(a, b, "RuleId").agg(F.count("*").alias("n"))
+        left, right = self._records(sorted({r for s in rule_sets for r in s}))
+        by_rule = self._odd_matches(left, right).groupBy(a, b, "RuleId").agg(F.count("*").alias("n"))
         counts = by_rule.groupBy(a, b).agg(*[F.coalesce(F.sum(F.when(F.col("RuleId").isin(*set(s)), F.col("n"))), F.lit(0)).alias(f"n{i}") for i, s in enumerate(rule_sets)])
         sets = F.array(*[F.when(F.col(f"n{i}") == len(s), F.lit(i)) for i, s in enumerate(rule_sets)])
-        hits = counts.select(a, b, F.explode(F.array_compact(sets)).alias("set"))
-        found = hits.groupBy("set").agg(F.count_distinct(a).alias("m1"), F.count_distinct(b).alias("m2"))
+        ends = F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("RecordId")) for n, c in ((1, a), (2, b))])
+        found = counts.select(ends.alias("ends"), F.explode(F.array_compact(sets)).alias("set")).select("set", F.inline("ends"))
+        found = found.distinct().withColumn("odd", F.lit(True))
+        keys = F.array(*[F.struct(F.lit(i).alias("set"), self._key(s).alias("key")) for i, s in enumerate(rule_sets)])
+        rows = left.withColumn("side", F.lit(1)).union(right.withColumn("side", F.lit(2))).select("side", "RecordId", F.inline(keys))
+        rows = rows.join(found, ["set", "side", "RecordId"], "left")
+        # records without an id are one record that is not counted
+        known = lambda n: (F.col("side") == n) & F.col("RecordId").isNotNull()
+        some = [F.count_if(F.col("side") == n).alias(f"s{n}") for n in (1, 2)]
+        all_ = [F.count_if(known(n)).alias(f"c{n}") for n in (1, 2)]
+        odd = [F.count_if(known(n) & F.col("odd").isNotNull()).alias(f"o{n}") for n in (1, 2)]
+        classes = rows.groupBy("set", "key").agg(*some, *all_, *odd)
+        met = F.col("key").isNotNull() & (F.col("s1") > 0) & (F.col("s2") > 0)
+        found = classes.groupBy("set").agg(*[F.sum(F.when(met, F.col(f"c{n}")).otherwise(F.col(f"o{n}"))).alias(f"m{n}") for n in (1, 2)])
         both = self.left.select("RecordId", F.lit(1).alias("side")).union(self.right.select("RecordId", F.lit(2).alias("side"))).distinct()
         total = both.agg(F.count_if(F.col("side") == 1).alias("t1"), F.count_if(F.col("side") == 2).alias("t2"))
         names = total.select("t1", "t2", F.posexplode(F.array(*[F.lit(",".join(s)) for s in rule_sets])).alias("set", "rules"))

@@ -255,13 +255,14 @@ def tokens_per_record(spark, sf_dir):
 
 
 # ---- overlap of two tables over all keys, a third of which are the same persons under other ids; blank tokens are left out
+# but in the counts named _with_blank: pairs of blank records are too many to list
 
 
-def _overlap(spark, sf_dir) -> Overlap:
+def _overlap(spark, sf_dir, include_blank: bool = False) -> Overlap:
     pipe = tokens.Pipeline.keyed(SECRET)
     left = tokens.tokenize(persons(spark, sf_dir), pipe)
     right = tokens.tokenize(persons(spark, sf_dir, "D", people.OTHER_KEYS), pipe)
-    return Overlap(left, right, KEY, "A", "B", include_blank=False)
+    return Overlap(left, right, KEY, "A", "B", include_blank)
 
 
 _TWO = _with(_ONE, oracle.signatures_sql(), oracle.people_sql("D", people.OTHER_KEYS, "2"), oracle.signatures_sql("2"), "m AS (SELECT s.RecordId AS A_RecordId, s2.RecordId AS B_RecordId, RuleId FROM s JOIN s2 USING (RuleId, Signature) WHERE Signature <> '')")
@@ -343,6 +344,29 @@ def overlap_look_back(spark, sf_dir):
     return look_back(over.matches(["T3"]), left, right, over.ids)
 
 
+_TWO_BLANK = _TWO.replace("JOIN s2 USING (RuleId, Signature) WHERE Signature <> ''", "JOIN s2 USING (RuleId) WHERE coalesce(s.Signature, '') = coalesce(s2.Signature, '')")
+
+
+@query(_TWO_BLANK + _summary_sql())
+def overlap_summary_with_blank(spark, sf_dir):
+    return _overlap(spark, sf_dir, include_blank=True).summary(_SETS)
+
+
+@query(_TWO_BLANK + "SELECT DISTINCT RecordId FROM s WHERE RecordId NOT IN (SELECT A_RecordId FROM m WHERE RuleId IN ('T1', 'T3') GROUP BY A_RecordId, B_RecordId HAVING count(*) = 2)")
+def overlap_only_left_with_blank(spark, sf_dir):
+    return _overlap(spark, sf_dir, include_blank=True).only_left(["T1", "T3"])
+
+
+@query(_TWO_BLANK + "SELECT RuleId, count(*) AS pairs FROM m GROUP BY RuleId")
+def overlap_pairs_by_rule_with_blank(spark, sf_dir):
+    return _overlap(spark, sf_dir, include_blank=True).pairs_by_rule()
+
+
+@query(_TWO_BLANK + f'SELECT n::INTEGER AS "TokenCount", count(*) AS pairs FROM ({_PAIRS}) GROUP BY n')
+def overlap_by_count_with_blank(spark, sf_dir):
+    return _overlap(spark, sf_dir, include_blank=True).by_count()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -6,6 +6,7 @@ import hmac
 import json
 import warnings
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +218,39 @@ def test_blank_tokens_match_each_other_unless_left_out(spark):
     assert Overlap(left, right, include_blank=False).matches(["T1"]).count() == 0
 
 
+@pytest.mark.parametrize("include_blank", [True, False])
+@pytest.mark.parametrize("repeats", [0, 25])
+def test_counts_match_brute_force(spark, include_blank, repeats):
+    """Blank tokens, missing rules and, with repeats, several tokens of a record for one rule."""
+    import random
+
+    rng = random.Random(repeats)
+    rules, schema, sides = ["T1", "T2", "T3"], "RecordId string, RuleId string, Token string", []
+    for name in "ab":
+        rows = [(f"{name}{i}", r, rng.choice([crypto.BLANK, crypto.BLANK, *"vwxyz"])) for i in range(40) for r in rules if rng.random() < 0.9]
+        sides.append(rows + [rng.choice(rows)[:2] + (rng.choice([crypto.BLANK, "v"]),) for _ in range(repeats)])
+    left, right = sides
+    pairs = [(a, b, r) for a, r, t in left for b, q, u in right if r == q and t == u and (include_blank or t != crypto.BLANK)]
+    over = Overlap(*(spark.createDataFrame(x, schema) for x in sides), include_blank=include_blank)
+    sets = [["T1"], ["T1", "T2"], ["T3", "T1", "T2"], ["T1", "T1"], ["T9"]]
+    got = {r.rules: r for r in over.summary(sets).collect()}
+    for s in sets:
+        hit = {p for p, n in Counter((a, b) for a, b, r in pairs if r in s).items() if n == len(s)}
+        r = got[",".join(s)]
+        assert (r.matching_records_dataset1, r.matching_records_dataset2) == (len({a for a, _ in hit}), len({b for _, b in hit})), s
+        assert {x.RecordId for x in over.only_left(s).collect()} == {a for a, _, _ in left} - {a for a, _ in hit}
+    assert {r.RuleId: r.pairs for r in over.pairs_by_rule().collect()} == Counter(r for _, _, r in pairs)
+    assert {r.TokenCount: r.pairs for r in over.by_count().collect()} == Counter(Counter((a, b) for a, b, _ in set(pairs)).values())
+
+
+def test_blank_records_are_counted_without_their_pairs(spark):
+    """A hundred thousand blank records a side have 10^10 pairs."""
+    left, right = (spark.range(100_000).select(F.concat(F.lit(x), "id").alias("RecordId"), F.lit("T1").alias("RuleId"), F.lit(crypto.BLANK).alias("Token")) for x in "ab")
+    over = Overlap(left, right)
+    assert over.summary([["T1"]]).first().matching_records_dataset1 == 100_000 and over.only_left(["T1"]).count() == 0
+    assert over.by_count().first().pairs == over.pairs_by_rule().first().pairs == 10**10
+
+
 def test_column_aliases(spark, people):
     renamed = people.selectExpr("RecordId AS Id", "FirstName AS GivenName", "LastName AS Surname", "BirthDate AS DateOfBirth", "Sex AS Gender", "PostalCode AS ZipCode", "SocialSecurityNumber AS NationalIdentificationNumber", "1 AS other")
     assert {tuple(r) for r in tokens.signatures(renamed).collect()} == {tuple(r) for r in tokens.signatures(people).collect()}
