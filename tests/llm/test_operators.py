@@ -312,6 +312,18 @@ def test_label_model_learns_accuracies():
     assert model.group[5] == model.group[6] and np.abs(model.told[:2, 5]).max() < np.abs(model.told[:2, 0]).min()
 
 
+def test_toxicity_learns_from_lightly_marked_copies(monkeypatch):
+    """Each text is learned from whole, with three tenths and with a tenth of its marks."""
+    rng, seen = np.random.RandomState(2), []
+    y = (np.arange(300) % 3 == 0).astype(float)
+    marks = [np.unique(np.concatenate([rng.randint(100, 400, 40), np.arange(20) if t else []])).astype(np.int32) for t in y]
+    fitted = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda x, target: seen.append(x) or fitted(x, target))
+    toxicity.fit(np.zeros((300, len(toxicity.STYLE))), marks, y)
+    whole, *light = (part.sum() for part in np.split(seen[0], range(300, len(seen[0]), 300)))
+    assert [round(float(part / whole), 1) for part in light] == [0.3, 0.1]
+
+
 # 6 top-k
 
 
