@@ -131,9 +131,12 @@ def select_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_c
 
 
 def keep_mix(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The documents of docs that at least one epoch selects, with their own columns."""
-    ids = select_mix(docs, mix).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi")
+    """The documents of docs that at least one epoch selects, with their own columns.
+
+    Rows of one id are kept together, and so are those with a null id: all of them if one is selected.
+    """
+    ids = select_mix(docs, mix).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def _level_sql(depth: int, mix: Mix) -> str:

@@ -409,6 +409,13 @@ def test_mixing_quotas_and_prefixes(spark):
     assert mixing.select_mix(docs_of(spark, []), mix).count() == 0
 
 
+def test_keep_mix_keeps_rows_without_an_id(spark):
+    docs = docs_of(spark, ["a b c", "d e", "f", ""])
+    docs = docs.withColumn("doc_id", F.when(F.col("text") != "d e", F.col("doc_id")))
+    kept = mixing.keep_mix(docs, mixing.Mix(budget_percent=100, epochs=1)).collect()
+    assert sorted(r.text for r in kept) == ["a b c", "d e", "f"]
+
+
 # 8 URLs
 
 
