@@ -73,7 +73,7 @@ def main() -> None:
     found = Q.queries()
     out = {name: timed(lambda name=name: found[name](spark, SF_DIR)) for name in QUERIES}
     persons = Q.persons(spark, SF_DIR)
-    norm = [F.when(TYPES[c].valid(F.col(c)), TYPES[c].normalize(F.col(c))).alias(c) for c in ("LastName", "FirstName", "Sex", "BirthDate")]
+    norm = [TYPES[c].value(F.col(c)).alias(c) for c in ("LastName", "FirstName", "Sex", "BirthDate")]
     ready = persons.select("RecordId", *norm)
     extra = {
         "native_t3_t5_hmac": timed(lambda: tokens.tokenize(persons, tokens.Pipeline.keyed(Q.SECRET), DEFAULT.only("T3", "T5"))),

@@ -14,7 +14,7 @@ import time
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hushjoin.functions.text import base64_line, base64_url, from_base64_url
+from hushjoin.functions.text import base64_line, base64_url, from_base64_url, let
 
 #: The token of a rule whose signature is blank.
 BLANK = "0" * 64
@@ -61,7 +61,7 @@ def aes_encrypt(c: Column, key: bytes) -> Column:
 def aes_decrypt(c: Column, key: bytes) -> Column:
     """The text; null where it is no ciphertext of this key."""
     raw = F.try_to_binary(c, F.lit("base64"))
-    return _let(raw, lambda x: F.when(F.octet_length(x) > IV + TAG, F.decode(F.try_aes_decrypt(x, _lit(key), F.lit("GCM")), "UTF-8")))
+    return let(raw, lambda x: F.when(F.octet_length(x) > IV + TAG, F.decode(F.try_aes_decrypt(x, _lit(key), F.lit("GCM")), "UTF-8")))
 
 
 def _header(ring: str) -> str:
@@ -91,7 +91,7 @@ def envelope(token: Column, rule: Column, ring: str, key: bytes, issuer: str = I
         return F.concat_ws(".", F.lit(PREFIX + VERSION + "." + header), F.lit(""), *map(base64_url, cut))
 
     # one ciphertext, bound to a name inside the lambda, gives all three parts
-    return F.transform(F.array(sealed), parts)[0]
+    return let(sealed, parts)
 
 
 def is_envelope(c: Column) -> Column:
@@ -106,12 +106,7 @@ def open_envelope(c: Column, key: bytes) -> Column:
         plain = F.try_aes_decrypt(sealed, _lit(key), F.lit("GCM"), F.lit("DEFAULT"), part[2].cast("binary"))
         return F.when(F.size(part) == 7, F.decode(plain, "UTF-8"))
 
-    return F.when(is_envelope(c), _let(F.split(c, "\\."), opened))
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.transform(F.array(value), body)[0]
+    return F.when(is_envelope(c), let(F.split(c, "\\."), opened))
 
 
 def payload_token(payload: Column) -> Column:
@@ -122,7 +117,7 @@ def payload_token(payload: Column) -> Column:
 def decrypt(c: Column, key: bytes) -> Column:
     """The token that can be compared: opens envelopes and ciphertexts, and leaves anything else as it is. Null stays null."""
     inner = lambda token: F.when(token == "", token).otherwise(F.coalesce(aes_decrypt(token, key), token))
-    opened = _let(open_envelope(c, key), lambda payload: F.when(payload.isNull(), c).otherwise(_let(payload_token(payload), inner)))
+    opened = let(open_envelope(c, key), lambda payload: F.when(payload.isNull(), c).otherwise(let(payload_token(payload), inner)))
     return F.when(is_envelope(c), opened).otherwise(F.coalesce(aes_decrypt(c, key), c))
 
 

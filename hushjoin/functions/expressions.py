@@ -8,6 +8,7 @@ gives null.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,21 +52,31 @@ def _step(c: Column, step: str) -> Column:
     return F.array_join(F.regexp_extract_all(c, F.lit("(?dU)" + args[0]), F.lit(re.compile(args[0]).groups)), "")
 
 
+def _steps(expression: str | None) -> list[str]:
+    found = expression.split("|") if expression and expression.strip() else []
+    for s in found:
+        _check(s)
+    return found
+
+
 def compile_expression(expression: str | None):
     """Column to Column. Null and blank values become the empty text; a blank expression changes nothing else."""
-    steps = expression.split("|") if expression and expression.strip() else []
+    steps = _steps(expression)
 
     def apply(c: Column) -> Column:
-        out = c
-        for s in steps:
-            out = _step(out, s)
-        return F.when(is_blank(c), F.lit("")).otherwise(out)
+        return F.when(is_blank(c), F.lit("")).otherwise(reduce(_step, steps, c))
 
-    for s in steps:
-        _check(s)
     return apply
 
 
+def compile_settled(expression: str | None, settled: str):
+    """compile_expression() for values that are never blank: null stays null, and leading steps among `settled` change nothing."""
+    steps = _steps(expression)
+    while steps and _STEP.match(steps[0])[1].upper() in settled:
+        steps.pop(0)
+    return lambda c: reduce(_step, steps, c)
+
+
 def _check(step: str) -> None:
     """Raise for a wrong step without a session."""
     m = _STEP.match(step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from functools import cache, reduce
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,22 +37,48 @@ def swap(c: Column, pattern: str, to: str, ignore_case: bool = False) -> Column:
     return F.regexp_replace(c, (FLAGS_I if ignore_case else FLAGS) + _spelled(pattern), to)
 
 
+#: All white space: what strip() of a Python string takes off.
+BLANKS = "".join(filter(str.isspace, map(chr, range(0x10000))))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def passing(value: Column, test) -> Column:
+    """The value, worked out once, where test(value) holds; else null."""
+    return F.get(F.filter(F.array(value), test), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Both ends without any Unicode white space."""
-    return swap(c, rf"\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    return F.coalesce(strip(c), F.lit("")) == ""
 
 
 def squeeze_out(c: Column) -> Column:
     """Without any white space."""
-    return swap(c, rf"{BLANK}+", "")
+    return F.translate(c, BLANKS, "")
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+@cache
+def _digits() -> str:
+    """All decimal digits beyond ASCII, in runs of 0 to 9."""
+    return "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
 
 
-def letters(c: Column) -> Column:
-    return F.regexp_replace(c, "[^a-zA-Z]", "")
+def ascii_digits(c: Column) -> Column:
+    """Digits of any script as 0 to 9."""
+    found = _digits()
+    return F.when(is_ascii(c), c).otherwise(F.translate(c, found, "".join(str(unicodedata.digit(d)) for d in found)))
 
 
 @cache
@@ -73,17 +99,15 @@ def _plain_letters() -> tuple[str, str]:
 
 
 def plain(c: Column) -> Column:
-    """Stripped and without diacritics. ASCII values take the short way."""
-    stripped = strip(c)
-    long = {k: v for k, v in TRANSLITERATION.items() if len(v) > 1}
+    """A stripped value without diacritics. ASCII values take the short way."""
+    long = [F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in TRANSLITERATION.items() if len(v) > 1]
     short = {k: v for k, v in TRANSLITERATION.items() if len(v) == 1}
     source, target = _plain_letters()
-    wide = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), long.items(), stripped)
+    wide = F.aggregate(F.array(*long), c, lambda x, pair: F.replace(x, pair["k"], pair["v"]))
     wide = F.translate(wide, "".join(short) + source, "".join(short.values()) + target)
     # a syllable block decomposes to more than one character; only their number matters further on
-    wide = F.regexp_replace(wide, "[가-힣]", "가")
-    wide = F.regexp_replace(wide, r"\p{M}", "")
-    return F.when(c.rlike(r"[^\x00-\x7f]"), wide).otherwise(stripped)
+    wide = F.regexp_replace(wide, "[가-힣]", "가")
+    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(wide, r"\p{M}", ""))
 
 
 def base64_line(c: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushjoin.functions import dates
-from hushjoin.functions.text import is_blank, matches, strip
+from hushjoin.functions.text import ascii_digits, is_blank, let, matches, strip
 
 
 def sure(c: Column) -> Column:
@@ -26,8 +27,7 @@ def not_in(c: Column, values) -> Column:
 
 
 def not_starts_with(c: Column, prefixes) -> Column:
-    v = strip(c)
-    return sure(~reduce(lambda a, b: a | b, [v.startswith(p) for p in prefixes], F.lit(False)))
+    return sure(~matches(strip(c), rf"\A(?:{'|'.join(map(re.escape, prefixes))})"))
 
 
 def regex(c: Column, pattern: str) -> Column:
@@ -35,8 +35,8 @@ def regex(c: Column, pattern: str) -> Column:
     return sure(matches(c, rf"\A(?:{pattern})"))
 
 
-def date_range(c: Column, first: str | None = None, last: str | None = None, until_today: bool = False) -> Column:
-    d = dates.parse(c)
+def in_days(d: Column, first: str | None = None, last: str | None = None, until_today: bool = False) -> Column:
+    """Whether a date is in the range; both ends belong to it."""
     ok = d.isNotNull()
     if first:
         ok = ok & (d >= F.lit(first).cast("date"))
@@ -44,12 +44,28 @@ def date_range(c: Column, first: str | None = None, last: str | None = None, unt
         ok = ok & (d <= F.current_date())
     elif last:
         ok = ok & (d <= F.lit(last).cast("date"))
-    return sure(ok)
+    return ok
+
+
+def date_range(c: Column, first: str | None = None, last: str | None = None, until_today: bool = False) -> Column:
+    return sure(let(dates.parse(c), lambda d: in_days(d, first, last, until_today)))
+
+
+def in_numbers(n: Column, low: int, high: Column | int) -> Column:
+    """Whether a whole number, as text, is in the range."""
+    return n.try_cast("decimal(38,0)").between(F.lit(low), high if isinstance(high, Column) else F.lit(high))
 
 
 def number_range(c: Column, low: int, high: Column | int) -> Column:
-    n = strip(c).try_cast("decimal(38,0)")
-    return sure(matches(c, r"^\s*[+-]?\d+\s*$") & n.between(F.lit(low), high if isinstance(high, Column) else F.lit(high)))
+    return sure(matches(c, r"^\s*[+-]?\d+\s*$") & in_numbers(ascii_digits(strip(c)), low, high))
+
+
+def born(n: Column) -> Column:
+    return in_numbers(n, 1910, F.year(F.current_date()))
+
+
+def aged(n: Column) -> Column:
+    return in_numbers(n, 0, 120)
 
 
 def year_range(c: Column) -> Column:

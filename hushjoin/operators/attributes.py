@@ -9,22 +9,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushjoin.functions import dates, validators
-from hushjoin.functions.text import is_blank, letters, matches, plain, squeeze_out, strip, swap
-
-
-def _never(c: Column) -> Column:
-    return F.lit(False)
+from hushjoin.functions.text import ascii_digits, let, matches, passing, plain, squeeze_out, strip, swap
 
 
 @dataclass(frozen=True)
 class AttributeType:
-    """name: also the key of invalid counts. fails: normalizing a valid value fails, so that its rules give no row."""
+    """name: also the key of invalid counts. value: the normalized value, null where the raw value is invalid or cannot be read.
+
+    shape: what a raw value must match to be valid although it may be unreadable, so that its rules give no row.
+    settled: expression steps that change nothing on a normalized value. Normalized values are stripped and never blank.
+    """
 
     name: str
     aliases: tuple[str, ...]
-    valid: Callable[[Column], Column]
-    normalize: Callable[[Column], Column]
-    fails: Callable[[Column], Column] = _never
+    value: Callable[[Column], Column]
+    shape: str | None = None
+    settled: str = "T"
+
+    def fails(self, c: Column) -> Column:
+        """The raw value is valid and cannot be read."""
+        return F.lit(False) if self.shape is None else validators.regex(c, self.shape) & self.value(c).isNull()
+
+    def valid(self, c: Column) -> Column:
+        return self.value(c).isNotNull() if self.shape is None else validators.regex(c, self.shape)
+
+    def normalize(self, c: Column) -> Column:
+        """The normalized value; an invalid one is only stripped."""
+        return F.coalesce(self.value(c), strip(c))
+
+
+def attribute_type(name: str, valid: Callable[[Column], Column], normalize: Callable[[Column], Column], aliases: tuple[str, ...] = ()) -> AttributeType:
+    """A type of one's own, from a predicate and a normalizer of raw values."""
+    return AttributeType(name, (name, *aliases), lambda c: F.when(valid(c), normalize(c)), settled="")
 
 
 # Names that stand for no name.
@@ -64,183 +80,152 @@ CA_POSTAL = r"^\s*[A-Za-z]\d[A-Za-z](\s?\d([A-Za-z]\d?)?)?\s*$"
 SSN = r"^(?:\d{7,9}(?:[.]0*)?)$|(?:^(?!000|666|9\d\d)(\d{3})-?(?!00)(\d{2})-?(?!0000)(\d{4})$)"
 
 
-def _if_left(new: Column, old: Column) -> Column:
-    return F.when(new != "", new).otherwise(old)
+def _real(n: Column) -> Column:
+    return (n != "") & ~F.lower(n).isin(*sorted({v.lower() for v in PLACEHOLDERS}))
 
 
 def first_name(c: Column) -> Column:
-    v = plain(c)
-    v = _if_left(strip(swap(v, TITLE, "", True)), v)
-    v = _if_left(strip(swap(v, SUFFIX, "", True)), v)
-    return letters(strip(swap(v, LAST_INITIAL, "")))
+    """Letters of the name without title, suffix and last initial; null for what is no name.
 
+    What is cut off always leaves something: a title needs a letter after it, a suffix one before it.
+    """
+    v = swap(plain(strip(c)), TITLE + r"(?=[^\s])", "", True)
+    v = swap(strip(v), SUFFIX, "", True)
+    return passing(F.when(_real(c), swap(v, LAST_INITIAL + "|[^a-zA-Z]", "")), _real)
 
-def last_name(c: Column) -> Column:
-    v = plain(c)
-    short = swap(v, SUFFIX, "", True)
-    return letters(F.when(strip(short) != "", short).otherwise(v))
 
-
-def first_name_valid(c: Column) -> Column:
-    n = first_name(c)
-    return validators.not_blank(c) & validators.not_in(c, PLACEHOLDERS) & validators.sure(n != "") & validators.not_in(n, PLACEHOLDERS)
+def last_name(c: Column) -> Column:
+    """Letters of the name without suffix; null for what is no name. Names of two letters need a vowel or are Ng."""
+    v = swap(plain(strip(c)), rf"(?<=[^\s])(?i:{SUFFIX})|[^a-zA-Z]", "")
+    long = lambda n: (F.length(n) > 2) | n.rlike("^(?i:[a-z]?[aeiou][a-z]?|ng)$") & (F.length(n) == 2)
+    return passing(F.when(_real(c), v), lambda n: long(n) & _real(n))
 
 
-def last_name_valid(c: Column) -> Column:
-    n = last_name(c)
-    two = (F.length(n) == 2) & (n.rlike("[aeiouAEIOU]") | (F.lower(n) == "ng"))
-    return validators.not_blank(c) & validators.not_in(c, PLACEHOLDERS) & validators.sure((F.length(n) > 2) | two) & validators.not_in(n, PLACEHOLDERS)
+def _integer(c: Column) -> Column:
+    return swap(ascii_digits(strip(c)), r"\A(?:\+?0*|-0*(?=0\z)|(-)0*)(?=\d)", "$1")
 
 
 def integer(c: Column) -> Column:
     """Any length: sign, then digits without leading zeros; zero has no sign."""
-    v = strip(c)
-    digits = swap(v, r"^[+-]?0*(?=\d)", "")
-    return F.when((digits != "0") & v.startswith("-"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(matches(c, INTEGER), _integer(c))
+
+
+def year(c: Column) -> Column:
+    return F.when(matches(c, YEAR), _integer(c))
 
 
 def decimal(c: Column) -> Column:
     """Shortest digits that give the same double: plain from 1e-4 up to 1e16, else with an exponent of two digits at least."""
-    d = strip(c).try_cast("double")
-    text = d.cast("string")  # 1.0E10, 1.234E-5, 12.5
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    body = F.regexp_replace(text, "^-", "")
-    mantissa = F.regexp_extract(body, r"^([0-9.]+)", 1)
-    power = F.coalesce(F.regexp_extract(body, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    whole, part = F.regexp_extract(mantissa, r"^(\d+)", 1), F.regexp_replace(F.regexp_extract(mantissa, r"\.(\d+)$", 1), "0+$", "")
-    digits = F.concat(whole, part)
-    up = F.concat(F.rpad(digits, F.length(whole) + power, "0"), F.lit("."))
-    rest = F.when(F.length(digits) > F.length(whole) + power, F.expr("1")).otherwise(F.lit(0))
-    wide = F.when(rest == 1, F.concat(F.substring(digits, F.lit(1), F.length(whole) + power), F.lit("."), F.substring(digits, F.length(whole) + power + 1, F.length(digits)))).otherwise(F.concat(up, F.lit("0")))
-    tiny = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), F.regexp_replace(digits, "0+$", ""))
-    exponent = F.concat(F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
-    short = F.concat(whole, F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)), F.lit("e"), exponent)
-    out = F.when(power == 0, body).when((power > 0) & (power < 16), wide).when((power < 0) & (power >= -4), tiny).otherwise(short)
-    finite = F.concat(sign, out)
-    return F.when(d.isNull(), F.lit(None)).when(F.abs(d) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(finite)
 
+    def written(body: Column) -> Column:  # 1.0E10, 1.234E-5, 12.5
+        mantissa = F.split_part(body, F.lit("E"), F.lit(1))
+        power = F.coalesce(F.regexp_extract(body, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+        whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.rtrim(F.split_part(mantissa, F.lit("."), F.lit(2)), F.lit("0"))
+        return let(F.struct(whole.alias("whole"), part.alias("part"), power.alias("power")), lambda x: F.when(x["power"] == 0, body).otherwise(spelled(x["whole"], x["part"], x["power"])))
 
-def year(c: Column) -> Column:
-    return swap(strip(c), r"^0*(?=\d)", "")
+    def spelled(whole: Column, part: Column, power: Column) -> Column:
+        digits, point = F.concat(whole, part), F.length(whole) + power
+        rest = F.substring(digits, point + 1, F.length(digits))
+        wide = F.concat(F.rpad(digits, point, "0"), F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
+        tiny = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), F.rtrim(digits, F.lit("0")))
+        size = F.abs(power).cast("string")
+        exponent = F.concat(F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(size, F.greatest(F.lit(2), F.length(size)), "0"))
+        short = F.concat(whole, F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)), F.lit("e"), exponent)
+        return F.when((power > 0) & (power < 16), wide).when((power < 0) & (power >= -4), tiny).otherwise(short)
+
+    def signed(text: Column) -> Column:
+        body = F.when(F.ltrim(text, F.lit("-")) == "Infinity", F.lit("inf")).otherwise(written(F.ltrim(text, F.lit("-"))))
+        return F.concat(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")), body)
+
+    def shortest(d: Column) -> Column:  # the engine may write 17 digits where 16 give the same double
+        text, rounded = d.cast("string"), F.replace(F.format_string("%.15e", d), F.lit("e+"), F.lit("e"))
+        long = F.length(F.translate(F.split_part(text, F.lit("E"), F.lit(1)), "-.", "")) > 16
+        return F.when(long & (rounded.try_cast("double") == d), F.upper(rounded)).otherwise(text)
+
+    return F.when(matches(c, DECIMAL), let(let(ascii_digits(strip(c)).try_cast("double"), shortest), signed))
 
 
 def date(c: Column) -> Column:
-    return dates.iso(dates.parse(c))
+    return F.when(matches(c, dates.SHAPE), dates.iso(dates.parse(c)))
+
+
+def birth_date(c: Column) -> Column:
+    day = F.when(matches(c, dates.SHAPE), dates.parse(c))
+    return dates.iso(passing(day, lambda d: validators.in_days(d, first="1910-01-01", until_today=True)))
 
 
 def sex(c: Column) -> Column:
-    first = F.lower(F.substring(strip(c), 1, 1))
-    return F.when(first == "m", F.lit("Male")).when(first == "f", F.lit("Female"))
+    return F.when(matches(c, SEX), F.when(F.lower(strip(c)).startswith("m"), F.lit("Male")).otherwise(F.lit("Female")))
 
 
 def us_postal(least: int) -> Callable[[Column], Column]:
     """Five digits. Shorter codes are filled with zeros on the right where they have at least `least` digits."""
+    shape = US_POSTAL.replace(r"^\s*", rf"^\s*(?!{'|'.join(US_POSTAL_REJECTED)})")
 
-    def normalize(c: Column) -> Column:
-        v = squeeze_out(c)
-        return (
-            F.when(matches(v, r"^\d{3}$"), F.concat(v, F.lit("00")) if least <= 3 else strip(c))
-            .when(matches(v, r"^\d{4}$"), F.concat(v, F.lit("0")) if least <= 4 else strip(c))
-            .when(matches(v, r"^\d{5}"), F.substring(v, 1, 5))
-            .otherwise(strip(c))
-        )
-
-    return normalize
+    def value(c: Column) -> Column:
+        five = F.left(strip(c), F.lit(5))
+        return F.when(matches(c, shape), F.rpad(five, 5, "0") if least <= 3 else F.when(F.length(five) >= least, F.rpad(five, 5, "0")).otherwise(five))
 
-
-def us_postal_valid(c: Column) -> Column:
-    return validators.not_blank(c) & validators.regex(c, US_POSTAL) & validators.not_starts_with(c, US_POSTAL_REJECTED)
+    return value
 
 
 def ca_postal(least: int) -> Callable[[Column], Column]:
     """Letter digit letter, blank, digit letter digit. Shorter codes are filled up where they have at least `least` characters."""
+    no_area = rf"^({'|'.join(CA_AREAS_REJECTED)}) (000|\d[A-Z]0)$"
 
-    def normalize(c: Column) -> Column:
-        v = squeeze_out(c)
-        u = F.upper(v)
-        head = F.substring(u, 1, 3)
-        kept = strip(c)
-        return (
-            F.when(matches(v, r"^[A-Za-z]\d[A-Za-z]$"), F.concat(head, F.lit(" 000")) if least <= 3 else kept)
-            .when(matches(v, r"^[A-Za-z]\d[A-Za-z]\d$"), F.concat(head, F.lit(" "), F.substring(u, 4, 1), F.lit("A0")) if least <= 4 else kept)
-            .when(matches(v, r"^[A-Za-z]\d[A-Za-z]\d[A-Za-z]$"), F.concat(head, F.lit(" "), F.substring(u, 4, 2), F.lit("0")) if least <= 5 else kept)
-            .when(matches(v, r"^[A-Za-z]\d[A-Za-z]\d[A-Za-z]\d"), F.concat(head, F.lit(" "), F.substring(u, 4, 3)))
-            .otherwise(kept)
-        )
-
-    return normalize
-
-
-def ca_postal_valid(least: int) -> Callable[[Column], Column]:
-    def valid(c: Column) -> Column:
-        n = ca_postal(least)(c)
-        filled = matches(n, rf"^({'|'.join(CA_AREAS_REJECTED)}) (000|\d[A-Z]0)$")
-        return validators.not_blank(c) & validators.regex(c, CA_POSTAL) & validators.sure(~F.upper(n).isin(*CA_POSTAL_REJECTED) & ~filled)
+    def spelled(u: Column) -> Column:
+        size = F.length(u)
+        fill = F.when(size == 3, F.lit("000")).when(size == 4, F.lit("A0")).when(size == 5, F.lit("0")).otherwise(F.lit(""))
+        return F.when(size >= least, F.concat(F.left(u, F.lit(3)), F.lit(" "), F.substring(u, 4, 3), fill))
 
-    return valid
+    def value(c: Column) -> Column:
+        n = F.coalesce(let(F.upper(squeeze_out(c)), spelled), strip(c))
+        return passing(F.when(matches(c, CA_POSTAL), n), lambda x: ~F.upper(x).isin(*CA_POSTAL_REJECTED) & ~matches(x, no_area))
 
-
-def postal(c: Column) -> Column:
-    return F.when(us_postal_valid(c), us_postal(3)(c)).when(ca_postal_valid(3)(c), ca_postal(3)(c)).otherwise(strip(c))
+    return value
 
 
 def ssn(c: Column) -> Column:
-    v = F.split_part(F.replace(squeeze_out(c), F.lit("-"), F.lit("")), F.lit("."), F.lit(1))
-    full = F.lpad(v, 9, "0")
-    dashed = F.concat_ws("-", F.substring(full, 1, 3), F.substring(full, 4, 2), F.substring(full, 6, 4))
-    return F.when(matches(v, r"\A\d{7,9}\z"), dashed).otherwise(c)
-
-
-def birth_date_valid(c: Column) -> Column:
-    return validators.not_blank(c) & validators.regex(c, dates.SHAPE) & validators.date_range(c, first="1910-01-01", until_today=True)
-
+    """Nine digits with dashes; seven and eight digits are filled up on the left."""
+    bare = swap(c, r"[-\s]|\..*", "")
+    nine = let(bare, lambda v: F.when(F.length(v) < 9, F.lpad(ascii_digits(v), 9, "0")).otherwise(v))
+    return F.when(matches(c, SSN) & ~c.isin(*SSN_REJECTED), F.regexp_replace(nine, "^(...)(..)", "$1-$2-"))
 
-def _type(name, aliases, normalize, *tests, fails=_never) -> AttributeType:
-    def valid(c: Column) -> Column:
-        out = validators.not_blank(c)
-        for test in tests:
-            out = out & validators.sure(test(c))
-        return out
 
-    return AttributeType(name, (name, *aliases), valid, normalize, fails)
+def _type(name: str, value: Callable[[Column], Column], *aliases: str, **more) -> AttributeType:
+    return AttributeType(name, (name, *aliases), value, **more)
 
 
-def _shape(pattern: str) -> Callable[[Column], Column]:
-    return lambda c: validators.regex(c, pattern)
+def _text(c: Column) -> Column:
+    return passing(strip(c), lambda v: v != "")
 
 
 _ALL = [
-    _type("String", ("Text",), strip),
-    _type("RecordId", ("Id",), strip),
-    _type("Integer", (), integer, _shape(INTEGER)),
-    _type("Decimal", (), decimal, _shape(DECIMAL)),
-    _type("Date", (), date, _shape(dates.SHAPE), fails=lambda c: dates.parse(c).isNull()),
-    _type("Year", (), year, _shape(YEAR)),
-    _type("Age", (), integer, _shape(INTEGER), validators.age_range),
-    _type("BirthYear", ("YearOfBirth",), year, _shape(YEAR), validators.year_range),
-    AttributeType("BirthDate", ("BirthDate",), birth_date_valid, date),
-    _type("Sex", ("Gender",), sex, _shape(SEX)),
-    AttributeType("FirstName", ("FirstName", "GivenName"), first_name_valid, first_name),
-    AttributeType("LastName", ("LastName", "Surname"), last_name_valid, last_name),
-    AttributeType("USPostalCode", ("USPostalCode", "USZipCode"), us_postal_valid, us_postal(5)),
-    AttributeType("CanadianPostalCode", ("CanadianPostalCode", "CanadianZipCode"), ca_postal_valid(6), ca_postal(6)),
-    AttributeType("PostalCode", ("PostalCode", "ZipCode", "ZIP3", "ZIP4", "ZIP5"), lambda c: validators.any_of(us_postal_valid(c), ca_postal_valid(3)(c)), postal),
-    _type("SocialSecurityNumber", ("NationalIdentificationNumber",), ssn, lambda c: validators.not_in(c, SSN_REJECTED), _shape(SSN)),
+    _type("String", _text, "Text"),
+    _type("RecordId", _text, "Id"),
+    _type("Integer", integer),
+    _type("Decimal", decimal),
+    _type("Date", date, shape=dates.SHAPE),
+    _type("Year", year),
+    _type("Age", lambda c: passing(integer(c), validators.aged)),
+    _type("BirthYear", lambda c: passing(year(c), validators.born), "YearOfBirth"),
+    _type("BirthDate", birth_date, settled="TD"),
+    _type("Sex", sex, "Gender"),
+    _type("FirstName", first_name, "GivenName"),
+    _type("LastName", last_name, "Surname"),
+    _type("USPostalCode", us_postal(5), "USZipCode"),
+    _type("CanadianPostalCode", ca_postal(6), "CanadianZipCode"),
+    _type("PostalCode", lambda c: F.coalesce(us_postal(3)(c), ca_postal(3)(c)), "ZipCode", "ZIP3", "ZIP4", "ZIP5"),
+    _type("SocialSecurityNumber", ssn, "NationalIdentificationNumber"),
 ]
 
 TYPES: dict[str, AttributeType] = {t.name: t for t in _ALL}
 
 
 def combined(name: str, *parts: AttributeType, aliases: tuple[str, ...] = ()) -> AttributeType:
-    """Valid if any part is; normalized by the first part that is valid, else only stripped."""
-
-    def normalize(c: Column) -> Column:
-        out = F.when(parts[0].valid(c), parts[0].normalize(c))
-        for p in parts[1:]:
-            out = out.when(p.valid(c), p.normalize(c))
-        return out.otherwise(strip(c))
-
-    return AttributeType(name, (name, *aliases), lambda c: validators.any_of(*(p.valid(c) for p in parts)), normalize)
+    """Valid if any part is; normalized by the first part that is valid."""
+    settled = "".join(s for s in parts[0].settled if all(s in p.settled for p in parts))
+    return AttributeType(name, (name, *aliases), lambda c: F.coalesce(*(p.value(c) for p in parts)), settled=settled)
 
 
 class FieldRegistry:
@@ -265,7 +250,3 @@ class FieldRegistry:
 
     def __contains__(self, field: str) -> bool:
         return field in self.fields
-
-
-def blank_to_null(c: Column) -> Column:
-    return F.when(~is_blank(c), c)

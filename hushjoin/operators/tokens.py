@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from hushjoin.functions import crypto
-from hushjoin.functions.expressions import compile_expression
+from hushjoin.functions import crypto, validators
+from hushjoin.functions.expressions import compile_expression, compile_settled
 from hushjoin.functions.text import is_blank
 from hushjoin.operators.attributes import FieldRegistry
 from hushjoin.operators.rules import DEFAULT, RuleSet, check_fields
@@ -63,7 +64,7 @@ class Pipeline:
         return cls.sealed(found.hashing_secret, exchange.transport_key(found), ring)
 
     def token(self, signature: Column, rule: str) -> Column:
-        blank = is_blank(signature)
+        blank = F.coalesce(signature, F.lit("")) == ""  # a signature has no blank parts
         out = crypto.sha256_hex(signature) if self.hashed else signature
         if self.secret is not None:
             out = crypto.hmac_base64(out, self.secret)
@@ -76,74 +77,127 @@ class Pipeline:
         return out
 
 
-def _marked(persons: DataFrame, rules: RuleSet, registry: FieldRegistry) -> DataFrame:
-    """RecordId and, for each field f that rules read: __raw_f, __ok_f, __norm_f, __fails_f."""
-    check_fields(rules, registry)
-    raw = resolve_columns(persons, rules.fields, registry)
-    new = {}
-    for f in rules.fields:
-        kind, c = registry[f], F.col(f"`__raw_{f}`") if f"__raw_{f}" in raw.columns else F.lit(None).cast("string")
-        new |= {f"__ok_{f}": F.coalesce(kind.valid(c), F.lit(False)), f"__norm_{f}": kind.normalize(c), f"__fails_{f}": F.coalesce(kind.fails(c), F.lit(False))}
-    return raw.withColumns(new)
+def _col(kind: str, name) -> Column:
+    return F.col(f"`__{kind}_{name}`")
+
 
+def _fallible(rules: RuleSet, registry: FieldRegistry) -> list[str]:
+    """Fields whose valid values may be unreadable."""
+    return [f for f in rules.fields if registry[f].shape is not None]
 
-def _rule_state(rule, columns: list[str], registry: FieldRegistry) -> tuple[Column, Column, Column]:
-    """Whether the rule has no row, its signature (null: blank) and the type of its first invalid field (null: none).
 
-    columns: of the person table's marked form. A field without a column makes a rule blank but is not invalid.
+def _read(persons: DataFrame, rules: RuleSet, registry: FieldRegistry) -> tuple[DataFrame, list[str]]:
+    """RecordId and, for each field f that rules read, its normalized value __value_f (null: invalid) and, where values
+    may be unreadable, __fails_f; and the fields that have a column."""
+    check_fields(rules, registry)
+    raw = resolve_columns(persons, rules.fields, registry)
+    there = [f for f in rules.fields if f"__raw_{f}" in raw.columns]
+    values = [(registry[f].value(_col("raw", f)) if f in there else F.lit(None).cast("string")).alias(f"__value_{f}") for f in rules.fields]
+    shaped = [f for f in _fallible(rules, registry) if f in there]
+    seen = [F.coalesce(validators.regex(_col("raw", f), registry[f].shape), F.lit(False)).alias(f"__shaped_{f}") for f in shaped]
+    out = raw.select("RecordId", *values, *seen)
+    if shaped:
+        out = out.withColumns({f"__fails_{f}": _col("shaped", f) & _col("value", f).isNull() for f in shaped})
+    return out, there
+
+
+def _states(persons: DataFrame, rules: RuleSet, registry: FieldRegistry) -> DataFrame:
+    """RecordId and, for each rule r, __sig_r (null: blank), __bad_r (type of its first invalid field, null: none) and, if it
+    may have no row, __none_r.
+
+    Values are read in one stage, the parts that rules share in the next, so that nothing is worked out twice. The first part
+    that gives nothing decides: an invalid value makes a rule blank, an unreadable one gives it no row.
     """
-    values = []
-    state = F.lit("ok")
-    name = F.lit(None).cast("string")
-    for p in reversed(rule.parts):
-        ok, fails = (F.col(f"`__{k}_{p.field}`") for k in ("ok", "fails"))
-        there = F.lit(f"__raw_{p.field}" in columns)
-        value = compile_expression(p.expression)(F.col(f"`__norm_{p.field}`"))
-        values.insert(0, value)
-        state = F.when(~ok, F.lit("blank")).when(fails, F.lit("none")).when(value.isNull(), F.lit("blank")).otherwise(state)
-        name = F.when(there & ~ok, F.lit(registry[p.field].name)).when(~ok | fails | value.isNull(), F.lit(None)).otherwise(name)
-    kept = F.concat_ws("|", F.filter(F.array(*values), lambda x: x.isNotNull() & ~is_blank(x)))
-    return state == "none", F.when(state == "ok", kept), name
-
-
-def _states(marked: DataFrame, rules: RuleSet, registry: FieldRegistry) -> DataFrame:
-    """RecordId and, for each rule r, __none_r, __sig_r and __bad_r. One stage, so that nothing is worked out twice."""
+    read, there = _read(persons, rules, registry)
+    wanted = dict.fromkeys((p.field, p.expression) for rid in rules.ids for p in rules.rules[rid].parts)
+    number = {part: n for n, part in enumerate(wanted)}
+    fails = [f for f in _fallible(rules, registry) if f in there]
+    parts = []
+    for (f, expression), n in number.items():
+        kind, c = registry[f], _col("value", f)
+        made = compile_settled(expression, kind.settled)(c) if kind.settled else F.when(c.isNotNull(), compile_expression(expression)(c))
+        parts.append(made.alias(f"__part_{n}"))
+    cut = read.select("RecordId", *[_col("value", f) for f in rules.fields], *[_col("fails", f) for f in fails], *parts)
     out = ["RecordId"]
     for rid in rules.ids:
-        absent, sig, bad = _rule_state(rules.rules[rid], marked.columns, registry)
-        out += [absent.alias(f"__none_{rid}"), sig.alias(f"__sig_{rid}"), bad.alias(f"__bad_{rid}")]
-    return marked.select(*out)
-
-
-def _col(kind: str, rid: str) -> Column:
-    return F.col(f"`__{kind}_{rid}`")
+        rule, names, absent, before = rules.rules[rid], [], [], None
+        missing = F.lit(None).cast("string")
+        for p in rule.parts:
+            part, value = _col("part", number[p.field, p.expression]), _col("value", p.field)
+            if p.field in there:
+                invalid = value.isNull() & ~_col("fails", p.field) if p.field in fails else value.isNull()
+                names.append((invalid, F.lit(registry[p.field].name)))
+            names.append((part.isNull(), missing))
+            if p.field in fails:
+                absent.append(_col("fails", p.field) if before is None else before & _col("fails", p.field))
+            before = part.isNotNull() if before is None else before & part.isNotNull()
+        seen = [_col("part", number[p.field, p.expression]) for p in rule.parts]
+        out.append(F.when(before, F.concat_ws("|", *[F.when(~is_blank(x), x) for x in seen])).alias(f"__sig_{rid}"))
+        bad = F
+        for test, name in names:
+            bad = bad.when(test, name)
+        out.append(bad.alias(f"__bad_{rid}"))
+        if absent:
+            out.append(reduce(Column.__or__, absent).alias(f"__none_{rid}"))
+    return cut.select(*out)
 
 
 def _rows(states: DataFrame, rules: RuleSet, name: str, value) -> DataFrame:
     """RecordId, RuleId and value(rule): a row a rule. inline_outer, since the optimizer would repeat the array of a plain inline in a filter."""
-    rows = [F.when(~_col("none", rid), F.struct(F.lit(rid).alias("RuleId"), value(rid).alias(name))) for rid in rules.ids]
-    return states.select("RecordId", F.inline_outer(F.array_compact(F.array(*rows)))).filter("RuleId is not null")
+    rows = [F.struct(F.lit(rid).alias("RuleId"), value(rid).alias(name)) for rid in rules.ids]
+    some = [f"__none_{rid}" in states.columns for rid in rules.ids]
+    rows = [F.when(~_col("none", rid), row) if may else row for rid, row, may in zip(rules.ids, rows, some)]
+    made = F.array_compact(F.array(*rows)) if any(some) else F.array(*rows)
+    out = states.select("RecordId", F.inline_outer(made))
+    return out.filter("RuleId is not null") if any(some) else out
 
 
 def signatures(persons: DataFrame, rules: RuleSet = DEFAULT, registry: FieldRegistry | None = None) -> DataFrame:
     """RecordId, RuleId and Signature (null: blank), one row a rule."""
-    registry = registry or FieldRegistry.defaults()
-    return _rows(_states(_marked(persons, rules, registry), rules, registry), rules, "Signature", lambda rid: _col("sig", rid))
+    return _rows(_states(persons, rules, registry or FieldRegistry.defaults()), rules, "Signature", lambda rid: _col("sig", rid))
 
 
 def tokenize(persons: DataFrame, pipeline: Pipeline, rules: RuleSet = DEFAULT, registry: FieldRegistry | None = None) -> DataFrame:
     """RecordId, RuleId, Token. Works on streaming DataFrames too: it is a projection."""
+    return _rows(_states(persons, rules, registry or FieldRegistry.defaults()), rules, "Token", lambda rid: pipeline.token(_col("sig", rid), rid))
+
+
+def counts_of(states: DataFrame, rules: RuleSet, registry: FieldRegistry) -> list[Column]:
+    """Aggregates over _states(): total, invalid_<type> for every type that rules read, blank_<rule> for every rule.
+
+    A record counts once for a type, however many rules come upon its invalid value.
+    """
+    found = F.array(*[_col("bad", rid) for rid in rules.ids])
+    no_row = lambda rid: _col("none", rid) if f"__none_{rid}" in states.columns else F.lit(False)
+    return [
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(F.array_contains(found, n)).alias(f"invalid_{n}") for n in sorted({registry[f].name for f in rules.fields})],
+        *[F.count_if(~no_row(rid) & is_blank(_col("sig", rid))).alias(f"blank_{rid}") for rid in rules.ids],
+    ]
+
+
+def tokenize_counted(persons: DataFrame, pipeline: Pipeline, rules: RuleSet = DEFAULT, registry: FieldRegistry | None = None) -> tuple[DataFrame, Observation]:
+    """tokenize() and the counters of the same pass: observation.get is there once the tokens have been written."""
+    registry, seen = registry or FieldRegistry.defaults(), Observation()
+    states = _states(persons, rules, registry)
+    states = states.observe(seen, *counts_of(states, rules, registry))
+    return _rows(states, rules, "Token", lambda rid: pipeline.token(_col("sig", rid), rid)), seen
+
+
+def counters(persons: DataFrame, rules: RuleSet = DEFAULT, registry: FieldRegistry | None = None) -> DataFrame:
+    """One row: total, invalid_<type> for every type that rules read, blank_<rule> for every rule."""
     registry = registry or FieldRegistry.defaults()
-    return _rows(_states(_marked(persons, rules, registry), rules, registry), rules, "Token", lambda rid: pipeline.token(_col("sig", rid), rid))
+    states = _states(persons, rules, registry)
+    return states.agg(*counts_of(states, rules, registry))
 
 
 def checked(persons: DataFrame, rules: RuleSet = DEFAULT, registry: FieldRegistry | None = None) -> DataFrame:
     """RecordId, invalid (names of all types with an invalid value that rules came upon), blank (rules that are blank)."""
-    registry = registry or FieldRegistry.defaults()
-    states = _states(_marked(persons, rules, registry), rules, registry)
+    states = _states(persons, rules, registry or FieldRegistry.defaults())
     seen = F.array_compact(F.array(*[_col("bad", rid) for rid in rules.ids]))
-    blank = F.array_compact(F.array(*[F.when(~_col("none", rid) & is_blank(_col("sig", rid)), F.lit(rid)) for rid in rules.ids]))
-    return states.select("RecordId", F.sort_array(F.array_distinct(seen)).alias("invalid"), blank.alias("blank"))
+    blank = [is_blank(_col("sig", rid)) & (~_col("none", rid) if f"__none_{rid}" in states.columns else F.lit(True)) for rid in rules.ids]
+    names = F.array_compact(F.array(*[F.when(b, F.lit(rid)) for b, rid in zip(blank, rules.ids)]))
+    return states.select("RecordId", F.sort_array(F.array_distinct(seen)).alias("invalid"), names.alias("blank"))
 
 
 def invalid_attributes(persons: DataFrame, fields: list[str], registry: FieldRegistry | None = None) -> DataFrame:
@@ -151,7 +205,7 @@ def invalid_attributes(persons: DataFrame, fields: list[str], registry: FieldReg
     registry = registry or FieldRegistry.defaults()
     raw = resolve_columns(persons, fields, registry)
     there = [f for f in fields if f"__raw_{f}" in raw.columns]
-    bad = [F.when(~F.coalesce(registry[f].valid(F.col(f"`__raw_{f}`")), F.lit(False)), F.lit(registry[f].name)) for f in there]
+    bad = [F.when(~F.coalesce(registry[f].valid(_col("raw", f)), F.lit(False)), F.lit(registry[f].name)) for f in there]
     return raw.select("RecordId", F.sort_array(F.array_distinct(F.array_compact(F.array(*bad)))).alias("invalid"))
 
 

@@ -55,9 +55,8 @@ _TOKENS = _BASE + f"SELECT RecordId, RuleId, {_HMAC} AS Token FROM s"
 def _attribute(name: str, column: str, short: str) -> None:
     def run(spark, sf_dir):
         p = persons(spark, sf_dir)
-        kind = TYPES[name]
-        ok = kind.valid(F.col(column))
-        return p.select("RecordId", ok.alias("valid"), F.when(ok, kind.normalize(F.col(column))).alias("value"))
+        value = p.select("RecordId", TYPES[name].value(F.col(column)).alias("value"))
+        return value.select("RecordId", F.col("value").isNotNull().alias("valid"), "value")
 
     run.__name__ = f"attr_{short}"
     code = {"first_name": "fn", "last_name": "ln", "birth_date": "bd", "sex": "sx", "postal_code": "pc", "ssn": "sn"}[short]
@@ -101,8 +100,7 @@ def _general(name: str) -> None:
         spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").createOrReplaceTempView("customer")
         kind, raw = TYPES[name], F.col("raw")
         rows = spark.sql(f"SELECT c_custkey, {pick} AS raw FROM customer")
-        ok = kind.valid(raw)
-        return rows.select("c_custkey", F.when(ok & ~kind.fails(raw), kind.normalize(raw)).alias("value"), (ok & kind.fails(raw)).alias("fails"))
+        return rows.select("c_custkey", kind.value(raw).alias("value"), F.coalesce(kind.fails(raw), F.lit(False)).alias("fails"))
 
     run.__name__ = f"attr_{name.lower()}"
     query(f"SELECT c_custkey, {want} AS value, ({fails}) AS fails FROM customer")(run)
