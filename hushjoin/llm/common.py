@@ -20,18 +20,37 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 # Words are runs of anything but the six ASCII blanks.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
-MAX_BATCH_BYTES = 8 << 20
+#: What a mapper is given at once: so many rows and, of texts of like length, about so many bytes.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; set only where it is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hushjoin-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Delete all scratch tables that operators called inside have made. Results must have been written before it ends."""
+    made: list[Scratch] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for scratch in made:
+            scratch.drop_all()
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut and lost executors cost nothing."""
 
@@ -39,6 +58,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/hushjoin-{uuid.uuid4().hex}"
         self.n = 0
+        if _scopes:
+            _scopes[-1].append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -48,21 +69,33 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
             if t is not None:
-                path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-                path.getFileSystem(conf).delete(path, True)
+                self._delete(t._scratch_path)
+
+    def drop_all(self) -> None:
+        self._delete(self.root)
+
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, so that long texts do not add up as Python objects."""
+    step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Limit what one Arrow batch holds, so that long texts do not add up in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MAX_BATCH_BYTES))
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 #: Word memos of this Python worker. They are emptied after each task, since idle workers stay beside the JVM.
@@ -80,16 +113,14 @@ def release() -> None:
 def map_columns(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict]], ddl: str | StructType) -> DataFrame:
     """Map batches of df, as a dict of Python lists, to a dict of columns. fn() runs once a task and returns
     the mapper, whose attribute `last`, if it has one, gives the columns that follow the last batch."""
-    bounded_batches(df.sparkSession)
     schema = _parse_datatype_string(ddl) if isinstance(ddl, str) else ddl
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = fn()
-        for batch in batches:
-            if batch.num_rows:
-                out = mapper(batch.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        for part in (part for batch in batches for part in slices(batch)):
+            out = mapper(part.to_pydict())
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
         if last := getattr(mapper, "last", None):
             out = last()
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
@@ -99,6 +130,23 @@ def map_columns(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
+#: A key that more rows meet than this is joined by broadcast; fewer rows a key are needed only where so many keys could be hot.
+HOT_ROWS, HOT_KEYS = 100_000, 200_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with keyed, which has each key once and in its column n how many of the `total` rows meet it.
+
+    Rows of hot keys meet a broadcast of at most HOT_KEYS keys, so that no task gets all rows of one key.
+    """
+    if total <= HOT_ROWS:
+        return rows.join(keyed.drop("n"), key)
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    few = F.broadcast(keyed.filter(hot).drop("n"))  # sum of n is at most total: fewer than HOT_KEYS keys
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(keyed.filter(~hot).drop("n"), key)
+    return rows.join(few, key).union(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

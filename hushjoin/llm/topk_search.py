@@ -1,18 +1,21 @@
 """Exact top-k inner-product search with ball trees.
 
-Vectors become whole numbers (floor(1024 * x)) and are cut into shards, one ball tree each, written to a table.
-Queries go over all shards in blocks of fixed size. A node can hold no score over q.c + |q| r, so nodes are taken
-in the order of that bound and left out when it is under the query's kth score so far. That score is shared: it
-starts from the scores of a bounded sample, and every task carries it from shard to shard.
-
-Vectors that are null, empty or hold null or non-finite components take no part, as do null ids. Queries only
-meet vectors of their own length. Candidates with a query's id are left out; other repeated ids count row by
-row. Ties go to the smaller id. An empty table gives an empty result.
+Vectors become whole numbers (floor(1024 * x)) and are cut into shards, one ball tree each. Queries go over all shards in
+blocks of fixed size, in one job: a task holds a block, and a run of shards streams through it. A node can hold no score
+over q.c + |q| r, so nodes are taken in the order of that bound and left out when it is under the query's kth score so
+far. That score is shared: every task starts from the kth scores within the first shard, which are found beforehand, and
+carries its own from shard to shard.
+
+Vectors that are null, empty or hold null or non-finite components take no part, as do null ids and vectors with a
+component of MOST or more. Queries only meet vectors of their own length. Candidates with a query's id are left out; other
+repeated ids count row by row. Where rows of one id are queries with different vectors, each vector is asked by itself and
+its results carry that id; equal vectors are asked once. Scores beyond 64 bits are given as the nearest 64-bit number,
+and tie. Ties go to the smaller id. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,27 +23,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushjoin.llm.common import Scratch, bounded_batches
+from hushjoin.llm.common import Scratch, slices
 
 SCALE = 1024
 SHARD_ROWS = 4096
 LEAF_ROWS = 128
 BLOCK_QUERIES = 4096
-SEED_ROWS = 2048
-EXACT = 1 << 53
-LOWEST = -(1 << 62)
+SHARDS_PER_TASK = 32
+MAX_LENGTHS = 10_000
+#: Squares of components stay finite under it.
+MOST = 1e150
+EXACT, LONG = 1 << 53, (1 << 63) - 1
+LOWEST = -LONG - 1
 
 
 def usable(v: Column) -> Column:
-    """Not null, not empty, all components finite."""
-    ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    return v.isNotNull() & (F.size(v) > 0) & ok
+    """Not null, not empty, all components finite and under MOST."""
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(MOST)))
 
 
 def whole(df: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """id, dim and v (long components) of usable rows."""
+    """id, dim and v (whole components, as doubles) of usable rows. Doubles hold floor(1024 * x) exactly, however large."""
     v = F.col(vec_col)
-    ints = F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    scaled = lambda x: x.cast("double") * SCALE
+    ints = F.transform(v, lambda x: F.when(F.abs(scaled(x)) < float(EXACT), F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     return df.filter(usable(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.size(v).alias("dim"), ints.alias("v"))
 
 
@@ -83,45 +89,42 @@ class BallTree:
 
 
 class Best:
-    """The k best scores of each query so far, best first, ties by id."""
+    """The k best scores of each query so far, best first, ties by id. Of `floor` it is known that no kth score is under it."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray):
-        self.ids, self.q, self.k = ids, q, k
+        self.ids, self.q, self.k, self.floor = ids, q, k, floor
         self.score = np.full((len(ids), k), LOWEST, np.int64)
-        self.row = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
-        self.floor = floor.astype(np.int64)  # no kth score is under it
-        self.qf = q.astype(np.float64)
-        self.norm = np.sqrt((self.qf**2).sum(axis=1))
+        self.row = np.full((len(ids), k), LONG, np.int64)
+        self.norm = np.sqrt((q**2).sum(axis=1))
 
     def kth(self, sub: np.ndarray) -> np.ndarray:
         return np.maximum(self.score[sub, -1], self.floor[sub])
 
     def bound(self, sub: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
-        up = self.qf[sub] @ centre + self.norm[sub] * radius
-        return up + 1e-9 * np.abs(up) + 1
+        at, far = self.q[sub] @ centre, self.norm[sub] * radius
+        return at + far + 1e-9 * (np.abs(at) + far + self.norm[sub] * np.sqrt((centre**2).sum())) + 1
 
     def offer(self, sub: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """scores: (queries of sub, ids), int64."""
-        own = ids[None, :] == self.ids[sub, None]
-        scores = np.where(own, LOWEST, scores)
-        hit = scores.max(axis=1) >= self.kth(sub)
-        if not hit.any():
-            return
-        sub, scores = sub[hit], scores[hit]
-        for i, s in zip(sub.tolist(), scores):
-            near = np.flatnonzero(s >= max(self.score[i, -1], self.floor[i]))
-            near = near[s[near] > LOWEST]
-            all_s, all_i = np.r_[self.score[i], s[near]], np.r_[self.row[i], ids[near]]
-            top = np.lexsort((all_i, -all_s))[: self.k]
+        free = ids[None, :] != self.ids[sub, None]
+        near = free & (scores >= self.kth(sub)[:, None])
+        for n in np.flatnonzero(near.any(axis=1)).tolist():
+            i, hits = sub[n], np.flatnonzero(near[n])
+            all_s, all_i = np.r_[self.score[i], scores[n, hits]], np.r_[self.row[i], ids[hits]]
+            top = np.lexsort((all_i, ~all_s))[: self.k]  # ~ turns the order round without overflow
             self.score[i], self.row[i] = all_s[top], all_i[top]
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact whole inner products: in floats while they are exact there, else in 64-bit integers."""
+    """Exact whole inner products as 64-bit integers: in doubles while they are exact there, else in integers of any size,
+    with what is beyond 64 bits cut to the nearest."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
     if most < EXACT:
-        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return q @ x.T
+        return (q @ x.T).astype(np.int64)
+    if most < LONG:
+        return q.astype(np.int64) @ x.T.astype(np.int64)
+    exact = (lambda a: np.array([[int(c) for c in row] for row in a.tolist()], object).reshape(a.shape))
+    return np.clip(exact(q) @ exact(x).T, LOWEST, LONG).astype(np.int64)
 
 
 def search_tree(tree: BallTree, x: np.ndarray, ids: np.ndarray, best: Best) -> None:
@@ -146,95 +149,121 @@ def search_tree(tree: BallTree, x: np.ndarray, ids: np.ndarray, best: Best) -> N
     visit(0, np.arange(len(best.ids)))
 
 
-_SHARD = "dim int, ids binary, v binary, tree binary"
-
-
 def build_shards(vectors: DataFrame) -> DataFrame:
-    """One row a shard of at most SHARD_ROWS vectors of one length, with its tree."""
-    import pickle
+    """One row a shard of at most SHARD_ROWS vectors of one length, with its tree and a number, the same whenever a task runs again."""
+    from pyspark import TaskContext
 
-    schema = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("v", pa.binary()), ("tree", pa.binary())])
+    schema = pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("ids", pa.binary()), ("v", pa.binary()), ("tree", pa.binary())])
 
-    def shard(dim, ids, rows):
+    def packed(dim, number, ids, rows):
         x = np.stack(rows)
-        tree = BallTree.build(x.astype(np.float64))
-        return pa.RecordBatch.from_pydict({"dim": [dim], "ids": [np.array(ids, np.int64).tobytes()], "v": [x.astype(np.int64).tobytes()], "tree": [pickle.dumps(tree)]}, schema)
+        one = {"dim": [dim], "shard": [number], "ids": [np.array(ids, np.int64).tobytes()], "v": [x.tobytes()], "tree": [pickle.dumps(BallTree.build(x))]}
+        return pa.RecordBatch.from_pydict(one, schema)
 
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
-        for batch in batches:
-            values = batch.column("v")
-            flat, off = values.flatten().to_numpy(zero_copy_only=False), 0
+        number = TaskContext.get().partitionId() << 32
+        for batch in (part for batch in batches for part in slices(batch)):
+            flat, off = batch.column("v").flatten().to_numpy(zero_copy_only=False), 0
             for i, dim in zip(batch.column("id").to_pylist(), batch.column("dim").to_pylist()):
                 ids, rows = held.setdefault(dim, ([], []))
                 ids.append(i)
                 rows.append(flat[off : off + dim])
                 off += dim
                 if len(ids) >= SHARD_ROWS:
-                    yield shard(dim, *held.pop(dim))
+                    yield packed(dim, number, *held.pop(dim))
+                    number += 1
         for dim, (ids, rows) in held.items():
-            yield shard(dim, ids, rows)
+            yield packed(dim, number, ids, rows)
+            number += 1
+
+    return vectors.mapInArrow(run, "dim int, shard long, ids binary, v binary, tree binary")
+
 
-    bounded_batches(vectors.sparkSession)
-    return vectors.mapInArrow(run, _SHARD)
+_CELL = ("dim", "block", "run", "role", "query", "id", "floor", "ids", "v", "tree")
 
 
-def search_block(shards: DataFrame, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each task for each query of one block (all of one length)."""
-    import pickle
+def _grid(asked: DataFrame, shards: DataFrame, scratch: Scratch) -> DataFrame:
+    """dim, blocks and runs: one row a vector length, broadcast while there are at most MAX_LENGTHS of them."""
+    size = lambda n: F.ceil(F.count("*") / n).cast("int")
+    blocks = asked.groupBy("dim").agg(size(BLOCK_QUERIES).alias("blocks"))
+    out = scratch.write(blocks.join(shards.groupBy("dim").agg(size(SHARDS_PER_TASK).alias("runs")), "dim"))
+    return F.broadcast(out) if out.count() <= MAX_LENGTHS else out
 
-    dim = queries.shape[1]
-    sent = shards.sparkSession.sparkContext.broadcast((ids, queries, floor))  # at most BLOCK_QUERIES vectors
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+def search(asked: DataFrame, shards: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """query, query_id, vec_id, score: the k best of each task for each query.
+
+    asked: dim, query (a number of its own), id, v (binary) and floor. A cell of a block of queries and a run of shards is one
+    task's: its queries come first, then the shards stream past them.
+    """
+    grid = _grid(asked, shards, scratch)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    own = lambda c, n, name: F.pmod(F.xxhash64(c), F.col(n)).cast("int").alias(name)
+    none, raw = F.lit(None).cast("long"), F.lit(None).cast("binary")
+    waiting = asked.join(grid, "dim").select("dim", own("query", "blocks", "block"), every("runs", "run"), F.lit(0).alias("role"), "query", "id", "floor", raw.alias("ids"), "v", raw.alias("tree"))
+    passing = shards.join(grid, "dim").select("dim", every("blocks", "block"), own("shard", "runs", "run"), F.lit(1).alias("role"), none.alias("query"), none.alias("id"), none.alias("floor"), "ids", "v", "tree")
+    cells = waiting.union(passing).repartition("dim", "block", "run").sortWithinPartitions("dim", "block", "run", "role")
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
-        best = Best(sent.value[0], sent.value[1], k, sent.value[2])
+        cell, best, held = None, None, []
+
+        def results():
+            if best is not None:
+                q, rank = np.nonzero(best.row < LONG)
+                numbers = np.array([h[0] for h in held], np.int64)
+                yield pa.RecordBatch.from_pydict({"query": numbers[q], "query_id": best.ids[q], "vec_id": best.row[q, rank], "score": best.score[q, rank]}, schema)
+
         for batch in batches:
-            for raw_ids, raw_v, raw_tree in zip(*(batch.column(c) for c in ("ids", "v", "tree"))):
-                own = np.frombuffer(raw_ids.as_buffer(), np.int64)
-                x = np.frombuffer(raw_v.as_buffer(), np.int64).reshape(len(own), dim)
-                search_tree(pickle.loads(raw_tree.as_py()), x, own, best)
-        q, rank = np.nonzero(best.score > LOWEST)
-        yield pa.RecordBatch.from_pydict({"query_id": best.ids[q], "vec_id": best.row[q, rank], "score": best.score[q, rank]}, schema)
+            for dim, block, run, role, query, i, floor, ids, v, tree in zip(*(batch.column(c) for c in _CELL)):
+                here = (dim.as_py(), block.as_py(), run.as_py())
+                if here != cell:
+                    yield from results()
+                    cell, best, held = here, None, []
+                if role.as_py() == 0:
+                    held.append((query.as_py(), i.as_py(), floor.as_py(), np.frombuffer(v.as_py())))
+                elif held:
+                    if best is None:
+                        _, asking, floors, vectors = zip(*held)
+                        best = Best(np.array(asking, np.int64), np.stack(vectors), k, np.array(floors, np.int64))
+                    own = np.frombuffer(ids.as_buffer(), np.int64)
+                    search_tree(pickle.loads(tree.as_py()), np.frombuffer(v.as_buffer()).reshape(len(own), -1), own, best)
+        yield from results()
+
+    return cells.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+
+
+def _queries(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """dim, query, id, v (binary): the distinct queries."""
+
+    def run(batches):
+        for batch in (part for batch in batches for part in slices(batch)):
+            raw = [np.array(v, np.float64).tobytes() for v in batch.column("v").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("v"), "v", pa.array(raw, pa.binary()))
 
-    return shards.filter(F.col("dim") == dim).select("ids", "v", "tree").mapInArrow(run, "query_id long, vec_id long, score long")
+    rows = vectors.filter(is_query).distinct().select("dim", F.xxhash64("id", "v").alias("query"), "id", "v")
+    return rows.mapInArrow(run, "dim int, query long, id long, v binary")
 
 
-def seed_floor(sample_ids: np.ndarray, sample: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
-    """kth best score of each query within a sample of the candidates: no kth score over all of them is less."""
-    if not len(sample):
-        return np.full(len(ids), LOWEST, np.int64)
-    s = np.where(sample_ids[None, :] == ids[:, None], LOWEST, products(queries, sample))
-    return np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(ids), LOWEST, np.int64)
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row that is_query (a column over `id`) picks."""
-    spark = df.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(df.sparkSession)
     vectors = scratch.write(whole(df, vec_col, id_col))
     shards = scratch.write(build_shards(vectors))
-    found = None
-    dims = [r["dim"] for r in vectors.filter(is_query).select("dim").distinct().collect()]  # lengths, not rows
-    for dim in sorted(dims):
-        same = vectors.filter(F.col("dim") == dim)
-        asked = same.filter(is_query).distinct()
-        blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-        asked = asked.withColumn("block", F.expr(f"pmod(xxhash64(id), {2 * blocks if blocks > 1 else 1})"))
-        sample = same.limit(SEED_ROWS).select("id", "v").collect()
-        s_ids = np.array([r["id"] for r in sample], np.int64)
-        s_v = np.array([r["v"] for r in sample], np.int64).reshape(len(sample), dim)
-        for block in range(2 * blocks if blocks > 1 else 1):
-            rows = asked.filter(F.col("block") == block).select("id", "v").collect()  # a block of queries
-            if rows:
-                ids = np.array([r["id"] for r in rows], np.int64)
-                q = np.array([r["v"] for r in rows], np.int64).reshape(len(rows), dim)
-                part = scratch.write(search_block(shards, ids, q, seed_floor(s_ids, s_v, ids, q, k), k))
-                found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = scratch.write(_queries(vectors, is_query))
+    # the kth score within one shard of a query's length: no kth score over all shards is less
+    first = shards.join(shards.groupBy("dim").agg(F.min("shard").alias("shard")), ["dim", "shard"], "left_semi")
+    seeds = _ranked(search(asked.withColumn("floor", F.lit(LOWEST)), first, k, scratch), k).filter(F.col("rank") == k)
+    seeds = scratch.write(seeds.select("query", F.col("query_id").alias("id"), F.col("score").alias("floor")))
+    known = asked.join(seeds, ["query", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))
+    found = scratch.write(search(known, shards, k, scratch))
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
@@ -243,10 +272,10 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 100 = 0
+  SELECT q.vec_id AS query_id, q.w, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w)
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY query_id, w ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 10
 """

@@ -343,9 +343,36 @@ def test_top_k_matches_brute_force(spark):
     assert topk_search.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
-def test_large_components_stay_exact():
-    q, x = np.array([[1 << 30, 3]]), np.array([[1 << 30, 1], [-(1 << 30), 5]])
+def test_large_components_stay_exact(spark):
+    q, x = np.array([[float(1 << 30), 3]]), np.array([[float(1 << 30), 1], [-float(1 << 30), 5]])
     assert topk_search.products(q, x).tolist() == [[(1 << 60) + 3, -(1 << 60) + 15]]
+    vecs = {0: [1e16, 1.0], 1: [1e16, 2.0], 2: [-1e16, 0.0], 3: [1e10, 1e-3], 4: [1e200, 0.0], 5: [3e6, 4e6], 100: [3e6, -4e6]}
+    df = spark.createDataFrame([(i, v) for i, v in vecs.items()], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk_search.top_k(df, F.col("id") % 100 == 0).collect()]
+    whole = {i: [int(np.floor(1024 * c)) for c in v] for i, v in vecs.items() if i != 4}  # 1e200 is beyond MOST
+    want = []
+    for q in (0, 100):
+        score = lambda i: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], whole[i]))))
+        best = sorted((-score(i), i) for i in whole if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_queries_of_one_id_and_many_cells(spark, monkeypatch):
+    """Different vectors under one query id are asked each by itself; equal ones once. Blocks, runs and shards are many."""
+    for name, value in (("SHARD_ROWS", 40), ("LEAF_ROWS", 5), ("BLOCK_QUERIES", 3), ("SHARDS_PER_TASK", 2)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.RandomState(8)
+    rows = [(i, rng.randn(6).round(2).tolist()) for i in range(900)]
+    rows += [(200, rng.randn(6).tolist()), rows[300], (17, rows[17][1]), (18, [0.5] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = Counter(tuple(r) for r in topk_search.top_k(df, F.col("id") % 100 == 0, k=4).collect())
+    whole = [(i, tuple(int(np.floor(1024 * c)) for c in v)) for i, v in rows]
+    want = Counter()
+    for q, x in {w for w in whole if w[0] % 100 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in whole if i != q)[:4]
+        want.update((q, n, i, -s) for n, (s, i) in enumerate(best, 1))
+    assert got == want and sum(n for (q, *_), n in got.items() if q == 200) == 8
 
 
 # 7 mixing
