@@ -11,29 +11,33 @@
    leaders that very many others resemble are compared on full sets where they are held.
 4. Components of the confirmed links come from alternating large-star and small-star.
 
-With 26 bands of 5, a pair at the threshold of 0.8 meets in no bucket with a chance of 3e-5, and nearer pairs
-less. Null texts and texts without words have an empty set and are linked with nothing. Repeated rows of one id
-are one document and give one result each. An empty table gives an empty result. Null ids are kept, unlinked
-and with a null component.
+Bands follow from the threshold: a pair at it meets in no bucket with a chance of at most 4e-5 (26 bands of 5 at 0.8),
+and nearer pairs less. Null texts and texts without words have an empty set and are linked with nothing. Repeated rows of
+one id are one document and give one result each; where their texts differ, each text has its class, the classes are one
+node, and links are looked for on the text with the least set hash. Texts of any length are read whole. An empty table
+gives an empty result. Null ids, and ids that are no whole number, are kept, unlinked and with a null component. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import cache
+from itertools import accumulate
+from math import comb, log
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushjoin.llm.common import CACHES, WORD, Scratch, map_columns
+from hushjoin.llm.common import CACHES, WORD, Scratch, join_hot, map_columns
 from hushjoin.llm.components import components
 
-BANDS, ROWS = 26, 5
-N_HASHES = BANDS * ROWS
+N_HASHES = 130
 SEED = 20240607
-#: A pair at the threshold has fewer equal minima than this with a chance under 1e-6.
-LEAST_EQUAL = 80
+#: Chances that a pair at the threshold meets in no bucket, and that its minima rule it out.
+MISSED, RULED_OUT = 4e-5, 1e-6
 #: Held leaders and streaming members of one task and bucket.
 HELD_ROWS, STREAM_ROWS = 2048, 16_384
 #: Proposals of a held leader in a task, and the share of them that must be links for another such round.
@@ -49,6 +53,20 @@ _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _A = np.random.RandomState(SEED).randint(0, 1 << 31, size=(N_HASHES, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+@cache
+def banding(percent: int) -> tuple[int, int, int]:
+    """Bands, minima a band, and the fewest equal minima of a link, for a threshold. 26, 5 and 81 at 80.
+
+    Bands are as wide as MISSED allows. ValueError for thresholds that N_HASHES minima cannot serve.
+    """
+    t = percent / 100
+    wide = [r for r in range(1, N_HASHES + 1) if 0 < t <= 1 and (1 - t**r) ** (N_HASHES // r) <= MISSED]
+    if not wide:
+        raise ValueError(f"{N_HASHES} minima find no pairs of {percent} percent")
+    below = accumulate(comb(N_HASHES, m) * t**m * (1 - t) ** (N_HASHES - m) for m in range(N_HASHES))
+    return N_HASHES // wide[-1], wide[-1], sum(p <= RULED_OUT for p in below)
+
+
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > MEMO:
@@ -85,6 +103,10 @@ def minima(shingles: np.ndarray) -> bytes:
     return low.astype("<u4").tobytes()
 
 
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.selectExpr(f"try_cast(`{id_col}` as long) AS id", f"`{text_col}` AS text")
+
+
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, set_hash (of the whole set, null if empty) and minima (null if empty)."""
 
@@ -100,35 +122,36 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
 
         return mapper
 
-    src = docs.selectExpr(f"cast(`{id_col}` as long) AS id", f"`{text_col}` AS text")
-    return map_columns(src, start, "id long, n_shingles long, set_hash binary, minima binary")
+    return map_columns(_plain(docs, id_col, text_col), start, "id long, n_shingles long, set_hash binary, minima binary")
 
 
-def buckets_of(leaders: DataFrame) -> DataFrame:
-    """bucket (64-bit key of band and its minima) and id, for each band; buckets of one leader are left out."""
-    rows = leaders.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("minima", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("bucket"))
-    return rows
+def buckets_of(leaders: DataFrame, percent: int) -> DataFrame:
+    """bucket (64-bit key of band and its minima) and id, for each band."""
+    bands, rows, _ = banding(percent)
+    part = lambda b: F.substring("minima", b * (4 * rows) + 1, F.lit(4 * rows))
+    return leaders.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, part(b)))).alias("bucket"))
 
 
-def _close(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose sizes allow the threshold and whose minima agree often enough."""
+    least = banding(percent)[2]
 
     def start():
         def mapper(cols):
             ma, mb = (np.frombuffer(b"".join(cols[c]), "<u4").reshape(-1, N_HASHES) for c in ("ma", "mb"))
-            near = np.flatnonzero((ma == mb).sum(axis=1) >= LEAST_EQUAL).tolist()
+            near = np.flatnonzero((ma == mb).sum(axis=1) >= least).tolist()
             return {k: [cols[k][i] for i in near] for k in ("a", "b")}
 
         return mapper
 
     left = leaders.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("minima").alias("ma"))
     right = leaders.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("minima").alias("mb"))
-    both = pairs.join(right, "b").join(left, "a").filter("100 * least(na, nb) >= 80 * greatest(na, nb)")
+    both = pairs.join(right, "b").join(left, "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return map_columns(both.select("a", "b", "ma", "mb"), start, "a long, b long")
 
 
 class _Stream:
-    """Held leaders of one (bucket, block, chunk), and members that stream past them. Modes:
+    """Held leaders of one (bucket, part, block, chunk), and members that stream past them. Modes:
 
     propose: a held leader's few best members of other components.
     all: every member whose minima allow a link; a held leader with more than CROWD of them is only named (b null).
@@ -137,6 +160,7 @@ class _Stream:
 
     def __init__(self, mode: str, percent: int):
         self.mode, self.percent, self.key = mode, percent, None
+        self.least = banding(percent)[2]
         self.clear()
 
     def clear(self) -> None:
@@ -179,7 +203,7 @@ class _Stream:
         if not len(other):
             return
         equal = (minima[other] == m).sum(axis=1)
-        near = equal >= LEAST_EQUAL
+        near = equal >= self.least
         for k, e in zip(other[near].tolist(), equal[near].tolist()):
             best = self.best[k]
             if self.mode == "all":
@@ -195,29 +219,42 @@ class _Stream:
                     best.append((e, i))
 
 
+def _by_size(held: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """held and rows with a column part. In buckets of more than HELD_ROWS rows it is the size class of a set; a row goes to its own
+    class and to both beside it, since sizes of a link differ by a class at most. Elsewhere it is 0."""
+    width = max(-log(percent / 100), 1e-3) * (1 + 1e-9)
+    large = rows.groupBy("bucket").agg((F.count("*") > HELD_ROWS).alias("large"))
+    own = F.floor(F.log("n_shingles") / width).cast("int") + 1
+    near = F.when(F.col("large"), F.array(own - 1, own, own + 1)).otherwise(F.array(F.lit(0)))
+    kept = held.join(large, "bucket").withColumn("part", F.when(F.col("large"), own).otherwise(F.lit(0)))
+    return kept.drop("large"), rows.join(large, "bucket").withColumn("part", F.explode(near)).drop("large")
+
+
 def _streamed(held: DataFrame, rows: DataFrame, mode: str, percent: int) -> DataFrame:
     """Distinct a, b, bucket of held leaders against the rows of their buckets: columns bucket, id, c, n_shingles, payload.
 
     Blocks bound the held rows and shingles of a task, chunks the rows that stream through it.
     """
+    held, rows = _by_size(held, rows, percent)
+    key = ["bucket", "part"]
     size = F.greatest(F.ceil(F.count("*") / HELD_ROWS), F.ceil(F.sum("n_shingles") / HELD_SHINGLES)).cast("int")
-    blocks = held.groupBy("bucket").agg(size.alias("blocks"))
-    chunks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("chunks"))
-    deal = blocks.join(chunks, "bucket")
+    blocks = held.groupBy(*key).agg(size.alias("blocks"))
+    chunks = rows.groupBy(*key).agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("chunks"))
+    deal = blocks.join(chunks, key)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    kept = held.join(deal, "bucket").withColumn("block", own("blocks")).withColumn("chunk", every("chunks")).withColumn("role", F.lit(0))
-    passing = rows.join(deal, "bucket").withColumn("chunk", own("chunks")).withColumn("block", every("blocks")).withColumn("role", F.lit(1))
-    cols = ["bucket", "block", "chunk", "role", "id", "c", "n_shingles", "payload"]
-    dealt = kept.select(*cols).union(passing.select(*cols)).repartition("bucket", "block", "chunk").sortWithinPartitions(*cols[:5])
+    kept = held.join(deal, key).withColumn("block", own("blocks")).withColumn("chunk", every("chunks")).withColumn("role", F.lit(0))
+    passing = rows.join(deal, key).withColumn("chunk", own("chunks")).withColumn("block", every("blocks")).withColumn("role", F.lit(1))
+    cols = [*key, "block", "chunk", "role", "id", "c", "n_shingles", "payload"]
+    dealt = kept.select(*cols).union(passing.select(*cols)).repartition(*cols[:4]).sortWithinPartitions(*cols[:6])
 
     def start():
         stream = _Stream(mode, percent)
 
         def mapper(cols):
             out = {"a": [], "b": [], "bucket": []}
-            for bucket, block, chunk, role, i, c, n, raw in zip(*(cols[k] for k in ("bucket", "block", "chunk", "role", "id", "c", "n_shingles", "payload"))):
-                stream.take((bucket, block, chunk), role, i, c, n, raw, out)
+            for *cell, role, i, c, n, raw in zip(*cols.values()):
+                stream.take(tuple(cell), role, i, c, n, raw, out)
             return out
 
         def last():
@@ -240,20 +277,26 @@ def _open_rows(buckets: DataFrame, label: DataFrame, leaders: DataFrame) -> Data
     return marked.join(state, "bucket").join(leaders, "id").select("bucket", "id", "c", "main", "n_shingles", "minima")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id and shingles (binary) of the documents whose id is wanted; only those texts are read into sets."""
-    ids = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+def _sets(docs: DataFrame, wanted: DataFrame, leaders: DataFrame, size: int) -> DataFrame:
+    """id and shingles (binary) of the leaders whose id is wanted (each once); only those texts are read into sets."""
+    ids = leaders.select("id", "set_hash").join(wanted, "id")
+    ids = F.broadcast(ids) if wanted.count() <= MAX_BROADCAST_IDS else ids
 
     def start():
-        return lambda cols: {"id": cols["id"], "shingles": [shingle_set(t, size).tobytes() for t in cols["text"]]}
+        def mapper(cols):
+            sets = [shingle_set(t, size).tobytes() for t in cols["text"]]
+            mine = [n for n, (s, h) in enumerate(zip(sets, cols["set_hash"])) if xxhash.xxh3_128_digest(s) == h]
+            return {"id": [cols["id"][n] for n in mine], "shingles": [sets[n] for n in mine]}
+
+        return mapper
 
-    return map_columns(docs.join(ids, "id", "left_semi"), start, "id long, shingles binary").dropDuplicates(["id"])
+    return map_columns(docs.join(ids, "id"), start, "id long, shingles binary").dropDuplicates(["id"])
 
 
-def _links_in_crowds(crowded: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def _links_in_crowds(crowded: DataFrame, rows: DataFrame, docs: DataFrame, leaders: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links of leaders that very many members of a bucket resemble, found on full sets without writing pairs."""
     there = rows.join(crowded.select("bucket").distinct(), "bucket", "left_semi")
-    sets = scratch.write(_sets(docs, there.select("id").distinct(), size))
+    sets = scratch.write(_sets(docs, there.select("id").distinct(), leaders, size))
     full = scratch.write(there.join(sets, "id").select("bucket", "id", "c", "n_shingles", F.concat("minima", "shingles").alias("payload")))
     held = full.join(crowded, ["bucket", "id"], "left_semi")
     out = scratch.write(_streamed(held, full, "exact", percent).select("a", "b").distinct())
@@ -261,13 +304,14 @@ def _links_in_crowds(crowded: DataFrame, rows: DataFrame, docs: DataFrame, size:
     return out
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs whose full sets overlap enough. Only documents of pairs are read again.
+def _confirmed(pairs: DataFrame, docs: DataFrame, leaders: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose full sets overlap enough, and the sets. Only documents of pairs are read again.
 
     Rows are sorted by centre, the centre's set first, and stream through a task that holds one set at a time.
     A centre with many partners is copied to a number of groups that follows from their count.
     """
-    sets = scratch.write(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), size))
+    ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = scratch.write(_sets(docs, ids, leaders, size))
     spread = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {PAIRS_PER_CENTRE}) as int)").alias("groups"))
     members = pairs.join(spread, "a").withColumn("g", F.expr("pmod(xxhash64(b), groups)").cast("int"))
     members = members.join(sets, members.b == sets.id).select("a", "g", "b", "shingles")
@@ -299,18 +343,22 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch, p
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept of every row of docs (other columns are ignored)."""
     scratch = Scratch(docs.sparkSession)
-    texts = docs.selectExpr(f"cast(`{id_col}` as long) AS id", f"`{text_col}` AS text")
+    texts = _plain(docs, id_col, text_col)
     sig = scratch.write(signatures(docs, size, id_col, text_col))
-    classes = sig.filter("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("leader"))
-    classes = scratch.write(classes)
-    leaders = scratch.write(sig.join(classes, (sig.set_hash == classes.set_hash) & (sig.id == classes.leader)).select("id", "n_shingles", "minima").dropDuplicates(["id"]))
-    rows = buckets_of(leaders)
+    full = sig.filter("set_hash is not null")
+    lead = F.min_by(F.struct("n_shingles", "minima"), "id").alias("lead")
+    grouped = full.filter("id is not null").groupBy("set_hash").agg(F.min("id").alias("leader"), F.count("*").alias("n"), lead)
+    classes = scratch.write(grouped.select("set_hash", "leader", "n", "lead.*"))
+    # an id leads several classes only where its rows have different texts: the one with the least hash stands for it
+    first = classes.groupBy(F.col("leader").alias("id")).agg(F.min_by(F.struct("set_hash", "n_shingles", "minima"), "set_hash").alias("lead"))
+    leaders = scratch.write(first.select("id", "lead.*"))
+    rows = buckets_of(leaders, percent)
     shared = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     buckets = scratch.write(rows.join(shared, "bucket").select("bucket", "id", "first"))
 
     # every leader against the least leader it meets in any bucket
-    near = scratch.write(_close(buckets.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).filter("a < b"), leaders))
-    found, sets = _confirmed(near, texts, size, scratch, percent)
+    near = scratch.write(_close(buckets.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).filter("a < b"), leaders, percent))
+    found, sets = _confirmed(near, texts, leaders, size, percent, scratch)
     scratch.drop(near, sets)
     links = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = components(links, scratch)
@@ -323,12 +371,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         plain = rows.withColumnRenamed("minima", "payload")
         seen = scratch.write(_streamed(plain.filter("c <> main"), plain, mode, percent).distinct())
         pairs = scratch.write(seen.filter("b is not null").select("a", "b").distinct())
-        found, sets = _confirmed(pairs, texts, size, scratch, percent)
+        found, sets = _confirmed(pairs, texts, leaders, size, percent, scratch)
         tried, linked = pairs.count(), found.count()
         scratch.drop(pairs, sets)
         crowded = seen.filter("b is null").select("bucket", F.col("a").alias("id"))
         if mode == "all" and not crowded.isEmpty():
-            found = found.union(_links_in_crowds(crowded, rows, texts, size, percent, scratch))
+            found = found.union(_links_in_crowds(crowded, rows, texts, leaders, size, percent, scratch))
         scratch.drop(rows)
         if linked or mode == "all":
             links = label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -336,14 +384,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         if mode == "all":
             break  # every pair of a bucket is now in one component or tried
         mode = "propose" if linked > WORTH * tried else "all"
-    member = sig.select("id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
-    joined = member.join(label, member.leader == label.node, "left")
-    out = joined.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "leader", "id")).alias("component_id"))
+    found = classes.join(label, classes.leader == label.node, "left").select("set_hash", F.coalesce("component", "leader").alias("c"), "n")
+    found = scratch.write(found)
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one row
+    # rows without an id have no component, and those of an empty set only their own: neither meets a class
+    members = join_hot(full.filter("id is not null").select("set_hash", "id", "n_shingles"), found, "set_hash", total)
+    rest = sig.filter("set_hash is null or id is null").select("id", "n_shingles", F.col("id").alias("c"))
+    out = members.select("id", "n_shingles", "c").union(rest).withColumnRenamed("c", "component_id")
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return out.withColumn("kept", kept).withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that lead their component, with their own columns. Rows with a null id stay."""
+    """The documents that lead their component, with their own columns. All rows of an id that stays do, as do rows with a null id."""
     gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
