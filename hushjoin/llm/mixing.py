@@ -5,9 +5,11 @@ among siblings it is shared by weight, a sibling whose whole subtree cannot use
 and the rest goes to its siblings; only what all siblings together cannot use goes back to the level above.
 Each leaf then takes a prefix of its documents in a seeded order, epoch after epoch, until its quota is met.
 
-Null keys are a value of their own ("~"). Null and empty texts have no tokens and are never selected.
-Weights that are not given are the default weight. Equal ranks are ordered by document id. An empty table
-gives an empty result. Repeated rows of one id follow each other in the order and each count.
+Null keys are a value of their own ("~"). Null and empty texts have no tokens and are never selected. Weights that are not
+given are the default weight. Equal ranks are ordered by document id. Repeated rows of one id follow each other in the
+order, shorter ones first, and each counts: a quota may take some of them. Rows without an id are ordered by their text.
+Texts of any length count whole. Columns beyond those needed may have any name. An empty table gives an empty result.
+The values of the first level are few: they are compared in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushjoin.llm.common import Scratch
+from hushjoin.llm.common import Scratch, free_name
 from hushjoin.llm.quality_rules import words_of
 
 NONE = "~"
@@ -95,12 +97,15 @@ def select_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_c
 
     Needs the columns lang and source. Tokens are words. The seeded order of an epoch is that of the md5 of
     seed, epoch and id. A leaf is cut into slices of that order, about DOCS_PER_SLICE documents each; token sums
-    of the slices give each slice its place, so no task has to order a whole leaf.
+    of the slices give each slice its place, so no task has to order a whole leaf. keep must not name other result columns.
     """
     scratch = Scratch(docs.sparkSession)
     src = F.col("source").cast("string")
+    kept = [F.col(c).alias(f"__keep_{n}") for n, c in enumerate(keep)]
     doc = docs.select(
+        *kept,
         F.col(id_col).alias("__id"),
+        F.when(F.col(id_col).isNull(), F.concat(F.lit("~"), F.md5(F.col(text_col).cast("binary")))).alias("__own"),
         domain_of(src).alias("domain"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
         F.coalesce(src, F.lit(NONE)).alias("source"),
@@ -115,28 +120,27 @@ def select_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_c
     epochs = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(mix.epochs - 1))))
     epochs = epochs.withColumn("__room", F.col("quota") - F.col("epoch") * F.col("tokens")).filter("__room > 0")
     epochs = epochs.select(*levels, "epoch", "slices", "__room")
-    rank = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epoch").cast("string"), F.col("__id").cast("string")).cast("binary"))
+    rank = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epoch").cast("string"), F.coalesce(F.col("__id").cast("string"), F.col("__own"))).cast("binary"))
     placed = doc.join(epochs, levels).withColumn("__rank", rank)
     place = F.floor(F.conv(F.substring("__rank", 1, 7), 16, 10).cast("long") * F.col("slices") / F.lit(1 << 28))
     placed = scratch.write(placed.withColumn("__slice", place))
     sums = placed.groupBy(*levels, "epoch", "__slice").agg(F.sum("n_tokens").alias("t"))
     run = Window.partitionBy(*levels, "epoch").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("__from", F.coalesce(F.sum("t").over(run), F.lit(0))).drop("t")
-    inner = Window.partitionBy(*levels, "epoch", "__slice").orderBy("__rank", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*levels, "epoch", "__slice").orderBy("__rank", "__id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(starts, [*levels, "epoch", "__slice"])
     out = out.withColumn("__at", F.col("__from") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
     out = out.filter("__at < __room").withColumn("n_taken", F.least(F.col("n_tokens"), F.col("__room") - F.col("__at")))
-    return out.select(F.col("__id").alias(id_col), *levels, "epoch", "n_tokens", "n_taken")
-
+    return out.select(F.col("__id").alias(id_col), *levels, "epoch", "n_tokens", "n_taken", *[F.col(f"__keep_{n}").alias(c) for n, c in enumerate(keep)])
 
 
 def keep_mix(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The documents of docs that at least one epoch selects, with their own columns.
-
-    Rows of one id are kept together, and so are those with a null id: all of them if one is selected.
-    """
-    ids = select_mix(docs, mix).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs that at least one epoch selects, with their own columns; rows without an id and repeated rows too."""
+    row = free_name(docs, "__row")
+    # numbers of rows are only the same in every use once they are written
+    marked = Scratch(docs.sparkSession).write(docs.withColumn(row, F.monotonically_increasing_id()))
+    picked = select_mix(marked, mix, keep=(row,)).select(row).distinct()
+    return marked.join(picked, row, "left_semi").select(*docs.columns)
 
 
 def _level_sql(depth: int, mix: Mix) -> str:
@@ -165,15 +169,19 @@ n{depth} AS (
 
 
 def sql(mix: Mix = Mix()) -> str:
-    """The same selection for DuckDB, which has no crc32: sources' domains are written into the statement."""
-    import zlib
-
-    names = " ".join(f"WHEN 'src{i}' THEN 'd{zlib.crc32(f'src{i}'.encode()) % 4}'" for i in range(20))
+    """The same selection for DuckDB. It has no crc32: names are checked byte by byte with the table of the polynomial."""
     levels = ", ".join(mix.levels)
     return f"""
-WITH doc AS (
-  SELECT doc_id, CASE source {names} ELSE '~' END AS domain, coalesce(lang, '~') AS lang, coalesce(source, '~') AS source,
-         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), names AS (
+  SELECT source, list_transform(range(octet_length(encode(source))), lambda i: ('0x' || substr(hex(encode(source)), 2 * i::INTEGER + 1, 2))::BIGINT) AS bytes
+  FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
+), domains AS (
+  SELECT source, 'd' || xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS domain FROM names, crc_table
+), doc AS (
+  SELECT doc_id, coalesce(domain, '~') AS domain, coalesce(lang, '~') AS lang, coalesce(source, '~') AS source,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents LEFT JOIN domains USING (source)
 ), d AS (
   SELECT * FROM doc WHERE n_tokens > 0
 ), leaves AS (
@@ -184,7 +192,7 @@ WITH doc AS (
   SELECT {levels}, epoch::INTEGER AS epoch, g.b - epoch * tokens AS room
   FROM leaves JOIN g{len(mix.levels) - 1} g USING ({levels}), range({mix.epochs}) t(epoch)
 ), p AS (
-  SELECT d.*, epoch, room, coalesce(sum(n_tokens) OVER (PARTITION BY {levels}, epoch ORDER BY md5('{mix.seed}:' || epoch || ':' || doc_id), doc_id
+  SELECT d.*, epoch, room, coalesce(sum(n_tokens) OVER (PARTITION BY {levels}, epoch ORDER BY md5('{mix.seed}:' || epoch || ':' || doc_id), doc_id, n_tokens
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM d JOIN e USING ({levels}) WHERE room > 0
 )
