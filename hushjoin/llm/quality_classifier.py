@@ -7,7 +7,8 @@ labels best, and scores are mapped to 0..1 so that the cut lies at 0.3.
 
 Null and empty texts get the score of a text without words. Without both labels in the sample there is nothing
 to rank: every score is 0.3 and every document is kept. Repeated rows are scored alike. Rows with a null id are
-scored and never held out. An empty table gives an empty result.
+scored and never held out. Texts of any length are read whole. quality_scores() ignores other columns; keep_good()
+carries them, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hushjoin.llm.common import crc_mod, map_columns
+from hushjoin.llm.common import crc_mod, free_name, map_columns
 from hushjoin.llm.features import Marks, informative, matrix, style_of, words_of
 from hushjoin.llm.training import SAMPLE_ROWS, binned, edges_of, labelled_sample
 
@@ -128,4 +129,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of CUT or more, with their own columns."""
-    return scored(docs, train(docs.select("doc_id", "text"), labels), "__score").filter(F.col("__score") >= CUT).drop("__score")
+    score = free_name(docs, "__score")
+    return scored(docs, train(docs.select("doc_id", "text"), labels), score).filter(F.col(score) >= CUT).select(*docs.columns)

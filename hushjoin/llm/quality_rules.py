@@ -5,8 +5,8 @@ names where a document came from), each host's failure rate is shrunk towards al
 fitted by moments, and hosts whose shrunk rate is too high are rejected with all their documents.
 
 Null and empty texts have no words and fail the base rules. A null host has no verdict of its own: only the
-base rules decide. Repeated rows are counted each time. An empty table gives an empty result. Other columns
-are carried by rejected_hosts/with_rules callers; names here start with an underscore pair when added to docs.
+base rules decide. Repeated rows are counted each time. Texts of any length are read whole. An empty table gives an
+empty result. quality_verdicts() ignores other columns; keep_quality() carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushjoin.llm.common import Scratch
+from hushjoin.llm.common import Scratch, free_name
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -116,18 +116,18 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that the base rules and the host verdicts keep, with their own columns."""
-    scratch = Scratch(docs.sparkSession)
-    marked = docs.withColumn("__failed", base_failed(_let(figures(F.col(text_col)), lambda f: f)))
+    scratch, failed, host = Scratch(docs.sparkSession), free_name(docs, "__failed"), free_name(docs, "__host")
+    marked = docs.withColumn(failed, base_failed(_let(figures(F.col(text_col)), lambda f: f)))
     # one pass over the texts: rows are written once, those that fail without their text
-    marked = scratch.write(marked.withColumn(text_col, F.when(~F.col("__failed"), F.col(text_col))))
-    bad = scratch.write(rejected_hosts(marked, host_col, "__failed", max_rate).select(F.col("host").alias("__host")))
+    marked = scratch.write(marked.withColumn(text_col, F.when(~F.col(failed), F.col(text_col))))
+    bad = scratch.write(rejected_hosts(marked, host_col, failed, max_rate).select(F.col("host").alias(host)))
     n = bad.count()
-    passed = marked.filter(~F.col("__failed")).drop("__failed")
+    passed = marked.filter(~F.col(failed)).select(*docs.columns)
     if n == 0:
         return passed
     if n <= MAX_BROADCAST_HOSTS:
         bad = F.broadcast(bad)
-    return passed.join(bad, F.col(host_col) == F.col("__host"), "left_anti")
+    return passed.join(bad, F.col(host_col) == F.col(host), "left_anti")
 
 
 SQL = """
