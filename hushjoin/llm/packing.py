@@ -3,11 +3,13 @@
 Online best-fit in bounded space: each task keeps at most OPEN_BINS open bins, indexed by a bitset keyed by
 free space. A piece goes to the open bin with the least space that still holds it; when all bins are taken
 and none fits, the fullest is closed for good. Null texts count as empty: such a document is the one end id.
-Repeated rows are packed once each. An empty table gives an empty result. Extra columns are ignored.
+Repeated rows are packed once each. Texts of any length are encoded whole. An empty table gives an empty result. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -30,7 +32,6 @@ MEMO = 500_000
 
 _encoders: dict = {}
 
-
 #: Words that are one run of Latin-1 letters and ASCII marks after it: each part is one unit of the tokenizer.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{}~|]*)")
 
@@ -53,8 +54,25 @@ class _Units(dict):
         return ids
 
 
+# The normalizer and the first splitting of tokenizer files whose texts may be encoded word by word.
+_BY_WORD = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
+
+
+def by_word(spec: dict) -> bool:
+    """Whether the tokenizer of this file lower-cases, splits words into letters and marks, and merges nothing across them."""
+    steps = ((spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers"))
+    marked = all(t["content"].startswith("<|") for t in spec.get("added_tokens", ()))
+    return steps == _BY_WORD and marked and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and spec.get("post_processor") is None
+
+
 class WordIds(dict):
-    """Word to its token ids, little-endian unsigned 32-bit. No merge of this vocabulary crosses a blank.
+    """Word to its token ids, little-endian unsigned 32-bit, for tokenizers that allow it; others encode whole texts.
 
     Most words are a run of letters with marks after it, which are two units of the tokenizer; any other word goes
     to the tokenizer as it is. What is kept is bounded: it is emptied at a fixed size.
@@ -66,6 +84,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = by_word(json.load(f))
         self.units = _Units(self.tokenizer.model.tokenize)
 
     def __missing__(self, word: str) -> bytes:
@@ -75,12 +95,15 @@ class WordIds(dict):
         if m and "<|" not in word:
             ids = self.units[m[1]] + self.units[m[2]]
         else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            ids = self.whole(word)
         self[word] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, WORD.findall(text)))
+        return b"".join(map(self.__getitem__, WORD.findall(text))) if self.by_word else self.whole(text)
 
 
 def encoder(path: str) -> WordIds:

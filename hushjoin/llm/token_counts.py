@@ -5,7 +5,8 @@ when the link is followed, so greedy longest-match piece counts come from one pa
 without building the pieces. A word that no sequence of pieces covers counts as one unknown token.
 
 Null and empty texts have no words and no tokens. Rows are never merged: repeated rows and ties give one
-result each. Extra columns are ignored. An empty table gives an empty result.
+result each. Texts and words of any length are counted whole. Extra columns are ignored, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 
-from hushjoin.llm.common import WORD, map_columns
+from hushjoin.llm.common import CACHES, WORD, map_columns
 
 MEMO = 400_000
 
@@ -118,6 +119,7 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     def start():
         if vocab_path not in _built:
             _built[vocab_path] = Counts(Automaton(vocabulary(vocab_path)))
+            CACHES.append(_built[vocab_path])
         memo = _built[vocab_path]
 
         def mapper(cols):

@@ -8,7 +8,8 @@ trained on the posterior labels, and it scores every text.
 
 Null and empty texts get the score of a text without marks. Without both labels in the sample every score is
 the share of label 1 (0 if there are no labels). Repeated rows are scored alike; rows with a null id are scored
-and never held out. An empty table gives an empty result.
+and never held out. Texts of any length are read whole. Other columns are ignored, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

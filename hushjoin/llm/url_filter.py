@@ -5,15 +5,16 @@ executor maps into memory; a url's candidates (each suffix of its host at a labe
 rules have) are hashed, looked up by vectorised binary search, and confirmed on the stored strings, so that equal
 keys of different strings cannot mislead. The longest rule that fits decides; without one the verdict is allow.
 
-Null urls and urls without "://" have an empty host and path and no rule. Repeated rows are judged alike. Extra
-columns are ignored. An empty table gives an empty result; without rules every url is allowed.
+Rules without a slash mean every path of their host. Null urls and urls without "://" have an empty host and path and no
+rule. Urls of any length are judged whole, and repeated rows alike. Extra columns are ignored, whatever their names. An
+empty table gives an empty result; without rules every url is allowed.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import uuid
+from hashlib import sha256
 
 import numpy as np
 import xxhash
@@ -37,7 +38,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 def digest_file(rules) -> bytes:
     """Layout, all little-endian: count n, number of path lengths m; m lengths; n sorted keys; n+1 offsets; n verdicts
     (1: block), as 64-bit words; then the strings, in key order."""
-    by_string = {r: v for v, r in rules}
+    by_string = {r if "/" in r else f"{r}/": v for v, r in rules}
     keyed = sorted((xxhash.xxh64_intdigest(r), r) for r in by_string)
     lengths = sorted({len(r) - r.index("/") for r in by_string})
     raw = [r.encode() for _, r in keyed]
@@ -100,13 +101,19 @@ def judge(digests: Digests, urls: list[str | None]) -> dict[str, list]:
 
 
 def ship(spark: SparkSession, rules) -> str:
-    """Write the digest file to the shared folder and have Spark bring it to every executor; its name there."""
-    name = f"digests-{uuid.uuid4().hex}.bin"
+    """Write the digest file to the shared folder and have Spark bring it to every executor; its name there.
+
+    Names follow from content: the same rules are written and shipped once a session.
+    """
+    content = digest_file(rules)
+    name = f"digests-{sha256(content).hexdigest()[:32]}.bin"
+    if any(str(f).endswith(f"/{name}") for f in spark.sparkContext.listFiles):
+        return name
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
     out = path.getFileSystem(conf).create(path, True)
     try:
-        out.write(bytearray(digest_file(rules)))
+        out.write(bytearray(content))
     finally:
         out.close()
     spark.sparkContext.addFile(path.toUri().toString() if path.toUri().getScheme() else f"file://{path}")
@@ -122,6 +129,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
     def start():
         if name not in _open:
+            _open.clear()  # a worker maps the rules of one call at a time
             _open[name] = Digests(SparkFiles.get(name))
         return lambda cols: {id_col: cols[id_col]} | judge(_open[name], cols["url"])
 
