@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="hushjoin-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir()
     return found.rstrip("/")
 
 
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="hushjoin-")
+
+
 _scopes: list[list[Scratch]] = []
 
 
@@ -130,21 +135,25 @@ def map_columns(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
-#: A key that more rows meet than this is joined by broadcast; fewer rows a key are needed only where so many keys could be hot.
+#: So many rows of one key may meet in a task; more where more than HOT_KEYS keys could be hot.
 HOT_ROWS, HOT_KEYS = 100_000, 200_000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], total: int, by: str) -> DataFrame:
     """Inner join of rows with keyed, which has each key once and in its column n how many of the `total` rows meet it.
 
-    Rows of hot keys meet a broadcast of at most HOT_KEYS keys, so that no task gets all rows of one key.
+    Rows of a hot key are dealt to several tasks by a hash of column `by`, and the key's row is copied to each. What is broadcast
+    are the hot keys alone: n adds up to total, so that there are at most HOT_KEYS of them.
     """
-    if total <= HOT_ROWS:
+    key = [key] if isinstance(key, str) else key
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= most:
         return rows.join(keyed.drop("n"), key)
-    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
-    few = F.broadcast(keyed.filter(hot).drop("n"))  # sum of n is at most total: fewer than HOT_KEYS keys
-    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(keyed.filter(~hot).drop("n"), key)
-    return rows.join(few, key).union(rest)
+    deals = F.ceil(F.col("n") / most).cast("int")
+    hot = F.broadcast(keyed.filter(F.col("n") > most).select(*key, deals.alias("__deals")))
+    dealt = rows.join(hot, key, "left").withColumn("__deal", F.when(F.col("__deals").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), "__deals")).cast("int")).drop("__deals")
+    copied = keyed.withColumn("__deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("n")
+    return dealt.join(copied, [*key, "__deal"]).drop("__deal")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

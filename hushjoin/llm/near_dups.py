@@ -13,9 +13,9 @@
 
 Bands follow from the threshold: a pair at it meets in no bucket with a chance of at most 4e-5 (26 bands of 5 at 0.8),
 and nearer pairs less. Null texts and texts without words have an empty set and are linked with nothing. Repeated rows of
-one id are one document and give one result each; where their texts differ, each text has its class, the classes are one
-node, and links are looked for on the text with the least set hash. Texts of any length are read whole. An empty table
-gives an empty result. Null ids, and ids that are no whole number, are kept, unlinked and with a null component. Other
+one id are one document and give one result each; where their texts differ, all of these texts are in one component, and
+where the id leads several of them, links are looked for on the one with the least set hash. Texts of any length are read
+whole. An empty table gives an empty result. Null ids, and ids that are no whole number, are kept, unlinked and with a null component. Other
 columns are ignored, whatever their names.
 """
 
@@ -219,32 +219,32 @@ class _Stream:
                     best.append((e, i))
 
 
-def _by_size(held: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _by_size(held: DataFrame, rows: DataFrame, total: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """held and rows with a column part. In buckets of more than HELD_ROWS rows it is the size class of a set; a row goes to its own
     class and to both beside it, since sizes of a link differ by a class at most. Elsewhere it is 0."""
     width = max(-log(percent / 100), 1e-3) * (1 + 1e-9)
-    large = rows.groupBy("bucket").agg((F.count("*") > HELD_ROWS).alias("large"))
+    large = rows.groupBy("bucket").agg((F.count("*") > HELD_ROWS).alias("large"), F.count("*").alias("n"))
     own = F.floor(F.log("n_shingles") / width).cast("int") + 1
     near = F.when(F.col("large"), F.array(own - 1, own, own + 1)).otherwise(F.array(F.lit(0)))
-    kept = held.join(large, "bucket").withColumn("part", F.when(F.col("large"), own).otherwise(F.lit(0)))
-    return kept.drop("large"), rows.join(large, "bucket").withColumn("part", F.explode(near)).drop("large")
+    kept = join_hot(held, large, "bucket", total, "id").withColumn("part", F.when(F.col("large"), own).otherwise(F.lit(0)))
+    return kept.drop("large"), join_hot(rows, large, "bucket", total, "id").withColumn("part", F.explode(near)).drop("large")
 
 
-def _streamed(held: DataFrame, rows: DataFrame, mode: str, percent: int) -> DataFrame:
+def _streamed(held: DataFrame, rows: DataFrame, total: int, mode: str, percent: int) -> DataFrame:
     """Distinct a, b, bucket of held leaders against the rows of their buckets: columns bucket, id, c, n_shingles, payload.
 
-    Blocks bound the held rows and shingles of a task, chunks the rows that stream through it.
+    Blocks bound the held rows and shingles of a task, chunks the rows that stream through it. total: number of rows.
     """
-    held, rows = _by_size(held, rows, percent)
+    held, rows = _by_size(held, rows, total, percent)
     key = ["bucket", "part"]
     size = F.greatest(F.ceil(F.count("*") / HELD_ROWS), F.ceil(F.sum("n_shingles") / HELD_SHINGLES)).cast("int")
     blocks = held.groupBy(*key).agg(size.alias("blocks"))
-    chunks = rows.groupBy(*key).agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("chunks"))
+    chunks = rows.groupBy(*key).agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("chunks"), F.count("*").alias("n"))
     deal = blocks.join(chunks, key)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    kept = held.join(deal, key).withColumn("block", own("blocks")).withColumn("chunk", every("chunks")).withColumn("role", F.lit(0))
-    passing = rows.join(deal, key).withColumn("chunk", own("chunks")).withColumn("block", every("blocks")).withColumn("role", F.lit(1))
+    kept = join_hot(held, deal, key, 3 * total, "id").withColumn("block", own("blocks")).withColumn("chunk", every("chunks")).withColumn("role", F.lit(0))
+    passing = join_hot(rows, deal, key, 3 * total, "id").withColumn("chunk", own("chunks")).withColumn("block", every("blocks")).withColumn("role", F.lit(1))
     cols = [*key, "block", "chunk", "role", "id", "c", "n_shingles", "payload"]
     dealt = kept.select(*cols).union(passing.select(*cols)).repartition(*cols[:4]).sortWithinPartitions(*cols[:6])
 
@@ -268,13 +268,13 @@ def _streamed(held: DataFrame, rows: DataFrame, mode: str, percent: int) -> Data
     return map_columns(dealt, start, "a long, b long, bucket long")
 
 
-def _open_rows(buckets: DataFrame, label: DataFrame, leaders: DataFrame) -> DataFrame:
+def _open_rows(buckets: DataFrame, total: int, label: DataFrame, leaders: DataFrame) -> DataFrame:
     """Rows of buckets that span components: bucket, id, c (component), main (the bucket's largest), n_shingles, minima."""
     marked = buckets.join(label, buckets.id == label.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     parts = marked.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    state = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    state = state.select("bucket", F.col("top.c").alias("main"))
-    return marked.join(state, "bucket").join(leaders, "id").select("bucket", "id", "c", "main", "n_shingles", "minima")
+    state = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("n")).filter("parts > 1")
+    state = state.select("bucket", F.col("top.c").alias("main"), "n")
+    return join_hot(marked, state, "bucket", total, "id").join(leaders, "id").select("bucket", "id", "c", "main", "n_shingles", "minima")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, leaders: DataFrame, size: int) -> DataFrame:
@@ -293,13 +293,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, leaders: DataFrame, size: int) ->
     return map_columns(docs.join(ids, "id"), start, "id long, shingles binary").dropDuplicates(["id"])
 
 
-def _links_in_crowds(crowded: DataFrame, rows: DataFrame, docs: DataFrame, leaders: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def _links_in_crowds(crowded: DataFrame, rows: DataFrame, total: int, docs: DataFrame, leaders: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links of leaders that very many members of a bucket resemble, found on full sets without writing pairs."""
     there = rows.join(crowded.select("bucket").distinct(), "bucket", "left_semi")
     sets = scratch.write(_sets(docs, there.select("id").distinct(), leaders, size))
     full = scratch.write(there.join(sets, "id").select("bucket", "id", "c", "n_shingles", F.concat("minima", "shingles").alias("payload")))
     held = full.join(crowded, ["bucket", "id"], "left_semi")
-    out = scratch.write(_streamed(held, full, "exact", percent).select("a", "b").distinct())
+    out = scratch.write(_streamed(held, full, total, "exact", percent).select("a", "b").distinct())
     scratch.drop(sets, full)
     return out
 
@@ -340,43 +340,57 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, leaders: DataFrame, size: int,
     return scratch.write(map_columns(rows, start, "a long, b long")), sets
 
 
+def _same_ids(full: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """u, v: the leaders of all classes that one id is in, linked to the least of them. None if no id has two texts."""
+    mark = F.xxhash64("set_hash")
+    several = scratch.write(full.groupBy("id").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).filter("x < y").select("id"))
+    if several.isEmpty():
+        return None
+    met = full.join(several, "id").select("id", "set_hash").distinct().join(classes.select("set_hash", "leader"), "set_hash")
+    return met.join(met.groupBy("id").agg(F.min("leader").alias("v")), "id").select(F.col("leader").alias("u"), "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept of every row of docs (other columns are ignored)."""
     scratch = Scratch(docs.sparkSession)
     texts = _plain(docs, id_col, text_col)
     sig = scratch.write(signatures(docs, size, id_col, text_col))
-    full = sig.filter("set_hash is not null")
+    full = sig.filter("set_hash is not null and id is not null")
     lead = F.min_by(F.struct("n_shingles", "minima"), "id").alias("lead")
-    grouped = full.filter("id is not null").groupBy("set_hash").agg(F.min("id").alias("leader"), F.count("*").alias("n"), lead)
+    grouped = full.groupBy("set_hash").agg(F.min("id").alias("leader"), F.count("*").alias("n"), lead)
     classes = scratch.write(grouped.select("set_hash", "leader", "n", "lead.*"))
     # an id leads several classes only where its rows have different texts: the one with the least hash stands for it
     first = classes.groupBy(F.col("leader").alias("id")).agg(F.min_by(F.struct("set_hash", "n_shingles", "minima"), "set_hash").alias("lead"))
     leaders = scratch.write(first.select("id", "lead.*"))
     rows = buckets_of(leaders, percent)
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    buckets = scratch.write(rows.join(shared, "bucket").select("bucket", "id", "first"))
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    buckets = scratch.write(join_hot(rows, shared, "bucket", banding(percent)[0] * leaders.count(), "id").select("bucket", "id", "first"))
+    met = buckets.count()
 
     # every leader against the least leader it meets in any bucket
     near = scratch.write(_close(buckets.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).filter("a < b"), leaders, percent))
     found, sets = _confirmed(near, texts, leaders, size, percent, scratch)
     scratch.drop(near, sets)
     links = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if (same := _same_ids(full, classes, scratch)) is not None:
+        links = links.union(same)
     label = components(links, scratch)
     buckets = buckets.select("bucket", "id")
     mode = "propose"
     while True:
-        rows = scratch.write(_open_rows(buckets, label, leaders))
-        if rows.isEmpty():
+        rows = scratch.write(_open_rows(buckets, met, label, leaders))
+        total = rows.count()
+        if not total:
             break
         plain = rows.withColumnRenamed("minima", "payload")
-        seen = scratch.write(_streamed(plain.filter("c <> main"), plain, mode, percent).distinct())
+        seen = scratch.write(_streamed(plain.filter("c <> main"), plain, total, mode, percent).distinct())
         pairs = scratch.write(seen.filter("b is not null").select("a", "b").distinct())
         found, sets = _confirmed(pairs, texts, leaders, size, percent, scratch)
         tried, linked = pairs.count(), found.count()
         scratch.drop(pairs, sets)
         crowded = seen.filter("b is null").select("bucket", F.col("a").alias("id"))
         if mode == "all" and not crowded.isEmpty():
-            found = found.union(_links_in_crowds(crowded, rows, texts, leaders, size, percent, scratch))
+            found = found.union(_links_in_crowds(crowded, rows, total, texts, leaders, size, percent, scratch))
         scratch.drop(rows)
         if linked or mode == "all":
             links = label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -386,9 +400,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         mode = "propose" if linked > WORTH * tried else "all"
     found = classes.join(label, classes.leader == label.node, "left").select("set_hash", F.coalesce("component", "leader").alias("c"), "n")
     found = scratch.write(found)
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one row
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # rows without an id have no component, and those of an empty set only their own: neither meets a class
-    members = join_hot(full.filter("id is not null").select("set_hash", "id", "n_shingles"), found, "set_hash", total)
+    members = join_hot(full.select("set_hash", "id", "n_shingles"), found, "set_hash", total, "id")
     rest = sig.filter("set_hash is null or id is null").select("id", "n_shingles", F.col("id").alias("c"))
     out = members.select("id", "n_shingles", "c").union(rest).withColumnRenamed("c", "component_id")
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))

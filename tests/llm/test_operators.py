@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from hushjoin.llm import language_id, mixing, near_dups, packing, quality_classifier, quality_rules, token_counts, topk_search, toxicity, url_filter
+from hushjoin.llm import features, language_id, mixing, near_dups, packing, quality_classifier, quality_rules, token_counts, topk_search, toxicity, url_filter
 from hushjoin.llm.common import Scratch
 from hushjoin.llm.components import components
 
@@ -152,6 +152,17 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(spark, docs_of(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_file_gives_its_own_ids(spark, name):
+    """Files whose words may not be taken apart are encoded as whole texts."""
+    texts = ["Two  blanks, don't", " lead\ning ½ É", None, "", "a" * 300, "it's\tx <|endoftext|> y"]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    got = {r.doc_id: packing.as_ids(bytes(r.ids)).tolist() for r in packing.cut_pieces(docs_of(spark, texts), public_tokenizers.path(name), with_ids=True).collect()}
+    assert got == {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
 def test_open_bins_are_bounded_and_take_the_best_fit():
     bins = packing.OpenBins(10, 2)
     assert [bins.put(n) for n in (6, 7, 3, 4, 9, 1)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (2, 9)]
@@ -210,6 +221,87 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_dups.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def altered(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"x{rng.randint(0, 10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    """Pairs planted around the threshold, most of them just over or under it."""
+    rng = random.Random(percent)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        n = {60: rng.randint(12, 18), 80: rng.randint(4, 9), 95: rng.randint(1, 2)}[percent]
+        texts += [" ".join(base), " ".join(altered(rng, base, n))]
+    got = near_dups.near_duplicates(docs_of(spark, texts), size=2, percent=percent).collect()
+    want = brute_components(dict(enumerate(texts)), 2, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 10 < sum(i != c for i, (_, c) in want.items()) < 60
+
+
+def test_bands_follow_the_threshold():
+    for percent in range(10, 101):
+        bands, rows, least = near_dups.banding(percent)
+        t = percent / 100
+        assert bands * rows <= near_dups.N_HASHES and (1 - t**rows) ** bands <= near_dups.MISSED and least <= near_dups.N_HASHES * t
+    assert near_dups.banding(80) == (26, 5, 81)
+    for wrong in (0, 3, 101):
+        with pytest.raises(ValueError):
+            near_dups.banding(wrong)
+
+
+def test_near_duplicates_lose_no_link_of_a_table(spark):
+    """Components of the whole sf0.01 table against an exact join on its shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs, size=4).collect()}
+    sets, holders, comp = {}, defaultdict(list), {}
+    for r in docs.select("doc_id", "text").collect():
+        w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))
+        sets[r.doc_id] = {hash(tuple(w[k : k + 4])) for k in range(max(1, len(w) - 3))} if w else set()
+        comp[r.doc_id] = r.doc_id
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i in sorted(sets):
+        both = Counter(j for s in sets[i] for j in holders[s])
+        for j, n in both.items():
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                x, y = find(i), find(j)
+                comp[max(x, y)] = min(x, y)
+        for s in sets[i]:
+            holders[s].append(i)
+    want = {i: (len(sets[i]), find(i)) for i in sets}
+    assert got == want and sum(i != c for i, (_, c) in want.items()) > 20
+
+
+def test_near_duplicates_with_odd_ids(spark):
+    """Ids as texts, null ids, ids with several texts."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [("3", a), ("1", b), ("3", b), ("x", a), (None, a), ("7", a), (" 5 ", None), ("1", b)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), size=4).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=repr) == sorted(
+        [(3, 1, False), (1, 1, True), (3, 1, False), (None, None, True), (None, None, True), (7, 1, False), (5, 5, True), (1, 1, True)], key=repr
+    )
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    from hushjoin.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i % 5 if i < 10 else 7, i) for i in range(40)], "k int, v int")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    got = common.join_hot(rows, keyed, "k", 40, "v")
+    assert "__deal" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["k", "v", "top"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(keyed.drop("n"), "k").collect()))
+
+
 @pytest.mark.parametrize("crowd", [0, 64])
 def test_large_buckets_are_searched_in_rounds(spark, monkeypatch, crowd):
     """With small limits each bucket is dealt to many tasks: the rounds must find what pairs would."""
@@ -312,6 +404,70 @@ def test_label_model_learns_accuracies():
     assert model.group[5] == model.group[6] and np.abs(model.told[:2, 5]).max() < np.abs(model.told[:2, 0]).min()
 
 
+def test_quality_scores_equal_a_plain_version(spark, sample, labels):
+    """The whole query on sf0.001 against the same model applied text by text, without the shortcuts of the tasks."""
+    model = quality_classifier.train(sample.select("doc_id", "text"), labels)
+    rows = sample.select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in quality_classifier.quality_scores(sample, labels).collect()}
+    assert len(got) == len(rows)
+    full = features.Marks()
+    for r in rows:
+        words, counts = features.words_of(r.text)
+        style, marks = np.array(features.style_of(r.text, words, counts)), set(full.of(counts, len(words)).tolist())
+        x = [float(v > e) for v, row in zip(style, model.edges) for e in row] + [float(c in marks) for c in model.columns.tolist()]
+        z = float(np.dot(x, model.weights)) - model.cut + np.log(0.3 / 0.7)
+        want = 1 / (1 + np.exp(-max(-30, min(30, z))))
+        assert abs(got[r.doc_id].score - want) < 1e-5 and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+
+
+def test_bradley_terry_reaches_the_least_loss():
+    """Adam on samples of pairs against plain gradient descent over all pairs."""
+    rng = np.random.RandomState(3)
+    x = (rng.rand(60, 4) < 0.5).astype(np.float32)
+    y = (x @ [2.0, -1, 0.5, 0] + rng.randn(60) > 0.5).astype(float)
+    d = np.array([a - b for a in x[y == 1] for b in x[y == 0]], float)
+    l2, w = 0.05, np.zeros(4)
+    for _ in range(4000):
+        w -= 0.2 * (l2 * w - d.T @ (1 / (1 + np.exp(d @ w))) / len(d))
+    got = quality_classifier.bradley_terry(x, y, l2=l2, steps=1500)
+    assert np.abs(got - w).max() < 0.12
+
+
+def test_toxicity_scores_equal_a_plain_version(spark, sample, labels):
+    model = toxicity.train(sample.select("doc_id", "text"), labels)
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(sample, labels).collect()}
+    full = features.Marks()
+    for r in sample.select("doc_id", "text").collect():
+        words, counts = features.words_of(r.text)
+        marks = set(full.of(counts, len(words)).tolist())
+        z = model.bias + sum(w for c, w in zip(model.columns.tolist(), model.weights) if c in marks)
+        want = 1 / (1 + np.exp(-max(-30, min(30, z))))
+        assert abs(got[r.doc_id].score - want) < 1e-5 and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_posteriors_of_a_label_model_by_hand():
+    """Two voters that are one and a third, with known accuracies: the pair speaks once."""
+    told = np.log(np.array([[0.8, 0.8, 0.6], [0.1, 0.1, 0.3], [0.1, 0.1, 0.1]])) - np.log(np.array([[0.1, 0.1, 0.2], [0.6, 0.6, 0.7], [0.3, 0.3, 0.1]]))
+    model = toxicity.LabelModel(told, np.array([0, 0, 2]), 0.25)
+    odds = 1 / 3 * 8 * 3
+    assert abs(model.posterior(np.array([[1, 1, 1]]))[0] - odds / (1 + odds)) < 1e-9
+    odds = 1 / 3 * (1 / 6) * (3 / 7)
+    assert abs(model.posterior(np.array([[-1, -1, -1]]))[0] - odds / (1 + odds)) < 1e-9
+
+
+def test_logistic_reaches_the_least_loss():
+    rng = np.random.RandomState(4)
+    x = (rng.rand(200, 3) < 0.4).astype(np.float32)
+    target = 1 / (1 + np.exp(-(x @ [2.0, -1.5, 0] - 0.3)))
+    w, b = np.zeros(3), 0.0
+    for _ in range(20_000):
+        miss = 1 / (1 + np.exp(-(x @ w + b))) - target
+        w, b = w - 0.3 * (x.T @ miss + w) / 200, b - 0.3 * miss.mean()
+    got, bias = toxicity.logistic(x, target)
+    assert np.abs(got - w).max() < 0.02 and abs(bias - b) < 0.02
+
+
 def test_toxicity_learns_from_lightly_marked_copies(monkeypatch):
     """Each text is learned from whole, with three tenths and with a tenth of its marks."""
     rng, seen = np.random.RandomState(2), []
@@ -443,6 +599,46 @@ def test_keep_mix_keeps_rows_without_an_id(spark):
     assert sorted(r.text for r in kept) == ["a b c", "d e", "f"]
 
 
+@pytest.mark.parametrize("percent", [35, 60, 85])
+def test_keep_mix_keeps_the_rows_that_quotas_take(spark, percent):
+    """Null and repeated ids, a clashing column: as many rows as are selected, no row twice."""
+    rng = random.Random(percent)
+    rows = [(rng.choice([None, 1, 2, 3, i]), " ".join("w" * rng.randint(1, 9)), "en", rng.choice(["a", "b"]), i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __row long")
+    mix = mixing.Mix(budget_percent=percent, epochs=1)
+    kept, picked = mixing.keep_mix(docs, mix).collect(), mixing.select_mix(docs, mix).collect()
+    assert len(kept) == len(picked) and len({r["__row"] for r in kept}) == len(kept) and set(kept) <= set(docs.collect())
+    assert sorted((r.doc_id or -1, len(r.text.split())) for r in kept) == sorted((r.doc_id or -1, r.n_tokens) for r in picked)
+    assert None in {r.doc_id for r in kept}
+
+
+def test_crc32_of_the_sql():
+    import duckdb
+
+    con = duckdb.connect()
+    names = ["src0", "", "ß-ü", "a.b/c", "x" * 300]
+    con.execute("CREATE TABLE documents AS SELECT unnest(range(5)) AS doc_id, 'w' AS text, 'en' AS lang, unnest($n) AS source, 1 AS n_chars", {"n": names})
+    got = con.execute(mixing.sql(mixing.Mix(budget_percent=100))).df()
+    assert dict(zip(got.source, got.domain)) == {n: f"d{zlib.crc32(n.encode()) % 4}" for n in names}
+
+
+def test_stages_keep_clashing_columns(spark, labels):
+    """Columns that bear the names operators would use themselves come out as they went in."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} {i}", "en", "s", 1, f"a{i}", i / 2, f"h{i}", i + 5) for i in range(6)] + [(None, text, "en", None, 1, "n", 0.0, "m", 1), (0, f"{text} 0", "en", "s", 1, "again", 0.0, "h", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __failed string, __score double, __host string, component_id int")
+    stages = {
+        "good": lambda d: quality_classifier.keep_good(d, labels.limit(0)),
+        "rules": quality_rules.keep_quality,
+        "mix": lambda d: mixing.keep_mix(d, mixing.Mix(budget_percent=100, epochs=1)),
+    }
+    for name, stage in stages.items():
+        got = stage(docs)
+        assert got.columns == docs.columns and Counter(got.collect()) == Counter(docs.collect()), name
+    got = near_dups.keep_one(docs)
+    assert got.columns == docs.columns and set(got.collect()) <= set(docs.collect()) and {r.doc_id for r in got.collect()} == {0, None}
+
+
 # 8 URLs
 
 
@@ -466,6 +662,8 @@ def test_urls_against_plain_rules(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict), u
     assert url_filter.filter_urls(df.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(df, rules=()).collect()} == {"allow"}
+    bare = {r.page_id: r.rule for r in url_filter.filter_urls(df, rules=(("block", "net"),)).collect()}
+    assert bare[urls.index("https://net/")] == "net/" and bare[urls.index("https://x.net")] is None
 
 
 def test_equal_keys_are_told_apart(tmp_path, monkeypatch):
@@ -491,3 +689,60 @@ def test_languages(spark, larger):
     none = docs_of(spark, texts).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.languages(none).collect()} == {"und"}
     assert language_id.languages(docs_of(spark, [])).count() == 0
+
+
+def test_languages_match_plain_compression(spark, sample):
+    """Every row of a small table against dictionaries of all its training texts, made and used without the operator's parts."""
+    import math
+
+    import zstandard
+
+    docs = sample.filter("doc_id % 2 = 0 or lang is null")
+    rows, texts = docs.select("doc_id", "lang", "text").collect(), defaultdict(list)
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            texts[r.lang].append(r)
+    assert max(map(len, texts.values())) <= language_id.SAMPLE_TEXTS
+    learned = language_id.sample_texts(docs)
+    dictionaries = {}
+    for lang, found in sorted(texts.items()):
+        assert sorted(learned[lang].split(b"\n")) == sorted(b"\n".join(r.text.lower().encode() for r in found).split(b"\n"))  # whole texts
+        dictionaries[lang] = zstandard.ZstdCompressionDict(learned[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+    def size(lang, raw):
+        c = zstandard.ZstdCompressor(level=9, dict_data=dictionaries[lang], write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(c.compress(raw))
+
+    got = {r.doc_id: r for r in language_id.languages(docs).collect()}
+    close = 0
+    for r in rows:
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        raw = r.text.lower().encode()
+        sizes = {x: sum(size(x, raw[i : i + 2048]) for i in range(0, len(raw), 2048)) for x in dictionaries}
+        best, second = sorted(sizes.values())[:2]
+        if (second - best) / second < 0.03:
+            close += 1
+            sizes = {x: n + sum(size(x, b" " + w + b" ") for w in set(raw.split())) for x, n in sizes.items()}
+            best, second = sorted(sizes.values())[:2]
+        # a compressor with a prepared dictionary may choose other matches than a fresh one: what is plain must agree
+        if (second - best) / second > 0.01:
+            assert got[r.doc_id].lang_pred == min(sizes, key=sizes.get), r.doc_id
+        assert abs(got[r.doc_id].score - (1 - math.exp(-(second - best) / second / 0.02))) < 0.25
+    assert close < len(rows)
+
+
+def test_long_languages_have_several_dictionaries(monkeypatch):
+    monkeypatch.setattr(language_id, "DICTIONARY_BYTES", 200)
+    a, b = ("der hund und die katze ".encode() * 30, "the dog and the cat ".encode() * 30)
+    judge = language_id.Judge({"de": a, "en": b})
+    assert [len(c) for c in judge.compress] == [-(-len(x) // 200) for x in (a, b)]
+    assert judge("Die Katze und der Hund")[0] == "de" and judge("the cat and the dog")[0] == "en"
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 3)
+    docs = docs_of(spark, [f"text {i}" for i in range(40)]).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 8).cast("string")))
+    with pytest.raises(ValueError, match="languages"):
+        language_id.languages(docs)
