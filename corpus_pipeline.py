@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
 columns of documents. Stages that learn read the labels from sf_dir.
+
+In every stage: rows with null ids, texts, languages or sources and repeated rows are rows like others, and repeated rows
+of one id stay or go alike but for mixing, whose quota may take some of them; null and empty texts never pass the rules;
+texts of any length are read whole; further columns stay, whatever their names; an empty table gives an empty one. Ties:
+see the operators.
 """
 
 from __future__ import annotations
@@ -10,9 +15,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hushjoin.llm import mixing, near_dups, packing, quality_classifier, quality_rules
-from hushjoin.llm.common import Scratch, table
+from hushjoin.llm.common import Scratch, scratch_scope, table
 
-#: SQL cannot express the classifier or MinHash: tests compare run() with the stages' brute-force versions.
+#: SQL cannot express the classifier or MinHash: tests compare each stage with a plain version of its own.
 ORACLE_SQL = None
 
 #: Stage 4 takes each selected document once: packing then sees no document twice.
@@ -48,8 +53,11 @@ STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("near_dup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written as Parquet and read again."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
-    for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+    """All stages over documents; each stage's result is written as Parquet and read again. Only the last result is left."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
+    for _, stage in STAGES:
+        with scratch_scope():
+            docs = scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(before)
+        before = docs
     return docs
