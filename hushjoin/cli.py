@@ -7,6 +7,9 @@ import json
 import os
 import sys
 
+from pyspark.errors import PySparkException
+
+from hushjoin import extensions
 from hushjoin.operators import metadata, tokens
 from hushjoin.operators.attributes import FieldRegistry
 from hushjoin.operators.overlap import OverlapAnalyzer
@@ -35,11 +38,12 @@ def _source(args, spark):
 
 
 def _run(args, spark, pipeline, out: str, kind: str | None = None, **secrets) -> str:
+    """Write the tokens and, from the counts of the same pass, the report."""
     persons, rules, registry = _source(args, spark)
-    files.write_tokens(tokens.tokenize(persons, pipeline, rules, registry), out, kind)
-    row = metadata.counters(persons, rules, registry).first().asDict()
+    made, seen = tokens.tokenize_counted(persons, pipeline, rules, registry)
+    files.write_tokens(made, out, kind)
     report = files.metadata_path(out)
-    metadata.write_document(report, metadata.document(row, rules, kind or files.detect_type(out), **secrets))
+    files.write_json(spark, report, metadata.document(seen.get, rules, kind or files.detect_type(out), **secrets))
     return report
 
 
@@ -52,27 +56,44 @@ def tokenize(args, spark) -> None:
         _run(args, spark, tokens.Pipeline.hash_only() if args.mode == "hash-only" else tokens.Pipeline.plain(), out)
 
 
+def _sealed_document(spark, stem: str, found: exchange.Exchange) -> str:
+    path = f"{stem}.exchange.json"
+    files.write_json(spark, path, dict(found.document))
+    return path
+
+
 def package(args, spark) -> None:
     out = args.output or files.auto_output_path(args.input, "package")
-    found = _exchange(args)
-    key, stem = exchange.transport_key(found), os.path.splitext(out)[0] + ".parquet"
-    report = _run(args, spark, tokens.Pipeline.sealed(found.hashing_secret, key, args.ring), stem, "parquet", hashing_secret=found.hashing_secret, encryption_key=key)
-    sealed = os.path.splitext(out)[0] + ".exchange.json"
-    metadata.write_document(sealed, dict(found.document))
-    files.bundle(out, stem, report, sealed)
+    found, stem = _exchange(args), os.path.splitext(out)[0]
+    key = exchange.transport_key(found)
+    pipeline = tokens.Pipeline.sealed(found.hashing_secret, key, args.ring)
+    report = _run(args, spark, pipeline, f"{stem}.parquet", "parquet", hashing_secret=found.hashing_secret, encryption_key=key)
+    files.bundle(spark, out, f"{stem}.parquet", report, _sealed_document(spark, stem, found))
 
 
 def encrypt(args, spark) -> None:
-    table = files.read_tokens(spark, args.input)
-    key = exchange.transport_key(_exchange(args))
-    files.write_tokens(tokens.encrypt_tokens(table, key, args.ring), args.output or files.auto_output_path(args.input, "encrypt"))
+    """A token file, or a zip archive with the tokens, the exchange document and, where the input has one, its report."""
+    table, found = files.read_tokens(spark, args.input), _exchange(args)
+    out, sealed = args.output or files.auto_output_path(args.input, "encrypt"), tokens.encrypt_tokens(table, exchange.transport_key(found), args.ring)
+    if files.detect_type(out, output=True) != "zip":
+        files.write_tokens(sealed, out)
+        return
+    stem, kind = os.path.splitext(out)[0], files.detect_type(args.input)
+    files.write_tokens(sealed, f"{stem}.{kind}", kind)
+    report = files.metadata_path(args.input)
+    files.bundle(spark, out, f"{stem}.{kind}", _sealed_document(spark, stem, found), *([report] if files.exists(spark, report) else []))
+    files.delete(spark, f"{stem}.{kind}")
 
 
 def decrypt(args, spark) -> None:
-    table = files.read_tokens(spark, args.input)
-    key = exchange.transport_key(_exchange(args))
-    files.write_tokens(tokens.decrypt_tokens(table, key), args.output or files.auto_output_path(args.input, "decrypt"))
-    print(json.dumps(tokens.transform_summary(table, key).first().asDict()))
+    table, key = files.read_tokens(spark, args.input), exchange.transport_key(_exchange(args))
+    out = args.output or files.auto_output_path(args.input, "decrypt")
+    if args.strict:
+        files.write_tokens(tokens.decrypt_tokens(table, key, strict=True), out)
+        return
+    opened, seen = tokens.decrypt_counted(table, key)
+    files.write_tokens(opened, out)
+    print(json.dumps(seen.get))
 
 
 def overlap(args, spark) -> None:
@@ -91,7 +112,7 @@ def initiate_exchange(args, spark) -> None:
     read = lambda p: open(p, "rb").read()
     secret = sys.stdin.buffer.read().strip() if args.secret_stdin else (os.environ[args.secret_env].encode() if args.secret_env else None)
     document = exchange.build(args.name, read(args.sender), read(args.recipient), secret)
-    metadata.write_document(str(args.output or exchange.default_path()), document)
+    files.write_json(spark, str(args.output or exchange.default_path()), document)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -118,7 +139,7 @@ def parser() -> argparse.ArgumentParser:
     command(tokenize, "io", "persons", "keys").add_argument("--mode", choices=("default", "hash-only", "demo"), default="default")
     command(package, "io", "persons", "keys", "ring")
     command(encrypt, "io", "keys", "ring")
-    command(decrypt, "io", "keys")
+    command(decrypt, "io", "keys").add_argument("--strict", action="store_true", help="fail where a token cannot be opened")
     c = command(overlap, "keys")
     c.add_argument("left")
     c.add_argument("right")
@@ -133,6 +154,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-o", "--output")
     c.add_argument("--secret-stdin", action="store_true")
     c.add_argument("--secret-env")
+    extensions.add_commands(sub, set(sub.choices))
     return p
 
 
@@ -140,7 +162,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         args.run(args, session())
-    except (ValueError, OSError) as e:
+    except (ValueError, OSError, PySparkException) as e:
         print(f"hushjoin: {e}", file=sys.stderr)
         return 1
     return 0

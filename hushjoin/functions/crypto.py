@@ -121,6 +121,13 @@ def decrypt(c: Column, key: bytes) -> Column:
     return F.when(is_envelope(c), opened).otherwise(F.coalesce(aes_decrypt(c, key), c))
 
 
+def decrypt_strict(c: Column, key: bytes) -> Column:
+    """The token of an envelope or ciphertext; a value that cannot be opened raises. Null stays null."""
+    failed = F.raise_error(F.lit("Decryption failed for a token")).cast("string")
+    opened = let(open_envelope(c, key), lambda payload: F.when(payload.isNull(), failed).otherwise(let(payload_token(payload), lambda t: F.when(t == "", t).otherwise(F.coalesce(aes_decrypt(t, key), t)))))
+    return F.when(c.isNull(), c).when(is_envelope(c), opened).otherwise(F.coalesce(aes_decrypt(c, key), failed))
+
+
 def decrypt_ok(c: Column, key: bytes) -> Column:
     """Whether decrypt() found something to open, for the counts of a decryption run."""
     return F.when(is_envelope(c), open_envelope(c, key).isNotNull()).otherwise(aes_decrypt(c, key).isNotNull())

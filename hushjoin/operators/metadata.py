@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import platform
 
 from pyspark.sql import DataFrame
@@ -43,11 +42,6 @@ def document(row: dict, rules: RuleSet = DEFAULT, output_format: str = "parquet"
     return out | {k: v for k, v in hashes.items() if v}
 
 
-def write_document(path: str, content: dict) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(content, f, indent=2, ensure_ascii=False)
-
-
 def tokens_by_rule(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("RuleId").agg(F.count("*").alias("tokens"))
 

@@ -2,8 +2,9 @@
 
 The blank token equals itself, so that records that are blank for the same rule match on it; include_blank=False
 leaves blank tokens out, which also avoids the largest possible join key. Counts (summary, only_left, pairs_by_rule,
-by_count) make no pairs: records with the same tokens form a class, and classes are counted. Only records with several
-tokens for one rule are paired with the other side row by row.
+by_count) make no pairs: records with the same tokens form a class, and classes are counted. matches() joins records on
+all their tokens at once, so that it shuffles records and not pairs. Only records with several tokens for one rule are
+paired with the other side row by row.
 """
 
 from __future__ import annotations
@@ -64,8 +65,11 @@ class Overlap:
         """Pairs of ids that match on every rule: as many row pairs as rules listed."""
         if not rules:
             raise ValueError("matching_rules cannot be empty")
-        counts = self.rule_matches(rules).groupBy(*self.ids).agg(F.count("*").alias("n"))
-        return counts.filter(F.col("n") == len(rules)).select(*self.ids)
+        a, b = self.ids
+        left, right = self._records(sorted(set(rules)))
+        keyed = lambda side, name: side.select(F.col("RecordId").alias(name), self._key(rules).alias("key")).filter("key is not null")
+        odd = self._odd_matches(left, right).groupBy(a, b).agg(F.count("*").alias("n")).filter(F.col("n") == len(rules))
+        return keyed(left, a).join(keyed(right, b), "key").select(a, b).union(odd.select(a, b))
 
     def at_least(self, k: int, rules: list[str] | None = None) -> DataFrame:
         """Pairs that match on k rules or more: ids, MatchingTokens (sorted, joined by |), TokenCount."""
@@ -227,5 +231,8 @@ def matches_by_count(pairs: DataFrame, count_col: str = "TokenCount") -> DataFra
     return pairs.groupBy(count_col).agg(F.count("*").alias("pairs"))
 
 
-def match_rate(matches: DataFrame, records: DataFrame) -> Column:
-    return matches.count() / max(1, records.count()) * 100
+def match_rate(matches: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: matches, records, match_rate (percent; 0 without records)."""
+    counts = matches.agg(F.count("*").alias("matches")).crossJoin(records.agg(F.count("*").alias("records")))  # one row each
+    share = F.when(F.col("records") > 0, F.col("matches") / F.col("records") * 100).otherwise(F.lit(0.0))
+    return counts.withColumn("match_rate", share)

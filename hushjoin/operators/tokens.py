@@ -218,18 +218,32 @@ def encrypt_tokens(tokens: DataFrame, key: str | bytes, ring: str | None = None)
     return tokens.withColumn("Token", F.when(crypto.real(c), wrapped).otherwise(c))
 
 
-def decrypt_tokens(tokens: DataFrame, key: str | bytes) -> DataFrame:
-    """Decrypt a token table. Blank and empty tokens, and what cannot be opened, stay."""
+def decrypt_tokens(tokens: DataFrame, key: str | bytes, strict: bool = False) -> DataFrame:
+    """Decrypt a token table. Blank and empty tokens stay, as does what cannot be opened; strict: that raises when rows are read."""
     raw, c = crypto.key_bytes(key), F.col("Token")
-    return tokens.withColumn("Token", F.when(crypto.real(c), crypto.decrypt(c, raw)).otherwise(c))
+    opened = crypto.decrypt_strict(c, raw) if strict else crypto.decrypt(c, raw)
+    return tokens.withColumn("Token", F.when(crypto.real(c), opened).otherwise(c))
+
+
+def _transform_counts(tried: Column, ok: Column) -> list[Column]:
+    return [F.count(F.lit(1)).alias("total"), F.count_if(tried & ok).alias("transformed"), F.count_if(tried & ~ok).alias("failed")]
 
 
 def transform_summary(tokens: DataFrame, key: str | bytes) -> DataFrame:
     """total, transformed and failed of a decryption run: one row."""
     raw, c = crypto.key_bytes(key), F.col("Token")
-    tried = crypto.real(c)
-    ok = F.coalesce(crypto.decrypt_ok(c, raw), F.lit(False))
-    return tokens.agg(F.count("*").alias("total"), F.count_if(tried & ok).alias("transformed"), F.count_if(tried & ~ok).alias("failed"))
+    return tokens.agg(*_transform_counts(crypto.real(c), F.coalesce(crypto.decrypt_ok(c, raw), F.lit(False))))
+
+
+def decrypt_counted(tokens: DataFrame, key: str | bytes) -> tuple[DataFrame, Observation]:
+    """decrypt_tokens() and transform_summary() of the same pass: observation.get is there once the tokens have been written.
+
+    Every token is opened once: one that stays as it is has not been opened.
+    """
+    seen, name = Observation(), "__was"
+    opened = decrypt_tokens(tokens.withColumn(name, F.col("Token")), key)
+    counts = _transform_counts(crypto.real(F.col(name)), F.col("Token") != F.col(name))
+    return opened.observe(seen, *counts).drop(name), seen
 
 
 def record_id_hashes(df: DataFrame) -> DataFrame:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from hushjoin.functions.crypto import BLANK
-from hushjoin.operators.attributes import CA_POSTAL_REJECTED, PLACEHOLDERS, SSN_REJECTED, US_POSTAL_REJECTED
+from hushjoin.operators.attributes import CA_POSTAL_REJECTED, PLACEHOLDERS, SSN_REJECTED, SUFFIX, TITLE, US_POSTAL_REJECTED
 from hushjoin.plans import people
 
-_TITLE = "(?i)^\\s*(mr|mrs|ms|miss|dr|prof|capt|sir|col|gen|cmdr|lt|rabbi|father|brother|sister|hon|honorable|reverend|rev|doctor)\\.?\\s+"
-_SUFFIX = "(?i)\\s+(jr\\.?|junior|sr\\.?|senior|I{1,3}|IV|V|VI{0,3}|IX|X|\\d+(st|nd|rd|th))$"
+_TITLE, _SUFFIX = f"(?i){TITLE}", f"(?i){SUFFIX}"
 
 
 def _in(values) -> str:

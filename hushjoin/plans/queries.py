@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushjoin.functions import crypto
+from hushjoin.functions import crypto, dates
 from hushjoin.functions.expressions import compile_expression
 from hushjoin.operators import metadata, tokens
-from hushjoin.operators.attributes import TYPES
-from hushjoin.operators.overlap import Overlap, look_back, matches_by_count
-from hushjoin.operators.rules import DEFAULT, RuleBuilder, RuleSet
+from hushjoin.operators.attributes import TYPES, FieldRegistry
+from hushjoin.operators.overlap import Overlap, look_back, match_rate, matches_by_count
+from hushjoin.operators.rules import DEFAULT, Part, Rule, RuleBuilder, RuleSet
 from hushjoin.plans import oracle, people
-from hushjoin.sources import config
+from hushjoin.sources import config, files
+from hushjoin.sources.persons import canonical, read_persons
 
 SECRET = b"query-secret"
 KEY = b"0123456789abcdef0123456789ABCDEF"
@@ -68,23 +71,23 @@ for _n, _c, _s in (("FirstName", "FirstName", "first_name"), ("LastName", "LastN
 
 #: Texts for the general types, by customer key.
 _GENERAL = {
-    "Integer": ["7", "+007", "-0", "-00450", " 12 ", "99999999999999999999999999", "1.5", "abc", "", None],
-    "Decimal": ["1", "+1.50", "-0.0", "1e10", "1.5e16", "12345678.9", ".5", "2.", "0.0001", "0.00001234", "1e400", "x", None],
+    "Integer": ["7", "+007", "-0", "-00450", " 12 ", "99999999999999999999999999", "1.5", "abc", "", None, "-٠١٢"],
+    "Decimal": ["1", "+1.50", "-0.0", "1e10", "1.5e16", "12345678.9", ".5", "2.", "0.0001", "0.00001234", "1e400", "x", None, "9.9999999912345126e17", "٣.٥"],
     "Year": ["1999", " 2005 ", "0099", "12345", "19", None],
     "Age": ["0", "120", "121", "-1", " 42 ", "54.2", None],
     "BirthYear": ["1910", "1909", "2001", "2999", "abcd", None],
-    "Date": ["2001-02-03", "2001/02/03", "02/03/2001", "02-03-2001", "03.02.2001", "2001-02-03T10:11:12Z", "2001-13-45", "2001-02-03T10:11:12", "20010203", None],
+    "Date": ["2001-02-03", "2001/02/03", "02/03/2001", "02-03-2001", "03.02.2001", "2001-02-03T10:11:12Z", "2001-13-45", "2001-02-03T10:11:12", "20010203", None, "٢٠٠١-02-03"],
     "String": [" a b ", "x", "", "   ", None],
     "USPostalCode": ["951", "1234", "12346-7890", "987654321", "00012", " 54320 ", "ABC", None],
     "CanadianPostalCode": ["k1a0b1", "K1A 0A6", "J1X", "J1X1", "J1X1A", "m5v 2t6", "12345", None],
 }
 _EXPECTED = {
-    "Integer": ["7", "7", "0", "-450", "12", "99999999999999999999999999", None, None, None, None],
-    "Decimal": ["1.0", "1.5", "-0.0", "10000000000.0", "1.5e+16", "12345678.9", "0.5", "2.0", "0.0001", "1.234e-05", "inf", None, None],
+    "Integer": ["7", "7", "0", "-450", "12", "99999999999999999999999999", None, None, None, None, "-12"],
+    "Decimal": ["1.0", "1.5", "-0.0", "10000000000.0", "1.5e+16", "12345678.9", "0.5", "2.0", "0.0001", "1.234e-05", "inf", None, None, "9.999999991234513e+17", "3.5"],
     "Year": ["1999", "2005", "99", None, None, None],
     "Age": ["0", "120", None, None, "42", None, None],
     "BirthYear": ["1910", None, "2001", None, None, None],
-    "Date": ["2001-02-03", "2001-02-03", "2001-02-03", "2001-02-03", "2001-02-03", "2001-02-03", None, None, None, None],
+    "Date": ["2001-02-03", "2001-02-03", "2001-02-03", "2001-02-03", "2001-02-03", "2001-02-03", None, None, None, None, "2001-02-03"],
     "String": ["a b", "x", None, None, None],
     "USPostalCode": ["951", "1234", "12346", None, None, "54320", None, None],
     "CanadianPostalCode": ["K1A 0B1", None, "J1X", "J1X1", "J1X1A", "M5V 2T6", None, None],
@@ -207,8 +210,6 @@ def custom_rule_settings(spark, sf_dir):
             "token_rules": {"X1": [{"field": "Given", "expression": "T|U"}, {"field": "Gender", "expression": "S(0,1)"}], "X2": [{"field": "Born", "expression": "D"}, {"field": "Zip", "expression": "T"}]},
         }
     )
-    from hushjoin.sources.persons import canonical
-
     return tokens.signatures(canonical(persons(spark, sf_dir), settings.registry, settings.columns), settings.rules, settings.registry)
 
 
@@ -260,7 +261,14 @@ def _overlap(spark, sf_dir, include_blank: bool = False) -> Overlap:
     pipe = tokens.Pipeline.keyed(SECRET)
     left = tokens.tokenize(persons(spark, sf_dir), pipe)
     right = tokens.tokenize(persons(spark, sf_dir, "D", people.OTHER_KEYS), pipe)
-    return Overlap(left, right, KEY, "A", "B", include_blank)
+    return Overlap(left, right, None, "A", "B", include_blank)
+
+
+def _sealed_overlap(spark, sf_dir) -> Overlap:
+    """Both sides sealed under rings of their own, and opened in the join; blank equals blank."""
+    left = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.sealed(SECRET, KEY, "ring-a"))
+    right = tokens.tokenize(persons(spark, sf_dir, "D", people.OTHER_KEYS), tokens.Pipeline.sealed(SECRET, KEY, "ring-b"))
+    return Overlap(left, right, KEY, "A", "B")
 
 
 _TWO = _with(_ONE, oracle.signatures_sql(), oracle.people_sql("D", people.OTHER_KEYS, "2"), oracle.signatures_sql("2"), "m AS (SELECT s.RecordId AS A_RecordId, s2.RecordId AS B_RecordId, RuleId FROM s JOIN s2 USING (RuleId, Signature) WHERE Signature <> '')")
@@ -326,14 +334,20 @@ def overlap_summary(spark, sf_dir):
 
 @query(_TWO + "SELECT RuleId, count(*) AS pairs FROM m GROUP BY RuleId")
 def overlap_pairs_by_rule(spark, sf_dir):
-    return _overlap(spark, sf_dir).rule_matches().groupBy("RuleId").agg(F.count("*").alias("pairs"))
+    return _overlap(spark, sf_dir).pairs_by_rule()
 
 
 @query(_TWO + f'SELECT n::INTEGER AS "TokenCount", count(*) AS pairs FROM ({_PAIRS}) GROUP BY n')
-def overlap_by_count(spark, sf_dir):
+def overlap_matches_by_count(spark, sf_dir):
+    """The same figures as overlap_by_count, from the listed pairs."""
     return matches_by_count(_overlap(spark, sf_dir).at_least(1))
 
 
+@query(_TWO + f'SELECT n::INTEGER AS "TokenCount", count(*) AS pairs FROM ({_PAIRS}) GROUP BY n')
+def overlap_by_count(spark, sf_dir):
+    return _overlap(spark, sf_dir).by_count()
+
+
 @query(_TWO + "SELECT A_RecordId, B_RecordId, p.LastName AS left_LastName, p2.LastName AS right_LastName FROM m JOIN p ON p.RecordId = A_RecordId JOIN p2 ON p2.RecordId = B_RecordId WHERE RuleId = 'T3'")
 def overlap_look_back(spark, sf_dir):
     over = _overlap(spark, sf_dir)
@@ -365,6 +379,123 @@ def overlap_by_count_with_blank(spark, sf_dir):
     return _overlap(spark, sf_dir, include_blank=True).by_count()
 
 
+# ---- overlap as it is by default: both sides sealed, blank equals blank
+
+
+@query(_TWO_BLANK + _summary_sql())
+def overlap_sealed_summary(spark, sf_dir):
+    return _sealed_overlap(spark, sf_dir).summary(_SETS)
+
+
+@query(_TWO_BLANK + "SELECT DISTINCT RecordId FROM s WHERE RecordId NOT IN (SELECT A_RecordId FROM m WHERE RuleId IN ('T2', 'T4') GROUP BY A_RecordId, B_RecordId HAVING count(*) = 2)")
+def overlap_sealed_only_left(spark, sf_dir):
+    return _sealed_overlap(spark, sf_dir).only_left(["T2", "T4"])
+
+
+@query(
+    _TWO
+    + "SELECT l.RecordId AS A_RecordId, r.RecordId AS B_RecordId FROM (SELECT RecordId, list(coalesce(Signature, '') ORDER BY RuleId) AS have FROM s GROUP BY RecordId) l "
+    "JOIN (SELECT RecordId, list(coalesce(Signature, '') ORDER BY RuleId) AS have FROM s2 GROUP BY RecordId) r USING (have)"
+)
+def overlap_sealed_all_rules(spark, sf_dir):
+    """Pairs that agree on every rule, records without any token among them."""
+    return _sealed_overlap(spark, sf_dir).matches(DEFAULT.ids)
+
+
+def _without_tokens(df: DataFrame) -> DataFrame:
+    return df.withColumn("Token", F.when(F.col("RuleId") != "T5", F.col("Token")))
+
+
+@query(_TWO_BLANK + "SELECT RuleId, count(*) AS pairs FROM m WHERE RuleId <> 'T5' GROUP BY RuleId")
+def overlap_null_tokens(spark, sf_dir):
+    """Null tokens, here all those of T5, match nothing, not even where blank equals blank."""
+    over = _overlap(spark, sf_dir, include_blank=True)
+    return Overlap(_without_tokens(over.left), _without_tokens(over.right), None, "A", "B").pairs_by_rule()
+
+
+@query(_TWO + "SELECT matches, records, matches / records * 100 AS match_rate FROM (SELECT (SELECT count(*) FROM m WHERE RuleId = 'T3') AS matches, (SELECT count(*) FROM p) AS records)")
+def overlap_match_rate(spark, sf_dir):
+    return match_rate(_overlap(spark, sf_dir).matches(["T3"]), persons(spark, sf_dir))
+
+
+# ---- states, pipelines and files
+
+
+@query(
+    _with(_ONE)
+    + f"""SELECT n.RecordId, 'D1' AS RuleId, CASE WHEN ok_ln AND shaped THEN concat_ws('|', upper(ln), bd) END AS Signature
+    FROM n JOIN (SELECT RecordId, d0, coalesce(regexp_matches(BirthDate, '{dates.SHAPE}'), false) AS shaped FROM e) USING (RecordId) WHERE NOT (ok_ln AND shaped AND d0 IS NULL)"""
+)
+def signatures_unreadable_date(spark, sf_dir):
+    """The third state of a rule: a date of the right form that is no day gives no row, one of no form a blank one."""
+    registry = FieldRegistry.defaults().register("BirthDate", "Date")
+    return tokens.signatures(persons(spark, sf_dir), RuleSet().add(Rule("D1", (Part("LastName", "T|U"), Part("BirthDate", "T")))), registry)
+
+
+@query(_BASE + f"SELECT RecordId, RuleId, CASE WHEN coalesce(Signature, '') = '' THEN '{crypto.BLANK}' ELSE Signature END AS Token FROM s")
+def tokens_encrypted_only(spark, sf_dir):
+    """Encryption without a hashing secret: the signature itself is sealed."""
+    sealed = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.sealed(None, KEY, RING))
+    return sealed.select("RecordId", "RuleId", crypto.decrypt(F.col("Token"), KEY).alias("Token"))
+
+
+@query(_TOKENS)
+def tokens_strict_decrypt(spark, sf_dir):
+    table = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.keyed(SECRET))
+    return tokens.decrypt_tokens(tokens.encrypt_tokens(table, KEY, RING), KEY, strict=True)
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="hushjoin-")
+
+
+def _written(spark, name: str) -> str:
+    """A path in the shared folder; a local session without one has a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_dir()
+    return f"{root.rstrip('/')}/hushjoin-written/{name}"
+
+
+def _round_trip(kind: str) -> None:
+    def run(spark, sf_dir):
+        path = _written(spark, f"tokens.{kind}")
+        files.write_tokens(tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.plain()), path)
+        return files.read_tokens(spark, path)
+
+    run.__name__ = f"tokens_{kind}_round_trip"
+    query(_BASE + f"SELECT RecordId, RuleId, CASE WHEN coalesce(Signature, '') = '' THEN '{crypto.BLANK}' ELSE Signature END AS Token FROM s")(run)
+
+
+def _persons_from(kind: str) -> None:
+    def run(spark, sf_dir):
+        path = _written(spark, f"persons.{kind}")
+        out = persons(spark, sf_dir).write.mode("overwrite")
+        if kind == "csv":
+            out.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+        else:
+            out.parquet(path)
+        return tokens.signatures(read_persons(spark, path, FieldRegistry.defaults(), kind))
+
+    run.__name__ = f"signatures_from_{kind}"
+    query(_BASE + "SELECT RecordId, RuleId, Signature FROM s")(run)
+
+
+for _n in ("csv", "parquet"):
+    _round_trip(_n)
+    _persons_from(_n)
+
+
+@query(_TWO + f'SELECT A_RecordId AS "HospitalRecordId", B_RecordId AS "PharmacyRecordId", rules AS "MatchingTokens", n::VARCHAR AS "TokenCount" FROM ({_PAIRS}) WHERE n >= 2')
+def matches_csv_round_trip(spark, sf_dir):
+    path = _written(spark, "matches.csv")
+    files.write_matches(_overlap(spark, sf_dir).at_least(2), path, {"A_RecordId": "HospitalRecordId", "B_RecordId": "PharmacyRecordId"})
+    return spark.read.option("header", True).csv(path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

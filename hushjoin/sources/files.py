@@ -1,9 +1,9 @@
-"""Token and match tables in files, bundles, and names of outputs."""
+"""Token and match tables in files, bundles, and names of outputs. Paths may be on any file system that Spark reaches."""
 
 from __future__ import annotations
 
+import json
 import os
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ def write_tokens(tokens: DataFrame, path: str, kind: str | None = None) -> None:
     """A folder of part files: csv with header and \\n line ends, or snappy Parquet."""
     out = tokens.select(*TOKEN_COLUMNS).write.mode("overwrite")
     if (kind or detect_type(path)) == "csv":
-        out.option("header", True).option("lineSep", "\n").csv(path)
+        out.options(header=True, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         out.option("compression", "snappy").parquet(path)
 
@@ -58,13 +58,55 @@ def write_single_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def bundle(out: str, *paths: str) -> None:
-    """Deflated archive of files, and of the part files of folders under the folder's name."""
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+def _fs(spark: SparkSession, path: str):
+    """The file system and the path as the JVM has them."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def write_json(spark: SparkSession, path: str, content: dict) -> None:
+    """A small document, such as a run's report."""
+    fs, where = _fs(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(json.dumps(content, indent=2, ensure_ascii=False).encode()))
+    finally:
+        out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
+def bundle(spark: SparkSession, out: str, *paths: str) -> None:
+    """Deflated archive of files, and of the part files of folders under the folder's name. Bytes stream through the JVM."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, where = _fs(spark, out)
+    archive = jvm.java.util.zip.ZipOutputStream(fs.create(where, True))
+
+    def add(own, status, name: str) -> None:
+        archive.putNextEntry(jvm.java.util.zip.ZipEntry(name))
+        source = own.open(status.getPath())
+        try:
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, archive, conf, False)
+        finally:
+            source.close()
+        archive.closeEntry()
+
+    try:
         for p in paths:
-            if os.path.isdir(p):
-                for name in sorted(os.listdir(p)):
-                    if not name.startswith((".", "_")):
-                        z.write(os.path.join(p, name), f"{os.path.basename(p)}/{name}")
+            own, place = _fs(spark, p)
+            if own.getFileStatus(place).isDirectory():
+                for status in sorted(own.listStatus(place), key=lambda s: s.getPath().getName()):
+                    if not status.getPath().getName().startswith((".", "_")):
+                        add(own, status, f"{place.getName()}/{status.getPath().getName()}")
             else:
-                z.write(p, os.path.basename(p))
+                add(own, own.getFileStatus(place), place.getName())
+    finally:
+        archive.close()

@@ -33,6 +33,12 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["overlap", *sealed, "--rules", "T1,T3,T4,T5", *with_key]) == 0
     assert "40 matching" in capsys.readouterr().out
     assert cli.main(["decrypt", "-i", sealed[0], "--exchange", doc, "--private-key", str(keys / "b.private.pem")]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["failed"] == 0
+    strict = ["--strict", "-o", str(tmp_path / "s.parquet"), *with_key]
+    assert cli.main(["decrypt", "-i", sealed[0], *strict]) == 0 and cli.main(["decrypt", "-i", str(tmp_path / "l_tokenized.parquet"), *strict]) == 1
+    assert cli.main(["encrypt", "-i", str(tmp_path / "l_tokenized.parquet"), "-o", str(tmp_path / "e.zip"), *with_key]) == 0
+    inside = {n.split("/")[0] for n in zipfile.ZipFile(tmp_path / "e.zip").namelist()}
+    assert inside == {"e.parquet", "e.exchange.json", "l_tokenized.metadata.json"}
     back = files.read_tokens(spark, str(tmp_path / "l_tokenized_encrypted_decrypted.parquet"))
     assert back.exceptAll(files.read_tokens(spark, str(tmp_path / "l_tokenized.parquet"))).count() == 0
     assert cli.main(["package", "-i", str(tmp_path / "l.parquet"), "-o", str(tmp_path / "p.zip"), *with_key]) == 0

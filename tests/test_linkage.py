@@ -15,8 +15,8 @@ from hushjoin.functions import crypto
 from hushjoin.functions.expressions import compile_expression
 from hushjoin.functions.text import plain, strip
 from hushjoin.operators import metadata, tokens
-from hushjoin.operators.attributes import TYPES, FieldRegistry, combined
-from hushjoin.operators.overlap import Overlap, OverlapAnalyzer
+from hushjoin.operators.attributes import TYPES, FieldRegistry, attribute_type, combined
+from hushjoin.operators.overlap import Overlap, OverlapAnalyzer, match_rate
 from hushjoin.operators.rules import DEFAULT, Part, Rule, RuleBuilder, RuleSet, quick_rules
 from hushjoin.operators.tokens import Pipeline
 from hushjoin.sources import config, exchange, files
@@ -172,6 +172,75 @@ def test_decrypt_leaves_what_it_cannot_open(spark):
     assert [r[0] for r in df.orderBy("i").select(crypto.decrypt(F.col("v"), KEY.encode())).collect()] == values
 
 
+def test_strict_decryption_raises(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([("a", "T1", "tok"), ("b", "", "tok"), ("c", "T1", crypto.BLANK), ("d", "T1", ""), ("e", "T1", None)], "RecordId string, RuleId string, Token string")
+    sealed = tokens.encrypt_tokens(df, KEY)
+    assert sorted(map(repr, tokens.decrypt_tokens(sealed, KEY, strict=True).collect())) == sorted(map(repr, df.collect()))
+    for table, key in ((sealed, "x" * 32), (df, KEY)):
+        with pytest.raises(PySparkException, match="Decryption failed"):
+            tokens.decrypt_tokens(table, key, strict=True).collect()
+
+
+def test_counts_come_with_the_tokens(spark, people, tmp_path):
+    made, seen = tokens.tokenize_counted(people.drop("RecordId"), Pipeline.hash_only())
+    made.write.parquet(str(tmp_path / "t"))
+    assert seen.get == metadata.counters(people).first().asDict()
+    sealed = tokens.encrypt_tokens(spark.read.parquet(str(tmp_path / "t")), KEY)
+    sealed.write.parquet(str(tmp_path / "s"))
+    for key, count in ((KEY, "transformed"), ("x" * 32, "failed")):
+        opened, seen = tokens.decrypt_counted(spark.read.parquet(str(tmp_path / "s")), key)
+        opened.write.mode("overwrite").parquet(str(tmp_path / "o"))
+        assert seen.get == tokens.transform_summary(spark.read.parquet(str(tmp_path / "s")), key).first().asDict() and seen.get[count] == 9
+
+
+def test_types_of_ones_own(spark):
+    code = attribute_type("Code", lambda c: c.startswith("c"), lambda c: F.concat(c, F.lit(" ")), ("Key",))
+    registry = FieldRegistry().register("Code", code)
+    rules = RuleSet().add(Rule("K", (Part("Code", "T|U"),))).add(Rule("L", (Part("Code", ""),)))
+    df = spark.createDataFrame([("a", "c1"), ("b", "x"), ("c", None)], "RecordId string, Key string")
+    got = {(r.RecordId, r.RuleId): r.Signature for r in tokens.signatures(df, rules, registry).collect()}
+    assert got == {("a", "K"): "C1", ("a", "L"): "c1 ", ("b", "K"): None, ("b", "L"): None, ("c", "K"): None, ("c", "L"): None}
+
+
+def test_match_rate(spark):
+    four, none = spark.range(4), spark.range(0)
+    assert tuple(match_rate(spark.range(3), four).first()) == (3, 4, 75.0) and tuple(match_rate(none, none).first()) == (0, 0, 0.0)
+
+
+def test_extensions(capsys):
+    import argparse
+
+    from hushjoin import extensions
+
+    class Good:
+        command = "good"
+
+        def register(self, commands):
+            commands.add_parser("good").set_defaults(run=lambda args, spark: print("ran"))
+
+    class Other(Good):
+        command = "other"
+
+    class Point:
+        def __init__(self, name, target):
+            self.name, self.target = name, target
+
+        def load(self):
+            if isinstance(self.target, Exception):
+                raise self.target
+            return self.target
+
+    parser = argparse.ArgumentParser()
+    found = [Point("wrong", Other), Point("tokenize", type("T", (Good,), {"command": "tokenize"})), Point("good", Good), Point("broken", ImportError("none"))]
+    with pytest.warns(UserWarning, match="left out"):
+        assert extensions.add_commands(parser.add_subparsers(), {"tokenize"}, found) == ["good"]
+    args = parser.parse_args(["good"])
+    args.run(args, None)
+    assert capsys.readouterr().out == "ran\n"
+
+
 def test_encrypting_a_table(spark):
     df = spark.createDataFrame([("a", "T1", "tok"), ("b", "", "tok"), ("c", "T1", crypto.BLANK), ("d", "T1", ""), ("e", "T1", None)], "RecordId string, RuleId string, Token string")
     enc = {r.RecordId: r.Token for r in tokens.encrypt_tokens(df, KEY).collect()}
@@ -239,6 +308,7 @@ def test_counts_match_brute_force(spark, include_blank, repeats):
         r = got[",".join(s)]
         assert (r.matching_records_dataset1, r.matching_records_dataset2) == (len({a for a, _ in hit}), len({b for _, b in hit})), s
         assert {x.RecordId for x in over.only_left(s).collect()} == {a for a, _, _ in left} - {a for a, _ in hit}
+        assert Counter(tuple(x) for x in over.matches(s).collect()) == Counter(hit)
     assert {r.RuleId: r.pairs for r in over.pairs_by_rule().collect()} == Counter(r for _, _, r in pairs)
     assert {r.TokenCount: r.pairs for r in over.by_count().collect()} == Counter(Counter((a, b) for a, b, _ in set(pairs)).values())
 
@@ -297,8 +367,9 @@ def test_files(spark, people, tmp_path):
     assert files.detect_type("X.CSV") == "csv" and files.metadata_path("a/b.parquet") == "a/b.metadata.json"
     with pytest.raises(ValueError):
         files.detect_type("x.zip")
-    metadata.write_document(str(tmp_path / "m.json"), {"a": 1})
-    files.bundle(str(tmp_path / "z.zip"), str(tmp_path / "m.json"), str(tmp_path / "t.parquet"))
+    files.write_json(spark, str(tmp_path / "m.json"), {"a": "ß"})
+    files.bundle(spark, str(tmp_path / "z.zip"), str(tmp_path / "m.json"), str(tmp_path / "t.parquet"))
+    assert json.loads(zipfile.ZipFile(tmp_path / "z.zip").read("m.json")) == {"a": "ß"}
     names = zipfile.ZipFile(tmp_path / "z.zip").namelist()
     assert "m.json" in names and any(n.startswith("t.parquet/part-") for n in names)
 
