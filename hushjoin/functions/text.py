@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,28 +100,33 @@ def _plain_letters() -> tuple[str, str]:
 
 def plain(c: Column) -> Column:
     """A stripped value without diacritics. ASCII values take the short way."""
-    long = [F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in TRANSLITERATION.items() if len(v) > 1]
+    long = F.expr(f"array({', '.join(f"struct('{k}' AS k, '{v}' AS v)" for k, v in TRANSLITERATION.items() if len(v) > 1)})")
     short = {k: v for k, v in TRANSLITERATION.items() if len(v) == 1}
     source, target = _plain_letters()
-    wide = F.aggregate(F.array(*long), c, lambda x, pair: F.replace(x, pair["k"], pair["v"]))
+    wide = F.aggregate(long, c, lambda x, pair: F.replace(x, pair["k"], pair["v"]))
     wide = F.translate(wide, "".join(short) + source, "".join(short.values()) + target)
     # a syllable block decomposes to more than one character; only their number matters further on
     wide = F.regexp_replace(wide, "[가-힣]", "가")
     return F.when(is_ascii(c), c).otherwise(F.regexp_replace(wide, r"\p{M}", ""))
 
 
+def _replaced(c: Column, pairs: dict[str, str]) -> Column:
+    """Single texts replaced one after the other: on long values faster than translate()."""
+    return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), pairs.items(), c)
+
+
 def base64_line(c: Column) -> Column:
     """Base64 without line breaks."""
-    return F.translate(F.base64(c), "\r\n", "")
+    return _replaced(F.base64(c), {"\r\n": ""})
 
 
 def base64_url(c: Column) -> Column:
     """Base64 of the URL alphabet, without padding."""
-    return F.translate(F.base64(c), "+/=\r\n", "-_")
+    return _replaced(F.base64(c), {"\r\n": "", "+": "-", "/": "_", "=": ""})
 
 
 def from_base64_url(c: Column) -> Column:
     """Binary; null if malformed."""
-    plain_text = F.translate(c, "-_", "+/")
-    padded = F.concat(plain_text, F.repeat(F.lit("="), F.pmod(-F.length(plain_text), F.lit(4))))
+    plain_text = _replaced(c, {"-": "+", "_": "/"})
+    padded = F.concat(plain_text, F.repeat(F.lit("="), F.pmod(-F.length(c), F.lit(4))))
     return F.try_to_binary(padded, F.lit("base64"))
