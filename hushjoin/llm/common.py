@@ -21,8 +21,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 # Words are runs of anything but the six ASCII blanks.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
-#: What a mapper is given at once: so many rows and, of texts of like length, about so many bytes.
-SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
+#: What one Arrow batch may hold.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,11 +88,15 @@ class Scratch:
         self._delete(self.root)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts, so that long texts do not add up as Python objects."""
-    step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of an Arrow batch, where they are higher, so that long texts do not add up in executors.
+
+    Limits count when a plan runs, long after an operator has returned it, so they stay.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -118,14 +122,16 @@ def release() -> None:
 def map_columns(df: DataFrame, fn: Callable[[], Callable[[dict[str, list]], dict]], ddl: str | StructType) -> DataFrame:
     """Map batches of df, as a dict of Python lists, to a dict of columns. fn() runs once a task and returns
     the mapper, whose attribute `last`, if it has one, gives the columns that follow the last batch."""
+    bounded_batches(df.sparkSession)
     schema = _parse_datatype_string(ddl) if isinstance(ddl, str) else ddl
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = fn()
-        for part in (part for batch in batches for part in slices(batch)):
-            out = mapper(part.to_pydict())
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        for batch in batches:
+            if batch.num_rows:
+                out = mapper(batch.to_pydict())
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
         if last := getattr(mapper, "last", None):
             out = last()
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushjoin.llm.common import Scratch, free_name
+from hushjoin.llm.common import Scratch, free_name, scratch_scope
 from hushjoin.llm.quality_rules import words_of
 
 NONE = "~"
@@ -138,8 +138,10 @@ def keep_mix(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of docs that at least one epoch selects, with their own columns; rows without an id and repeated rows too."""
     row = free_name(docs, "__row")
     # numbers of rows are only the same in every use once they are written
-    marked = Scratch(docs.sparkSession).write(docs.withColumn(row, F.monotonically_increasing_id()))
-    picked = select_mix(marked, mix, keep=(row,)).select(row).distinct()
+    scratch = Scratch(docs.sparkSession)
+    marked = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()))
+    with scratch_scope():
+        picked = scratch.write(select_mix(marked, mix, keep=(row,)).select(row).distinct())
     return marked.join(picked, row, "left_semi").select(*docs.columns)
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushjoin.llm.common import CACHES, WORD, Scratch, join_hot, map_columns
+from hushjoin.llm.common import CACHES, WORD, Scratch, join_hot, map_columns, scratch_scope
 from hushjoin.llm.components import components
 
 N_HASHES = 130
@@ -219,23 +219,21 @@ class _Stream:
                     best.append((e, i))
 
 
-def _by_size(held: DataFrame, rows: DataFrame, total: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """held and rows with a column part. In buckets of more than HELD_ROWS rows it is the size class of a set; a row goes to its own
-    class and to both beside it, since sizes of a link differ by a class at most. Elsewhere it is 0."""
+def _by_size(held: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """held and rows with a column part. In large buckets it is the size class of a set; a row goes to its own class and to both beside
+    it, since sizes of a link differ by a class at most. Elsewhere it is 0."""
     width = max(-log(percent / 100), 1e-3) * (1 + 1e-9)
-    large = rows.groupBy("bucket").agg((F.count("*") > HELD_ROWS).alias("large"), F.count("*").alias("n"))
     own = F.floor(F.log("n_shingles") / width).cast("int") + 1
     near = F.when(F.col("large"), F.array(own - 1, own, own + 1)).otherwise(F.array(F.lit(0)))
-    kept = join_hot(held, large, "bucket", total, "id").withColumn("part", F.when(F.col("large"), own).otherwise(F.lit(0)))
-    return kept.drop("large"), join_hot(rows, large, "bucket", total, "id").withColumn("part", F.explode(near)).drop("large")
+    return held.withColumn("part", F.when(F.col("large"), own).otherwise(F.lit(0))), rows.withColumn("part", F.explode(near))
 
 
 def _streamed(held: DataFrame, rows: DataFrame, total: int, mode: str, percent: int) -> DataFrame:
-    """Distinct a, b, bucket of held leaders against the rows of their buckets: columns bucket, id, c, n_shingles, payload.
+    """Distinct a, b, bucket of held leaders against the rows of their buckets: columns bucket, large, id, c, n_shingles, payload.
 
     Blocks bound the held rows and shingles of a task, chunks the rows that stream through it. total: number of rows.
     """
-    held, rows = _by_size(held, rows, total, percent)
+    held, rows = _by_size(held, rows, percent)
     key = ["bucket", "part"]
     size = F.greatest(F.ceil(F.count("*") / HELD_ROWS), F.ceil(F.sum("n_shingles") / HELD_SHINGLES)).cast("int")
     blocks = held.groupBy(*key).agg(size.alias("blocks"))
@@ -269,12 +267,12 @@ def _streamed(held: DataFrame, rows: DataFrame, total: int, mode: str, percent:
 
 
 def _open_rows(buckets: DataFrame, total: int, label: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Rows of buckets that span components: bucket, id, c (component), main (the bucket's largest), n_shingles, minima."""
+    """Rows of buckets that span components: bucket, large (over HELD_ROWS rows), id, c (component), main (the bucket's largest), n_shingles, minima."""
     marked = buckets.join(label, buckets.id == label.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     parts = marked.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     state = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("n")).filter("parts > 1")
-    state = state.select("bucket", F.col("top.c").alias("main"), "n")
-    return join_hot(marked, state, "bucket", total, "id").join(leaders, "id").select("bucket", "id", "c", "main", "n_shingles", "minima")
+    state = state.select("bucket", F.col("top.c").alias("main"), (F.col("n") > HELD_ROWS).alias("large"), "n")
+    return join_hot(marked, state, "bucket", total, "id").join(leaders, "id").select("bucket", "large", "id", "c", "main", "n_shingles", "minima")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, leaders: DataFrame, size: int) -> DataFrame:
@@ -297,7 +295,7 @@ def _links_in_crowds(crowded: DataFrame, rows: DataFrame, total: int, docs: Data
     """Links of leaders that very many members of a bucket resemble, found on full sets without writing pairs."""
     there = rows.join(crowded.select("bucket").distinct(), "bucket", "left_semi")
     sets = scratch.write(_sets(docs, there.select("id").distinct(), leaders, size))
-    full = scratch.write(there.join(sets, "id").select("bucket", "id", "c", "n_shingles", F.concat("minima", "shingles").alias("payload")))
+    full = scratch.write(there.join(sets, "id").select("bucket", "large", "id", "c", "n_shingles", F.concat("minima", "shingles").alias("payload")))
     held = full.join(crowded, ["bucket", "id"], "left_semi")
     out = scratch.write(_streamed(held, full, total, "exact", percent).select("a", "b").distinct())
     scratch.drop(sets, full)
@@ -352,7 +350,12 @@ def _same_ids(full: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFram
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept of every row of docs (other columns are ignored)."""
-    scratch = Scratch(docs.sparkSession)
+    kept = Scratch(docs.sparkSession)
+    with scratch_scope():
+        return kept.write(_near_duplicates(docs, size, percent, id_col, text_col, Scratch(docs.sparkSession)))
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     texts = _plain(docs, id_col, text_col)
     sig = scratch.write(signatures(docs, size, id_col, text_col))
     full = sig.filter("set_hash is not null and id is not null")

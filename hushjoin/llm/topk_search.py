@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushjoin.llm.common import Scratch, slices
+from hushjoin.llm.common import Scratch, bounded_batches, scratch_scope
 
 SCALE = 1024
 SHARD_ROWS = 4096
@@ -163,7 +163,7 @@ def build_shards(vectors: DataFrame) -> DataFrame:
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
         number = TaskContext.get().partitionId() << 32
-        for batch in (part for batch in batches for part in slices(batch)):
+        for batch in batches:
             flat, off = batch.column("v").flatten().to_numpy(zero_copy_only=False), 0
             for i, dim in zip(batch.column("id").to_pylist(), batch.column("dim").to_pylist()):
                 ids, rows = held.setdefault(dim, ([], []))
@@ -238,7 +238,7 @@ def _queries(vectors: DataFrame, is_query: Column) -> DataFrame:
     """dim, query, id, v (binary): the distinct queries."""
 
     def run(batches):
-        for batch in (part for batch in batches for part in slices(batch)):
+        for batch in batches:
             raw = [np.array(v, np.float64).tobytes() for v in batch.column("v").to_pylist()]
             yield batch.set_column(batch.schema.get_field_index("v"), "v", pa.array(raw, pa.binary()))
 
@@ -253,7 +253,13 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row that is_query (a column over `id`) picks."""
-    scratch = Scratch(df.sparkSession)
+    kept = Scratch(df.sparkSession)
+    bounded_batches(df.sparkSession)
+    with scratch_scope():
+        return kept.write(_top_k(df, is_query, k, vec_col, id_col, Scratch(df.sparkSession)))
+
+
+def _top_k(df: DataFrame, is_query: Column, k: int, vec_col: str, id_col: str, scratch: Scratch) -> DataFrame:
     vectors = scratch.write(whole(df, vec_col, id_col))
     shards = scratch.write(build_shards(vectors))
     asked = scratch.write(_queries(vectors, is_query))
@@ -262,8 +268,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, vec_col: str = "embeddin
     seeds = _ranked(search(asked.withColumn("floor", F.lit(LOWEST)), first, k, scratch), k).filter(F.col("rank") == k)
     seeds = scratch.write(seeds.select("query", F.col("query_id").alias("id"), F.col("score").alias("floor")))
     known = asked.join(seeds, ["query", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))
-    found = scratch.write(search(known, shards, k, scratch))
-    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    return _ranked(search(known, shards, k, scratch), k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
