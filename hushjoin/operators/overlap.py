@@ -50,6 +50,16 @@ class Overlap:
     def ids(self) -> tuple[str, str]:
         return f"{self.left_name}_RecordId", f"{self.right_name}_RecordId"
 
+    def written(self, folder: str) -> Overlap:
+        """The same overlap over tables with opened tokens, written once to two folders under `folder`, for several questions."""
+        sides = []
+        for name, side in (("left", self.left), ("right", self.right)):
+            path, token = f"{folder.rstrip('/')}/{name}", F.col("Token")
+            opened = side.select("RecordId", "RuleId", (token if self.key is None else crypto.decrypt(token, self.key)).alias("Token"))
+            opened.write.mode("overwrite").parquet(path)
+            sides.append(side.sparkSession.read.parquet(path))
+        return Overlap(*sides, None, self.left_name, self.right_name, self.include_blank)
+
     def rule_matches(self, rules: list[str] | None = None) -> DataFrame:
         """Pair of ids, RuleId: one row for each pair of rows with equal rule and token."""
         a, b = self.ids

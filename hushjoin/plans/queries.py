@@ -9,15 +9,16 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushjoin.functions import crypto, dates
+from hushjoin.functions import crypto, dates, validators
 from hushjoin.functions.expressions import compile_expression
 from hushjoin.operators import metadata, tokens
-from hushjoin.operators.attributes import TYPES, FieldRegistry
-from hushjoin.operators.overlap import Overlap, look_back, match_rate, matches_by_count
-from hushjoin.operators.rules import DEFAULT, Part, Rule, RuleBuilder, RuleSet
+from hushjoin.operators.attributes import PLACEHOLDERS, SEX, TYPES, US_POSTAL_REJECTED, FieldRegistry, attribute_type
+from hushjoin.operators.overlap import Overlap, OverlapAnalyzer, look_back, match_rate, matches_by_count
+from hushjoin.operators.rules import DEFAULT, Part, Rule, RuleBuilder, RuleSet, quick_rules
 from hushjoin.plans import oracle, people
-from hushjoin.sources import config, files
+from hushjoin.sources import config, exchange, files, generate
 from hushjoin.sources.persons import canonical, read_persons
+from hushjoin.streaming import tokens as streaming
 
 SECRET = b"query-secret"
 KEY = b"0123456789abcdef0123456789ABCDEF"
@@ -402,6 +403,16 @@ def overlap_sealed_all_rules(spark, sf_dir):
     return _sealed_overlap(spark, sf_dir).matches(DEFAULT.ids)
 
 
+@query(_TWO_BLANK + _summary_sql())
+def overlap_by_exchange(spark, sf_dir):
+    """Both parties take secret and key from one exchange document, each with its own private key."""
+    (mine, mine_public), (theirs, theirs_public) = exchange.generate_key_pair("P-256"), exchange.generate_key_pair("P-256")
+    document = exchange.build("query", mine_public, theirs_public)
+    left = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.from_exchange("ring-a", value=document, private_key_value=mine))
+    right = tokens.tokenize(persons(spark, sf_dir, "D", people.OTHER_KEYS), tokens.Pipeline.from_exchange("ring-b", value=document, private_key_value=theirs))
+    return Overlap(left, right, OverlapAnalyzer.from_exchange(value=document, private_key_value=theirs).key, "A", "B").summary(_SETS)
+
+
 def _without_tokens(df: DataFrame) -> DataFrame:
     return df.withColumn("Token", F.when(F.col("RuleId") != "T5", F.col("Token")))
 
@@ -496,6 +507,108 @@ def matches_csv_round_trip(spark, sf_dir):
     return spark.read.option("header", True).csv(path)
 
 
+# ---- validators, types and rules of one's own, reports, forms of tokens, generated tables, streams
+
+
+@query(
+    _with(_ONE)
+    + f"""SELECT RecordId, trim(coalesce(FirstName, '')) <> '' AS not_blank, coalesce(lower(FirstName) NOT IN {oracle._NAMES}, false) AS not_in,
+    coalesce(NOT regexp_matches(trim(PostalCode), '^(?:{'|'.join(US_POSTAL_REJECTED)})'), false) AS not_starts_with, ok_sx AS regex, ok_bd AS date_range,
+    k % 200 + 1850 BETWEEN 1910 AND year(current_date) AS year_range, k % 200 - 20 BETWEEN 0 AND 120 AS age_range, ok_sx OR ok_bd AS any_of
+    FROM n JOIN p USING (RecordId) JOIN (SELECT 'C' || c_custkey AS RecordId, c_custkey AS k FROM customer) USING (RecordId)"""
+)
+def all_validators(spark, sf_dir):
+    """Each row predicate on a raw value."""
+    k = F.substring("RecordId", 2, 20).cast("long")
+    c = {f: F.col(f) for f in ("FirstName", "PostalCode", "Sex", "BirthDate")}
+    day = validators.date_range(c["BirthDate"], "1910-01-01", until_today=True) & validators.regex(c["BirthDate"], dates.SHAPE)
+    tests = {
+        "not_blank": validators.not_blank(c["FirstName"]), "not_in": validators.not_in(c["FirstName"], PLACEHOLDERS),
+        "not_starts_with": validators.not_starts_with(c["PostalCode"], US_POSTAL_REJECTED), "regex": validators.regex(c["Sex"], SEX), "date_range": day,
+        "year_range": validators.year_range((k % 200 + 1850).cast("string")), "age_range": validators.age_range((k % 200 - 20).cast("string")),
+        "any_of": validators.any_of(validators.regex(c["Sex"], SEX), day),
+    }
+    return persons(spark, sf_dir).select("RecordId", *[t.alias(n) for n, t in tests.items()])
+
+
+@query(_with(_ONE) + "SELECT RecordId, 'K' AS RuleId, CASE WHEN starts_with(PostalCode, '1') AND ok_sx THEN 'Z' || PostalCode[1:2] || '|' || upper(sx) END AS Signature FROM n JOIN p USING (RecordId)")
+def custom_attribute_type(spark, sf_dir):
+    """A type from two functions of one's own, under an id and an alias of its own."""
+    area = attribute_type("Area", lambda c: c.startswith("1"), lambda c: F.concat(F.lit(" Z"), F.left(c, F.lit(2))), ("PostalCode",))
+    registry = FieldRegistry.defaults().register("Region", area)
+    return tokens.signatures(persons(spark, sf_dir), RuleSet().add(Rule("K", (Part("Region", "T"), Part("Sex", "T|U")))), registry)
+
+
+@query(_with(_ONE, oracle.signatures_sql(rules={"Q": (("sx", "upper(sx)"), ("ln", "ln"))})) + "SELECT RecordId, RuleId, Signature FROM s")
+def custom_rule_quick(spark, sf_dir):
+    return tokens.signatures(persons(spark, sf_dir), quick_rules("Q", [("sex", "T|U"), ("last_name", "T")]))
+
+
+@query(
+    _with(_ONE, oracle.signatures_sql(), oracle.invalid_sql())
+    + f"""SELECT 'parquet' AS "OutputFormat", '2.0' AS "TokenDefinitionVersion", (SELECT count(*) FROM p) AS "TotalRows", (SELECT count(*) FROM i) AS "TotalRowsWithInvalidAttributes",
+    sha256('{SECRET.decode()}') AS "HashingSecretHash", (SELECT count(*) FROM s WHERE RuleId = 'T1' AND coalesce(Signature, '') = '') AS "BlankT1" """
+)
+def run_report(spark, sf_dir):
+    """The figures of a run's report."""
+    report = metadata.document(metadata.counters(persons(spark, sf_dir)).first().asDict(), hashing_secret=SECRET)  # one row
+    names = ("OutputFormat", "TokenDefinitionVersion", "TotalRows", "TotalRowsWithInvalidAttributes", "HashingSecretHash")
+    schema = "OutputFormat string, TokenDefinitionVersion string, TotalRows long, TotalRowsWithInvalidAttributes long, HashingSecretHash string, BlankT1 long"
+    return spark.createDataFrame([(*(report[n] for n in names), report["BlankTokensByRule"]["T1"])], schema)
+
+
+@query(_BASE + "SELECT RuleId, count(*) AS tokens, count(*) AS packaged, count(*) FILTER (Signature <> '') AS encrypted FROM s GROUP BY RuleId")
+def sealed_forms(spark, sf_dir):
+    """Envelopes by rule: where tokens are made and sealed in one run blank ones are wrapped too, later encryption leaves them."""
+    packaged = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.sealed(SECRET, KEY, RING)).withColumn("form", F.lit("packaged"))
+    later = tokens.encrypt_tokens(tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.keyed(SECRET)), KEY, RING).withColumn("form", F.lit("encrypted"))
+    wrapped = crypto.is_envelope(F.col("Token"))
+    return packaged.union(later).groupBy("RuleId").agg(
+        F.count_if(F.col("form") == "packaged").alias("tokens"),
+        F.count_if((F.col("form") == "packaged") & wrapped).alias("packaged"),
+        F.count_if((F.col("form") == "encrypted") & wrapped).alias("encrypted"),
+    )
+
+
+@query(_BASE + f"SELECT count(*) AS total, 0::BIGINT AS transformed, count(*) FILTER (Token <> '{crypto.BLANK}') AS failed FROM (SELECT {_HMAC} AS Token FROM s)")
+def decrypt_summary_wrong_key(spark, sf_dir):
+    table = tokens.encrypt_tokens(tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.keyed(SECRET)), KEY, RING)
+    return tokens.transform_summary(table, KEY[::-1])
+
+
+@query(_TOKENS)
+def tokens_left_by_a_wrong_key(spark, sf_dir):
+    """What another key cannot open stays as it is, and the right key opens it afterwards."""
+    sealed = tokens.tokenize(persons(spark, sf_dir), tokens.Pipeline.sealed(SECRET, KEY, RING))
+    return tokens.decrypt_tokens(tokens.decrypt_tokens(sealed, KEY[::-1]), KEY)
+
+
+@query("SELECT 100::BIGINT AS total_records_dataset1, 120::BIGINT AS total_records_dataset2, 40::BIGINT AS matching_records_dataset1, 40::BIGINT AS matching_records_dataset2")
+def generated_linkage(spark, sf_dir):
+    """Two generated tables that share forty persons under ids of their own."""
+    pipe = tokens.Pipeline.sealed(SECRET, KEY, RING)
+    left, right = (tokens.tokenize(side, pipe) for side in generate.linked(spark))
+    return Overlap(left, right, KEY).summary([["T1", "T3", "T4", "T5"]]).select(*[f"{k}_records_dataset{n}" for k in ("total", "matching") for n in (1, 2)])
+
+
+@query("SELECT 50::BIGINT AS persons, 150::BIGINT AS records, 3::BIGINT AS most")
+def generated_repeats(spark, sf_dir):
+    rows = generate.persons(spark, 50, repeats=3)
+    same = rows.groupBy(*[c for c in rows.columns if c != "RecordId"]).agg(F.count_distinct("RecordId").alias("n"))
+    return same.agg(F.count("*").alias("persons"), F.sum("n").alias("records"), F.max("n").alias("most"))
+
+
+@query(_TOKENS)
+def tokens_streamed(spark, sf_dir):
+    """The table as a stream of files, tokens appended to files."""
+    root = _written(spark, "stream")
+    files.delete(spark, root)
+    persons(spark, sf_dir).repartition(3).write.parquet(f"{root}/in")
+    source = streaming.person_stream(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema, files_per_batch=2)
+    streaming.start(source, tokens.Pipeline.keyed(SECRET), f"{root}/out", f"{root}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -204,6 +204,16 @@ def test_types_of_ones_own(spark):
     assert got == {("a", "K"): "C1", ("a", "L"): "c1 ", ("b", "K"): None, ("b", "L"): None, ("c", "K"): None, ("c", "L"): None}
 
 
+def test_written_tables_answer_alike(spark, people, tmp_path):
+    left = tokens.tokenize(people, Pipeline.sealed("s", KEY, "one"))
+    right = tokens.tokenize(people.withColumn("RecordId", F.concat("RecordId", F.lit("x"))), Pipeline.sealed("s", KEY, "two"))
+    over = Overlap(left, right, KEY.encode())
+    again = over.written(str(tmp_path))
+    sets = [["T1"], ["T1", "T2"], ["T4", "T5"]]
+    assert sorted(again.summary(sets).collect()) == sorted(over.summary(sets).collect())
+    assert sorted(again.matches(["T1"]).collect()) == sorted(over.matches(["T1"]).collect()) and again.key is None
+
+
 def test_match_rate(spark):
     four, none = spark.range(4), spark.range(0)
     assert tuple(match_rate(spark.range(3), four).first()) == (3, 4, 75.0) and tuple(match_rate(none, none).first()) == (0, 0, 0.0)
