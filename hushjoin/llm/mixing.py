@@ -142,7 +142,7 @@ def keep_mix(docs: DataFrame, mix: Mix) -> DataFrame:
     marked = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()))
     with scratch_scope():
         picked = scratch.write(select_mix(marked, mix, keep=(row,)).select(row).distinct())
-    return marked.join(picked, row, "left_semi").select(*docs.columns)
+    return marked.join(picked.hint("merge"), row, "left_semi").select(*docs.columns)  # the same plan at every size
 
 
 def _level_sql(depth: int, mix: Mix) -> str:

@@ -415,4 +415,4 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str, text
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that lead their component, with their own columns. All rows of an id that stays do, as do rows with a null id."""
     gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")  # the same plan at every size
