@@ -28,7 +28,7 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 PIECES_PER_TASK = 1 << 17
-MEMO = 500_000
+MEMO = 200_000
 
 _encoders: dict = {}
 
@@ -64,8 +64,10 @@ _BY_WORD = (
 )
 
 
-def by_word(spec: dict) -> bool:
+def by_word(path: str) -> bool:
     """Whether the tokenizer of this file lower-cases, splits words into letters and marks, and merges nothing across them."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
     steps = ((spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers"))
     marked = all(t["content"].startswith("<|") for t in spec.get("added_tokens", ()))
     return steps == _BY_WORD and marked and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and spec.get("post_processor") is None
@@ -78,14 +80,12 @@ class WordIds(dict):
     to the tokenizer as it is. What is kept is bounded: it is emptied at a fixed size.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, parted: bool):
         super().__init__()
         worker_threads()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.by_word = by_word(json.load(f))
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), parted
         self.units = _Units(self.tokenizer.model.tokenize)
 
     def __missing__(self, word: str) -> bytes:
@@ -106,19 +106,19 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, WORD.findall(text))) if self.by_word else self.whole(text)
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str, parted: bool) -> WordIds:
     if path not in _encoders:
-        made = _encoders[path] = WordIds(path)
+        made = _encoders[path] = WordIds(path, parted)
         CACHES.extend((made, made.units))
     return _encoders[path]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32, and the ids themselves (binary) if asked for."""
-    width = 4 * capacity
+    width, parted = 4 * capacity, by_word(tokenizer_path)
 
     def start():
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, parted).encode
         end = array("I", [END_ID]).tobytes()
 
         def mapper(cols):
