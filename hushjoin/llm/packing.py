@@ -28,7 +28,7 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 PIECES_PER_TASK = 1 << 17
-MEMO = 200_000
+MEMO = 500_000
 
 _encoders: dict = {}
 
