@@ -331,6 +331,28 @@ def test_blank_records_are_counted_without_their_pairs(spark):
     assert over.by_count().first().pairs == over.pairs_by_rule().first().pairs == 10**10
 
 
+def test_pairs_of_one_class_are_made_by_several_tasks(spark):
+    """Two thousand blank records a side are one class of four million pairs; no task makes half of them."""
+    left, right = (spark.range(2000).select(F.concat(F.lit(x), "id").alias("RecordId"), F.lit("T1").alias("RuleId"), F.lit(crypto.BLANK).alias("Token")) for x in "ab")
+    found = Overlap(left, right).matches(["T1"])
+    assert found.groupBy("Dataset1_RecordId").agg(F.count_distinct("Dataset2_RecordId").alias("n"), F.count("*").alias("m")).filter("n = 2000 and m = 2000").count() == 2000
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 2_000_000
+
+
+@pytest.mark.parametrize("block", [(1, 3), (4, 1000)])
+def test_blocks_of_classes_match_brute_force(spark, monkeypatch, block):
+    """Classes of all sizes in small blocks, on sides of unlike size, with records without an id."""
+    from hushjoin.operators import overlap
+
+    monkeypatch.setattr(overlap, "CLASS_PAIRS", 4)
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "SPREAD", 3)
+    left = [(f"a{i}" if i else None, "T1", "vvvvvvvwxy"[i % 10]) for i in range(60)]
+    right = [(f"b{i}" if i else None, "T1", "vwwxyz"[i % 6]) for i in range(19)]
+    over = Overlap(*(spark.createDataFrame(x, "RecordId string, RuleId string, Token string") for x in (left, right)))
+    assert Counter(tuple(x) for x in over.matches(["T1"]).collect()) == Counter((a, b) for a, _, t in left for b, _, u in right if t == u)
+
+
 def test_column_aliases(spark, people):
     renamed = people.selectExpr("RecordId AS Id", "FirstName AS GivenName", "LastName AS Surname", "BirthDate AS DateOfBirth", "Sex AS Gender", "PostalCode AS ZipCode", "SocialSecurityNumber AS NationalIdentificationNumber", "1 AS other")
     assert {tuple(r) for r in tokens.signatures(renamed).collect()} == {tuple(r) for r in tokens.signatures(people).collect()}
