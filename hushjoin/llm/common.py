@@ -21,8 +21,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 # Words are runs of anything but the six ASCII blanks.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
-#: What one Arrow batch may hold.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: What one Arrow batch may hold. A batch is in memory several times: in the executor's JVM, and in its worker as Arrow and as Python values.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -115,6 +115,12 @@ def release() -> None:
     for c in CACHES:
         c.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

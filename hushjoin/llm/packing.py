@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hushjoin.llm.common import CACHES, WORD, Scratch, map_columns, worker_threads
+from hushjoin.llm.common import CACHES, WORD, Scratch, map_columns, trim, worker_threads
 from hushjoin.llm.token_counts import byte_alphabet
 
 CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 PIECES_PER_TASK = 1 << 17
-MEMO = 500_000
+#: Words and units that a worker keeps at most; under the size at which a dict of 2**20 places doubles.
+MEMO = 690_000
 
 _encoders: dict = {}
 
@@ -36,24 +37,6 @@ _encoders: dict = {}
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{}~|]*)")
 
 
-class _Units(dict):
-    """Unit (letters or marks) to its ids, by the merges alone."""
-
-    def __init__(self, merge):
-        super().__init__()
-        self.merge = merge
-        back = {b: c for c, b in byte_alphabet().items()}
-        self.spelled = {i: "".join(back[b] for b in chr(i).encode()) for i in range(0x80, 0x100)}
-
-    def __missing__(self, unit: str) -> bytes:
-        if not unit:
-            return b""
-        if len(self) > MEMO:
-            self.clear()
-        ids = self[unit] = array("I", [t.id for t in self.merge(unit.translate(self.spelled))]).tobytes()
-        return ids
-
-
 # The normalizer and the first splitting of tokenizer files whose texts may be encoded word by word.
 _BY_WORD = (
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -77,7 +60,8 @@ class WordIds(dict):
     """Word to its token ids, little-endian unsigned 32-bit, for tokenizers that allow it; others encode whole texts.
 
     Most words are a run of letters with marks after it, which are two units of the tokenizer; any other word goes
-    to the tokenizer as it is. What is kept is bounded: it is emptied at a fixed size.
+    to the tokenizer as it is. Units are kept beside words: a unit alone is a word with the same ids. What is kept is
+    bounded: it is emptied at a fixed size.
     """
 
     def __init__(self, path: str, parted: bool):
@@ -86,19 +70,30 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), parted
-        self.units = _Units(self.tokenizer.model.tokenize)
+        self.merge = self.tokenizer.model.tokenize
+        back = {b: c for c, b in byte_alphabet().items()}
+        self.spelled = {i: "".join(back[b] for b in chr(i).encode()) for i in range(0x80, 0x100)}
+        trim()  # reading the file takes more memory than the tokenizer
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > MEMO:
             self.clear()
         m = _PLAIN.fullmatch(word.lower())
         if m and "<|" not in word:
-            ids = self.units[m[1]] + self.units[m[2]]
+            letters, marks = m.groups()
+            ids = self.unit(word if letters == word else letters) + self.unit(marks)
         else:
             ids = self.whole(word)
         self[word] = ids
         return ids
 
+    def unit(self, unit: str) -> bytes:
+        """Ids of letters or of marks, by the merges alone."""
+        ids = self.get(unit)
+        if ids is None:
+            ids = self[unit] = array("I", [t.id for t in self.merge(unit.translate(self.spelled))]).tobytes() if unit else b""
+        return ids
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -109,7 +104,7 @@ class WordIds(dict):
 def encoder(path: str, parted: bool) -> WordIds:
     if path not in _encoders:
         made = _encoders[path] = WordIds(path, parted)
-        CACHES.extend((made, made.units))
+        CACHES.append(made)
     return _encoders[path]
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushjoin.llm import features, language_id, mixing, near_dups, packing, quality_classifier, quality_rules, token_counts, topk_search, toxicity, url_filter
-from hushjoin.llm.common import Scratch
+from hushjoin.llm.common import Scratch, map_columns
 from hushjoin.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -116,6 +116,27 @@ def test_rule_figures_and_hosts(spark):
 # 3 packing
 
 
+def test_packing_keeps_words_and_units_in_one_bounded_memo(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "MEMO", 200)
+    monkeypatch.setattr(packing, "_encoders", {})
+    monkeypatch.setattr(packing, "CACHES", [])
+    ids, rng = packing.encoder(path, packing.by_word(path)), random.Random(5)
+    words = ["".join(rng.choices("abcdefgéß", k=rng.randint(1, 9))) + rng.choice(["", ",", "!?", "'s", "-x", "7"]) for _ in range(2000)]
+    most = 0
+    for w in [*words, *(w.upper() for w in words[:300]), "...", "<|", "a<|b"]:
+        assert ids[w] == ids.whole(w)
+        most = max(most, sum(map(len, packing.CACHES)))
+    assert 150 < most <= 200 + 3  # a word and its two units come after the last look at the size
+
+
+def test_arrow_batches_are_small(spark):
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('word', 5000) AS text")
+    sizes = map_columns(docs, lambda: lambda cols: {"n": [sum(map(len, cols["text"]))]}, "n long").collect()
+    assert sum(r.n for r in sizes) == 400 * 20_000
+    assert max(r.n for r in sizes) < 5 << 20  # of 8 MB; the limit of 2 MB counts what Spark has set aside
+
+
 def test_packing_round_trip(spark):
     texts = random_texts(60, longest=900) + ["it's DON'T <|endoftext|> ½ 中文 É", "word " * 9000]
     df, path = docs_of(spark, texts), public_tokenizers.path("word_bpe_49k.json")
