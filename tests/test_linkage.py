@@ -353,6 +353,33 @@ def test_blocks_of_classes_match_brute_force(spark, monkeypatch, block):
     assert Counter(tuple(x) for x in over.matches(["T1"]).collect()) == Counter((a, b) for a, _, t in left for b, _, u in right if t == u)
 
 
+def test_written_pairs_take_little_disk(spark, tmp_path):
+    """Eight million pairs of blank records, whole: ids are written once and repeat in short runs, well under a byte a pair."""
+    left, right = (spark.range(n).select(F.concat(F.lit(x), "id").alias("RecordId"), F.lit("T1").alias("RuleId"), F.lit(crypto.BLANK).alias("Token")) for x, n in (("a", 200), ("b", 40000)))
+    Overlap(left, right).matches(["T1"]).write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs").groupBy("Dataset2_RecordId").agg(F.collect_set("Dataset1_RecordId").alias("met"), F.count("*").alias("n"))
+    assert found.filter("n = 200 and size(met) = 200").count() == found.count() == 40000
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.4 * 200 * 40000
+
+
+def test_cells_of_a_class_are_dealt_evenly(spark):
+    left, right = (spark.range(8000).select(F.concat(F.lit(x), "id").alias("RecordId"), F.lit("T1").alias("RuleId"), F.lit(crypto.BLANK).alias("Token")) for x in "ab")
+    counts = [r["count"] for r in Overlap(left, right).matches(["T1"]).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 64_000_000 and max(counts) < 1.3 * min(counts)
+
+
+@pytest.mark.parametrize("sizes", [(1, 90), (90, 1), (2, 45), (33, 37)])
+def test_runs_of_classes_match_brute_force(spark, monkeypatch, sizes):
+    """One class in more blocks than tasks on a side, in runs that do not divide it."""
+    from hushjoin.operators import overlap
+
+    for name, value in (("CLASS_PAIRS", 4), ("BLOCK", (1, 2)), ("SPREAD", 2), ("RUN", 2)):
+        monkeypatch.setattr(overlap, name, value)
+    left, right = ([(f"{x}{i}", "T1", "v") for i in range(n)] for x, n in zip("ab", sizes))
+    over = Overlap(*(spark.createDataFrame(x, "RecordId string, RuleId string, Token string") for x in (left, right)))
+    assert Counter(tuple(x) for x in over.matches(["T1"]).collect()) == Counter((a, b) for a, _, _ in left for b, _, _ in right)
+
+
 def test_column_aliases(spark, people):
     renamed = people.selectExpr("RecordId AS Id", "FirstName AS GivenName", "LastName AS Surname", "BirthDate AS DateOfBirth", "Sex AS Gender", "PostalCode AS ZipCode", "SocialSecurityNumber AS NationalIdentificationNumber", "1 AS other")
     assert {tuple(r) for r in tokens.signatures(renamed).collect()} == {tuple(r) for r in tokens.signatures(people).collect()}
